@@ -22,7 +22,7 @@ def fits_broadcast(df: DataFrame) -> bool:
     """True if Catalyst's size estimate is within its own broadcast limit."""
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit
+    return int(str(size)) <= limit
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

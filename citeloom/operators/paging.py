@@ -21,7 +21,7 @@ def page_plan(counts: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     last = F.expr(f"n div {size}")
     return (
         counts.withColumn("_last", last)
-        .withColumn("_span", F.explode(F.sequence(F.lit(0), F.expr(f"_last div {_SPAN}"))))
+        .withColumn("_span", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"_last div {_SPAN}"))))
         .withColumn("_from", F.col("_span") * _SPAN)
         .withColumn(
             "page",

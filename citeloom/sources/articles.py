@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 from citeloom.schemas import ARTICLE, ARTICLE_IN_FILE, HISTORY
 
 
-def _file_texts(spark: SparkSession, path: str, whole: bool) -> DataFrame | None:
-    reader = spark.read.option("wholetext", whole).option("pathGlobFilter", "*.json")
+def _file_texts(
+    spark: SparkSession, path: str, pattern: str, whole: bool
+) -> DataFrame | None:
+    reader = spark.read.option("pathGlobFilter", pattern)
     try:
-        return reader.text(path).select("value", F.col("_metadata.file_name").alias("file_name"))
+        texts = reader.text(path, wholetext=whole)
+        return texts.select("value", F.col("_metadata.file_name").alias("file_name"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -39,7 +42,9 @@ def _typed(articles: DataFrame) -> DataFrame:
     )
 
 
-def read_article_files(spark: SparkSession, path: str, layout: str = "any") -> DataFrame:
+def read_article_files(
+    spark: SparkSession, path: str, layout: str = "any", pattern: str = "*.json"
+) -> DataFrame:
     """Articles of all JSON files in a folder, with their ``file_name``.
 
     A missing folder reads as empty; a file that is malformed or holds no list
@@ -48,20 +53,23 @@ def read_article_files(spark: SparkSession, path: str, layout: str = "any") -> D
     per line, as ``write_articles`` makes them, in splits: files of any size
     are shared among tasks.
     """
-    texts = _file_texts(spark, path, whole=layout == "any")
+    texts = _file_texts(spark, path, pattern, whole=layout == "any")
     if texts is None:
-        return spark.createDataFrame([], T.StructType([*ARTICLE.fields, T.StructField("file_name", T.StringType())]))
+        return spark.createDataFrame([], T.StructType([*ARTICLE.fields]).add("file_name", "string"))
     if layout == "lines":
-        line = F.regexp_replace("value", r"\A\s*[\[,]?\s*|\s*[,\]]?\s*\z", "")
-        rows = texts.select(F.from_json(line, ARTICLE_IN_FILE).alias("a"), "file_name", line.alias("l"))
-        return _typed(rows.where("l <> ''").select("a.*", "file_name"))
+        line = F.trim(F.regexp_replace("value", r"\A\s*[\[,]|[,\]]\s*\z", ""))
+        rows = texts.select(line.alias("line"), "file_name").where("line <> ''")
+        records = rows.select(F.from_json("line", ARTICLE_IN_FILE).alias("a"), "file_name")
+        return _typed(records.select("a.*", "file_name"))
     rows = texts.select(F.explode(_records()).alias("a"), "file_name").where("a is not null")
     return _typed(rows.select("a.*", "file_name"))
 
 
-def rejected_article_files(spark: SparkSession, path: str) -> DataFrame:
+def rejected_article_files(
+    spark: SparkSession, path: str, pattern: str = "*.json"
+) -> DataFrame:
     """Files ``read_article_files`` skips, with the reason."""
-    texts = _file_texts(spark, path, whole=True)
+    texts = _file_texts(spark, path, pattern, whole=True)
     if texts is None:
         return spark.createDataFrame([], "file_name string, reason string")
     reason = F.when(
@@ -70,33 +78,33 @@ def rejected_article_files(spark: SparkSession, path: str) -> DataFrame:
     return texts.select("file_name", reason.alias("reason")).where("reason is not null")
 
 
-def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bracket and separate one task's records, so its file is a JSON array."""
-    lead = "["
-    for batch in batches:
-        lines = []
-        for record in batch.column(0).to_pylist():
-            lines.append(lead + record)
-            lead = ","
-        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-    yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
-
-
 def write_articles(
     df: DataFrame, path: str, format: str = "parquet", mode: str = "error"
 ) -> None:
     """Write records as a table, also when there are none.
 
     ``parquet`` and ``json`` are Spark's own; ``json_array`` makes every file a
-    JSON array with one record per line, and ``[]`` for no records.
+    JSON array with one record per line, and ``[]`` for no records. Those files
+    are named ``part-*.txt``; say so in ``pattern`` when reading them.
     """
     if format != "json_array":
         df.write.format(format).mode(mode).save(path)
         return
+
+    # Defined here so that it travels to the executors by value: they need not
+    # have this package installed.
+    def array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for batch in batches:
+            lines = []
+            for record in batch.column(0).to_pylist():
+                lines.append(lead + record)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
+
     records = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    lines = records.mapInArrow(_array_lines, "value string")
-    # Spark names text files .txt; readers of article files look for .json.
-    lines.write.mode(mode).option("fileExtension", "json").text(path)
+    records.mapInArrow(array_lines, "value string").write.mode(mode).text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -9,6 +9,7 @@ from citeloom.functions.bib import bib_field, bib_ids
 from citeloom.functions.paths import config_format
 from citeloom.schemas import QUERY_CONFIG
 
+_JSON_CONFIG = "query_str string, author string, download_pdf boolean, _broken string"
 _TRUE = ("true", "yes", "on")
 _FALSE = ("false", "no", "off")
 
@@ -32,6 +33,14 @@ def _yaml_config(text: Column) -> Column:
     )
 
 
+def _json_config(text: Column) -> Column:
+    """Fields of a JSON object; null when the text is broken or no object."""
+    parsed = F.from_json(text, _JSON_CONFIG, {"columnNameOfCorruptRecord": "_broken"})
+    fields = [parsed[n].alias(n) for n in QUERY_CONFIG.fieldNames()]
+    is_object = F.startswith(F.ltrim(text), F.lit("{"))
+    return F.when(is_object & parsed["_broken"].isNull(), F.struct(*fields))
+
+
 def _bib_config(text: Column) -> Column:
     """The query of a bibliography that was dropped in as a config."""
     entries = F.split(text, r"(?m)^\s*@(?=\w+\s*[{(])")
@@ -52,14 +61,16 @@ def parse_configs(files: DataFrame) -> DataFrame:
     """
     kind = config_format(F.col("path"))
     text = F.col("value")
-    as_json = F.when(F.startswith(F.ltrim(text), F.lit("{")), F.from_json(text, QUERY_CONFIG))
     as_yaml = F.when(text.rlike(r"(?m)^\w+:(?:\s|$)"), _yaml_config(text))
     as_bib = F.when(text.rlike(r"(?m)^\s*@\w+\s*[{(]"), _bib_config(text))
-    config = F.when(kind == "json", as_json).when(kind == "yaml", as_yaml).when(kind == "bib", as_bib)
-    bad_json = (kind == "json") & F.schema_of_json(F.lit("{}")).isNull()
+    config = (
+        F.when(kind == "json", _json_config(text))
+        .when(kind == "yaml", as_yaml)
+        .when(kind == "bib", as_bib)
+    )
     return files.select("*", config.alias("_c")).select(
         *[c for c in files.columns if c != "value"],
-        (F.col("_c").isNotNull() & ~bad_json).alias("readable"),
+        F.col("_c").isNotNull().alias("readable"),
         "_c.query_str",
         "_c.author",
         "_c.download_pdf",
@@ -68,9 +79,8 @@ def parse_configs(files: DataFrame) -> DataFrame:
 
 def config_files(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
 

@@ -41,14 +41,14 @@ def bucket_event_stream(spark: SparkSession, folder: str, root: str) -> DataFram
     return event_stream(bucket_events(spark, folder), root)
 
 
-def file_stream(
-    spark: SparkSession, folder: str, root: str | None = None, strict: bool = False
-) -> DataFrame:
-    """Routed paths of new files below a watched folder.
+def file_stream(paths: DataFrame, root: str, strict: bool = False) -> DataFrame:
+    """Routed paths of the new files that are watched for."""
+    return routed(watch_filter(paths, strict), root, strict)
 
-    ``root`` is the folder as it stands in the file paths.
-    """
-    return routed(watch_filter(new_files(spark, folder), strict), root or folder, strict)
+
+def folder_stream(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """The same for a folder; ``root`` is the folder as file paths show it."""
+    return file_stream(new_files(spark, folder), root)
 
 
 def status_stream(events: DataFrame, time: str = "time") -> DataFrame:
@@ -154,17 +154,18 @@ def access_refresh(
 ) -> StreamingQuery:
     """Recompute the account plan when snapshot files arrive.
 
-    Snapshots lie in ``folder/snapshot=<id>``, ids in growing order. Of the
-    snapshots a batch brings, the latest is planned, from all of its files, into
-    ``out/snapshot=<id>``; readers take the highest id.
+    Snapshots lie in ``folder/snapshot=<number>``, numbers growing with time. Of
+    the snapshots a batch brings, the latest is planned, from all of its files,
+    into ``out/snapshot=<number>``; readers take the highest number.
     """
     trigger: Trigger = ONCE if minutes is None else {"processingTime": f"{minutes} minutes"}
-    snapshot = F.regexp_extract("path", r"/snapshot=([^/]+)/", 1)
-    files = new_files(spark, folder).select(snapshot.alias("snapshot")).where("snapshot <> ''")
+    number = F.regexp_extract("path", r"/snapshot=(\d+)/", 1)
+    snapshot = F.struct(number.try_cast("bigint").alias("order"), number.alias("number"))
+    files = new_files(spark, folder).select(snapshot.alias("snapshot"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.agg(F.max("snapshot")).first()[0]
-        if latest is not None:
+        latest = batch.agg(F.max("snapshot")["number"]).first()[0]
+        if latest:
             plan = snapshot_plan(spark, f"{folder}/snapshot={latest}")
             plan.write.mode("overwrite").parquet(f"{out}/snapshot={latest}")
 
@@ -173,6 +174,5 @@ def access_refresh(
 
 def latest_plan(spark: SparkSession, out: str) -> DataFrame:
     """The plan of the highest snapshot."""
-    plans = spark.read.option("inferSchema", False).parquet(out)
-    newest = plans.agg(F.max(F.col("snapshot").cast("string")).alias("s"))
-    return plans.where(F.col("snapshot").cast("string") == newest.scalar())
+    plans = spark.read.parquet(out)
+    return plans.where(F.col("snapshot") == plans.agg(F.max("snapshot")).scalar())
