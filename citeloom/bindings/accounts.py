@@ -108,10 +108,11 @@ def q_group_members_in_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _groups_sql(batch: int) -> str:
     return f"""WITH {t.ACCOUNTS},
-sizes AS (SELECT bucket, CAST(ceil(count(*) / {batch}) AS BIGINT) AS parts FROM members GROUP BY bucket)
+emails AS (SELECT DISTINCT bucket, email FROM members),
+sizes AS (SELECT bucket, CAST(ceil(count(*) / {batch}) AS BIGINT) AS parts FROM emails GROUP BY bucket)
 SELECT bucket, CAST('0x' || substring(md5(email), 1, 8) AS BIGINT) % parts AS part,
        string_agg(email, ',' ORDER BY email) AS members
-FROM members JOIN sizes USING (bucket) GROUP BY ALL"""
+FROM emails JOIN sizes USING (bucket) GROUP BY ALL"""
 
 
 def q_access_plan(spark: SparkSession, sf: str) -> DataFrame:

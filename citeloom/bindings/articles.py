@@ -21,7 +21,9 @@ from citeloom.operators.enrich import (
 )
 from citeloom.operators.fulltext import fetch_plan, pending_conversions, update_fulltext
 from citeloom.operators.history import run_summary
+from citeloom.operators.hotkeys import split_join
 from citeloom.operators.paging import concat_pages, page_plan
+from citeloom.operators.running import running_total
 from citeloom.plans.metadata import metadata_run
 from citeloom.sources.articles import (
     append_history,
@@ -348,7 +350,34 @@ _INVENTORY = """SELECT c_mktsegment AS segment, CAST(sum(strlen(c_name) + 1) AS
 FROM customer GROUP BY c_mktsegment"""
 
 
+def q_split_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of frequent parts spread over salts, whatever the lookup's size."""
+    rows = t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
+    lookup = t.table(spark, sf, "part").where("p_partkey % 2 = 0").select(
+        F.col("p_partkey").alias("part"), "p_name"
+    )
+    return split_join(rows, lookup, ["part"], "left", hot_rows=30)
+
+
+_SPLIT = """SELECT l_orderkey, l_linenumber, l_partkey AS part, p_name
+FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) p ON p_partkey = l_partkey"""
+
+
+def q_running_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders up to each one, by their key as text."""
+    orders = t.table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("name"), (F.col("o_custkey") % 7).alias("n")
+    )
+    return running_total(orders, "name", "n", "so_far")
+
+
+_RUNNING = """SELECT name, n, CAST(sum(n) OVER (ORDER BY name) AS BIGINT) AS so_far
+FROM (SELECT CAST(o_orderkey AS VARCHAR) AS name, o_custkey % 7 AS n FROM orders)"""
+
+
 QUERIES = {
+    "split_join": (q_split_join, _SPLIT),
+    "running_total": (q_running_total, _RUNNING),
     "new_pmids": (q_new_pmids, _NEW),
     "duplicated_articles": (q_duplicated_articles, _DUPLICATES),
     "dedup_tally": (q_dedup_tally, _TALLY),

@@ -55,15 +55,22 @@ def regular_members(users: DataFrame) -> DataFrame:
 
 
 def split_members(
-    members: DataFrame, registered: DataFrame, hot_rows: int = HOT_ROWS
+    members: DataFrame,
+    registered: DataFrame,
+    hot_rows: int = HOT_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``is_registered``: whether the member's email has an account.
 
     A new user in two organizations is marked as new in both.
     """
-    known = registered.select(F.col("accessKey").alias("email"), F.lit(True).alias("_known"))
+    known = (
+        registered.where("accessKey is not null")
+        .select(F.col("accessKey").alias("email"), F.lit(True).alias("_known"))
+        .distinct()
+    )
     return (
-        lookup_join(members, known.where("email is not null").distinct(), ["email"], "left", hot_rows)
+        lookup_join(members, known, ["email"], "left", hot_rows, count_in)
         .withColumn("is_registered", F.coalesce("_known", F.lit(False)))
         .select(*members.columns, "is_registered")
     )
@@ -75,13 +82,15 @@ def group_members(
     """Sorted emails per bucket, in one row as long as they fit the batch.
 
     A larger bucket is spread over several rows of about ``batch`` emails,
-    told apart by ``part``. Buckets without members do not appear.
+    told apart by ``part``. A group is a set, so each email counts once.
+    Buckets without members do not appear.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    emails = members.select("bucket", "email").distinct()
+    sizes = emails.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     parts = sizes.select("bucket", F.ceil(F.col("_n") / batch).alias("_parts"))
     hashed = F.conv(F.substring(F.md5("email"), 1, 8), 16, 10).cast("bigint")
     return (
-        lookup_join(members.select("bucket", "email"), parts, ["bucket"], "inner", hot_rows)
+        lookup_join(emails, parts, ["bucket"], "inner", hot_rows, count_in=members)
         .withColumn("part", F.pmod(hashed, F.col("_parts")))
         .groupBy("bucket", "part")
         .agg(F.array_sort(F.collect_list("email")).alias("members"))
@@ -103,7 +112,7 @@ def access_plan(
     """
     regular = regular_members(memberships).select("organization", "id", "email")
     members = split_members(
-        organization_members(orgs, regular, hot_rows), registered, hot_rows
+        organization_members(orgs, regular, hot_rows), registered, hot_rows, count_in=regular
     )
     per_member = members.select(
         "organization",

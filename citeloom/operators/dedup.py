@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import article_key, is_valid_pmid
 from citeloom.operators.hotkeys import HOT_ROWS, lookup_join
 from citeloom.operators.running import running_total
+from citeloom.storage import materialized
 
 _KEY = "_pmid_key"
 
@@ -78,8 +79,10 @@ def dedup_tally(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
         F.coalesce("_asked", F.lit(0)).alias("removed_ids"),
     )
     total = incoming.agg(F.count(F.lit(1)).alias("total"))
+    # One row per file; the running total starts from it more than once.
+    tally = materialized(per_file, "tally")
     return (
-        running_total(per_file, "file_name", "removed_ids", "_gone")
+        running_total(tally, "file_name", "removed_ids", "_gone")
         .withColumn("ids_left", total.scalar() - F.col("_gone"))
         .drop("_gone")
     )

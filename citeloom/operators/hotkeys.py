@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1_000
+MAX_HOT_KEYS = 10_000
 MAX_SALTS = 4_096
 
 
@@ -45,10 +45,6 @@ def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> Data
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def _with_salts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
     match = reduce(
@@ -64,25 +60,33 @@ def lookup_join(
     keys: list[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``rows`` to a ``lookup`` that is unique on ``keys``.
 
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Hot keys are
+    looked for in ``count_in``, by default the rows themselves; name the rows'
+    source there when they are the outcome of another join.
     """
     if fits_broadcast(lookup):
         return rows.join(lookup, keys, how)
-    return split_join(rows, lookup, keys, how, hot_rows)
+    return split_join(rows, lookup, keys, how, hot_rows, count_in)
 
 
 def split_join(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str, hot_rows: int = HOT_ROWS
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: list[str],
+    how: str,
+    hot_rows: int = HOT_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """The same join with the rows of hot keys spread over salts.
 
     The salt is the number of the task that reads the row: it is the same again
     when a lost task is run a second time.
     """
-    hot = hot_keys(rows, keys, hot_rows)
+    hot = hot_keys(rows if count_in is None else count_in, keys, hot_rows)
     salted_rows = (
         _with_salts(rows, hot, keys)
         .withColumn("_salt", F.coalesce(F.pmod(F.spark_partition_id(), F.col("_salts")), F.lit(0)))

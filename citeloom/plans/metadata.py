@@ -14,6 +14,7 @@ from citeloom.operators.enrich import project_articles, rejected_articles, with_
 from citeloom.operators.history import run_summary
 from citeloom.operators.hotkeys import lookup_join
 from citeloom.sources.articles import append_history, write_articles, write_duplicates
+from citeloom.storage import materialized
 
 
 class MetadataRun(NamedTuple):
@@ -33,10 +34,14 @@ def metadata_run(
     tag: str | None = None,
     enrichment: Callable[[DataFrame], DataFrame] | None = None,
 ) -> MetadataRun:
-    """Plan one run. ``raw`` holds the fetched article of each id."""
-    fresh = new_pmids(incoming, earlier)
+    """Plan one run. ``raw`` holds the fetched article of each id.
+
+    New ids and their raw articles go to the shared folder, as the outputs all
+    start from them.
+    """
+    fresh = materialized(new_pmids(incoming, earlier), "new-ids")
     keyed = fresh.select(article_key(F.col("pmid")).alias("pmid"))
-    fetched = lookup_join(keyed, raw, ["pmid"], "inner")
+    fetched = materialized(lookup_join(keyed, raw, ["pmid"], "inner"), "fetched")
     articles = project_articles(fetched, run_date, tag).transform(
         lambda df: with_enrichment(df, enrichment)
     )

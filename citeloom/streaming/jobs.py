@@ -103,9 +103,11 @@ def config_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         found = routed(batch, root).where("route = 'config'").drop("project", "route")
-        requests, rejects = validate_configs(parse_configs(found), existing(), root)
+        parsed = parse_configs(found).persist()
+        requests, rejects = validate_configs(parsed, existing(), root)
         requests.write.mode("overwrite").parquet(f"{out}/requests/batch={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        parsed.unpersist()
 
     return _batch_sink(texts, handle, checkpoint, trigger)
 
