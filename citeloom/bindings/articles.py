@@ -51,7 +51,7 @@ def q_new_pmids(spark: SparkSession, sf: str) -> DataFrame:
 
 _NEW = f"""WITH {t.INCOMING}, {t.EARLIER}
 SELECT pmid FROM incoming i
-WHERE NOT EXISTS (SELECT 1 FROM earlier e WHERE e.pmid <> 0 AND CAST(e.pmid AS VARCHAR) = i.pmid)"""
+WHERE NOT EXISTS (SELECT 1 FROM earlier e WHERE e.pmid <> 0 AND e.pmid = i.pmid)"""
 
 
 def q_duplicated_articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +62,7 @@ _HELD = f"""{t.INCOMING}, {t.EARLIER},
 held AS (
   SELECT *, dense_rank() OVER (PARTITION BY pmid ORDER BY file_name) AS place
   FROM earlier
-  WHERE pmid <> 0 AND CAST(pmid AS VARCHAR) IN (SELECT pmid FROM incoming))"""
+  WHERE pmid <> 0 AND pmid IN (SELECT pmid FROM incoming))"""
 
 _DUPLICATES = f"""WITH {_HELD}
 SELECT pmid, file_name, line, part, supp FROM held WHERE place = 1"""
@@ -73,7 +73,7 @@ def q_dedup_tally(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TALLY = f"""WITH {_HELD},
-firsts AS (SELECT DISTINCT CAST(pmid AS VARCHAR) AS pmid, file_name FROM held WHERE place = 1),
+firsts AS (SELECT DISTINCT pmid, file_name FROM held WHERE place = 1),
 gone AS (SELECT file_name, count(*) AS n FROM firsts JOIN incoming USING (pmid) GROUP BY file_name),
 found AS (SELECT file_name, count(*) AS n FROM held WHERE place = 1 GROUP BY file_name),
 files AS (SELECT DISTINCT file_name FROM earlier)

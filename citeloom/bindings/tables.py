@@ -83,12 +83,12 @@ factors AS (
 
 def incoming_ids(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").where("o_orderstatus = 'F'")
-    return orders.select(F.col("o_orderkey").cast("string").alias("pmid"))
+    return orders.select(F.col("o_orderkey").alias("pmid"))
 
 
 INCOMING = """
 incoming AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS pmid FROM orders WHERE o_orderstatus = 'F')"""
+  SELECT o_orderkey AS pmid FROM orders WHERE o_orderstatus = 'F')"""
 
 
 def earlier_articles(spark: SparkSession, sf: str) -> DataFrame:

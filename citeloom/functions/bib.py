@@ -10,9 +10,9 @@ from citeloom.functions.text import pmid_from_url
 
 def bib_field(entry: Column, name: str) -> Column:
     """Value of a field in braces, quotes or as a bare number; else null."""
-    pattern = rf"""(?i),\s*{name}\s*=\s*(?:[{{"]\s*([^}}"]*?)\s*[}}"]|(\d+))"""
-    value = F.concat(F.regexp_extract(entry, pattern, 1), F.regexp_extract(entry, pattern, 2))
-    return F.nullif(value, F.lit(""))
+    field = rf"""(?i),\s*{name}\s*=\s*([{{"][^}}"]*[}}"]|\d+)"""
+    found = F.try_element_at(F.regexp_extract_all(entry, F.lit(field), F.lit(1)), F.lit(1))
+    return F.nullif(F.regexp_replace(found, r"""\A[{"]\s*|\s*[}"]\z""", ""), F.lit(""))
 
 
 def bib_ids(pmid: Column, url: Column, strict: bool = False) -> Column:

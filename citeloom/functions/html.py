@@ -7,10 +7,12 @@ differently than from a DOM parser.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_HIDDEN = r"(?is)<(?:!--.*?--|(script|style)\b.*?</\1\s*)>"
 _VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 _ANY_TAG = r"<[^>]*>"
 
@@ -44,14 +46,21 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value once where an expression needs it repeatedly."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _group(text: Column, pattern: str) -> Column:
+    """First group of the first match; null, unlike ``regexp_extract``, if none."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(1))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in a start tag; null when it is not there."""
     others = rf"(?:\s+(?!{name}[\s=>])[^\s=>]+(?:\s*=\s*{_VALUE})?)*?"
-    raw = F.regexp_extract(tag, rf"(?is)\A<\w+{others}\s+{name}\s*=\s*({_VALUE})", 1)
-    bare = F.when(raw.rlike("""\\A["']"""), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(
-        raw
-    )
-    return F.when(raw != "", decode_entities(bare))
+    raw = _group(tag, rf"(?is)\A<\w+{others}\s+{name}\s*=\s*({_VALUE})")
+    return decode_entities(F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2"))
 
 
 def _has_class(tag: Column, token: str) -> Column:
@@ -65,8 +74,7 @@ def _first_tag(html: Column, name: str) -> Column:
 def resolve_iframe(html: Column) -> Column:
     """Source of the first inline frame, ``//`` completed with ``http:``."""
     src = attribute(_first_tag(visible(html), "iframe"), "src")
-    found = F.when(F.startswith(src, F.lit("//")), F.concat(F.lit("http:"), src)).otherwise(src)
-    return F.when(html.rlike("(?i)<iframe"), found)
+    return F.when(html.rlike("(?i)<iframe"), F.regexp_replace(src, r"\A//", "http://"))
 
 
 def distinct_links(html: Column, css_class: str) -> Column:
@@ -93,7 +101,6 @@ def _division(html: Column) -> Column:
     The text is cut before every division tag; the running depth tells which
     pieces belong to the leading division.
     """
-    pieces = F.split(html, r"(?i)(?=</?div\b)")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("kept"), F.lit(False).alias("done"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -108,8 +115,11 @@ def _division(html: Column) -> Column:
             done.alias("done"),
         )
 
-    kept = F.aggregate(pieces, start, step, lambda acc: acc["kept"])
-    return F.array_join(F.slice(pieces, 1, kept), "")
+    def leading(pieces: Column) -> Column:
+        kept = F.aggregate(pieces, start, step, lambda acc: acc["kept"])
+        return F.array_join(F.slice(pieces, 1, kept), "")
+
+    return _let(F.split(html, r"(?i)(?=</?div\b)"), leading)
 
 
 _RESULT = r"array<struct<name:string,url:string>>"
@@ -123,25 +133,23 @@ def search_results(html: Column) -> Column:
     either, or without a title, are left out.
     """
     cuts = F.split(visible(html), "(?is)(?=" + _class_tag("div", "gs_r") + ")")
-    blocks = F.filter(cuts, lambda b: _has_class(_first_tag(b, r"div"), "gs_r") & b.rlike(r"(?i)\A<div\b"))
+    blocks = F.filter(
+        cuts, lambda b: b.rlike(r"(?i)\A<div\b") & _has_class(_first_tag(b, "div"), "gs_r")
+    )
     whole = F.filter(F.transform(blocks, _division), lambda b: ~b.rlike(r"(?i)<table\b"))
 
     def parts(block: Column) -> Column:
         title = _class_tag("h3", "gs_rt") + r"[^>]*>(.*?)</h3\s*>"
         exact = r"""(?is)<div\b[^>]*?\sclass\s*=\s*(?:"gs_ggs gs_fl"|'gs_ggs gs_fl').*\z"""
         return F.struct(
-            F.regexp_extract(block, title, 0).alias("title"),
-            F.regexp_extract(block, title, 1).alias("inner"),
+            _group(block, title).alias("title"),
             _division(F.regexp_extract(block, exact, 0)).alias("pdf"),
         )
 
     def result(part: Column) -> Column:
-        holder = F.when(part["pdf"] != "", part["pdf"]).otherwise(part["inner"])
+        holder = F.when(part["pdf"] != "", part["pdf"]).otherwise(part["title"])
         return F.struct(
-            F.when(
-                part["title"] != "",
-                decode_entities(F.regexp_replace(part["inner"], _ANY_TAG, "")),
-            ).alias("name"),
+            decode_entities(F.regexp_replace(part["title"], _ANY_TAG, "")).alias("name"),
             attribute(_first_tag(holder, "a"), "href").alias("url"),
         )
 
@@ -167,8 +175,11 @@ def embed_style(html: Column, css: Column | str) -> Column:
     """Put a style sheet at the end of the head, or into a new head in front."""
     sheet = F.lit(css) if isinstance(css, str) else css
     style = F.concat(F.lit("<style>"), sheet, F.lit("</style>"))
-    end = F.regexp_instr(html, F.lit(r"(?i)</head\s*>"))
-    return F.when(
-        end > 0,
-        F.concat(F.substr(html, F.lit(1), end - 1), style, F.substr(html, end)),
-    ).otherwise(F.concat(F.lit("<head>"), style, F.lit("</head>"), html))
+
+    def put(end: Column) -> Column:
+        return F.when(
+            end > 0,
+            F.concat(F.substr(html, F.lit(1), end - 1), style, F.substr(html, end)),
+        ).otherwise(F.concat(F.lit("<head>"), style, F.lit("</head>"), html))
+
+    return _let(F.regexp_instr(html, F.lit(r"(?i)</head\s*>")), put)

@@ -45,11 +45,8 @@ def member_key(email: Column, user_id: Column) -> Column:
     return F.md5(F.concat(email, F.lit(":"), user_id.cast("string")))
 
 
-def article_key(pmid: Column) -> Column:
-    """Join key of an article: its id as text."""
-    return pmid.cast("string")
-
-
-def is_valid_pmid(pmid: Column) -> Column:
+def is_valid_pmid(pmid: Column, numeric: bool = False) -> Column:
     """True for ids that are neither null, empty nor zero."""
-    return pmid.isNotNull() & ~article_key(pmid).isin("", "0")
+    if numeric:
+        return pmid.isNotNull() & (pmid != 0)
+    return pmid.isNotNull() & ~pmid.cast("string").isin("", "0")

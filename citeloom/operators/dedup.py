@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from citeloom.functions.text import article_key, is_valid_pmid
+from citeloom.functions.text import is_valid_pmid
 from citeloom.operators.hotkeys import HOT_ROWS, lookup_join
 from citeloom.operators.running import running_total
 from citeloom.storage import materialized
@@ -17,30 +18,39 @@ from citeloom.storage import materialized
 _KEY = "_pmid_key"
 
 
+def _is_numeric(df: DataFrame) -> bool:
+    return isinstance(df.schema["pmid"].dataType, T.IntegralType)
+
+
 def valid_pmids(articles: DataFrame) -> DataFrame:
     """Rows whose id is neither null, empty nor zero."""
-    return articles.where(is_valid_pmid(F.col("pmid")))
+    return articles.where(is_valid_pmid(F.col("pmid"), _is_numeric(articles)))
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    return df.withColumn(_KEY, article_key(F.col("pmid")))
+def with_key(*frames: DataFrame) -> list[DataFrame]:
+    """Add the column ids are compared by.
+
+    Ids are compared as text, so ``007`` is not ``7``. Where all sides hold
+    numbers the outcome is the same without the cast, and cheaper.
+    """
+    kind = "bigint" if all(_is_numeric(df) for df in frames) else "string"
+    return [df.withColumn(_KEY, F.col("pmid").cast(kind)) for df in frames]
 
 
 def new_pmids(incoming: DataFrame, earlier: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Incoming rows whose id is in no earlier file; repeats stay."""
-    known = _keyed(valid_pmids(earlier)).select(_KEY).distinct()
-    return lookup_join(_keyed(incoming), known, [_KEY], "left_anti", hot_rows).drop(_KEY)
+    asked, held = with_key(incoming, valid_pmids(earlier))
+    known = held.select(_KEY).distinct()
+    return lookup_join(asked, known, [_KEY], "left_anti", hot_rows).drop(_KEY)
 
 
-def first_file(earlier: DataFrame) -> DataFrame:
-    """First file of each id, with the number of records it has there.
+def first_file(keyed: DataFrame) -> DataFrame:
+    """First file of each key, with the number of records it has there.
 
-    Counting by id and file before taking the first file lets every task
-    reduce its own rows, so no id's records have to meet in one place.
+    Counting by key and file before taking the first file lets every task
+    reduce its own rows, so no key's records have to meet in one place.
     """
-    per_file = _keyed(valid_pmids(earlier)).groupBy(_KEY, "file_name").agg(
-        F.count(F.lit(1)).alias("_records")
-    )
+    per_file = keyed.groupBy(_KEY, "file_name").agg(F.count(F.lit(1)).alias("_records"))
     first = F.min(F.struct("file_name", "_records"))
     return (
         per_file.groupBy(_KEY)
@@ -56,18 +66,18 @@ def duplicated_articles(
 
     If the id repeats within that file, all of its records there are kept.
     """
-    wanted = _keyed(incoming).select(_KEY).distinct()
-    holders = first_file(earlier).join(wanted, _KEY, "left_semi").select(_KEY, "file_name")
-    return lookup_join(
-        _keyed(valid_pmids(earlier)), holders, [_KEY, "file_name"], "left_semi", hot_rows
-    ).drop(_KEY)
+    asked, held = with_key(incoming, valid_pmids(earlier))
+    wanted = asked.select(_KEY).distinct()
+    holders = first_file(held).join(wanted, _KEY, "left_semi").select(_KEY, "file_name")
+    return lookup_join(held, holders, [_KEY, "file_name"], "left_semi", hot_rows).drop(_KEY)
 
 
 def dedup_tally(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
     """Per earlier file, in order: repeats found, ids taken out, ids left."""
-    asked = _keyed(incoming).groupBy(_KEY).agg(F.count(F.lit(1)).alias("_asked"))
+    incoming_keyed, held = with_key(incoming, valid_pmids(earlier))
+    asked = incoming_keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_asked"))
     hits = (
-        first_file(earlier)
+        first_file(held)
         .join(asked, _KEY)
         .groupBy("file_name")
         .agg(F.sum("_records").alias("_records"), F.sum("_asked").alias("_asked"))

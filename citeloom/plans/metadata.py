@@ -8,7 +8,6 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import article_key
 from citeloom.operators.dedup import duplicated_articles, new_pmids
 from citeloom.operators.enrich import project_articles, rejected_articles, with_enrichment
 from citeloom.operators.history import run_summary
@@ -40,7 +39,7 @@ def metadata_run(
     start from them.
     """
     fresh = materialized(new_pmids(incoming, earlier), "new-ids")
-    keyed = fresh.select(article_key(F.col("pmid")).alias("pmid"))
+    keyed = fresh.select(F.col("pmid").cast("string").alias("pmid"))
     fetched = materialized(lookup_join(keyed, raw, ["pmid"], "inner"), "fetched")
     articles = project_articles(fetched, run_date, tag).transform(
         lambda df: with_enrichment(df, enrichment)

@@ -57,7 +57,7 @@ def read_article_files(
     if texts is None:
         return spark.createDataFrame([], T.StructType([*ARTICLE.fields]).add("file_name", "string"))
     if layout == "lines":
-        line = F.trim(F.regexp_replace("value", r"\A\s*[\[,]|[,\]]\s*\z", ""))
+        line = F.btrim("value", F.lit("[], \t\r"))
         rows = texts.select(line.alias("line"), "file_name").where("line <> ''")
         records = rows.select(F.from_json("line", ARTICLE_IN_FILE).alias("a"), "file_name")
         return _typed(records.select("a.*", "file_name"))
