@@ -78,11 +78,9 @@ def parse_configs(files: DataFrame) -> DataFrame:
 
 
 def config_files(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+    """Path and text of the files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("content").cast("string").alias("value"))
 
 
 def read_query_configs(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,12 @@ from citeloom.schemas import BINARY_FILE, BUCKET_EVENT
 
 
 def file_inventory(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """Path, name and length of the files below a folder. Contents are not read."""
+    """Path, name and length of the files below a folder. Contents are not read.
+
+    Paths start with the file system's scheme, such as ``file:``. Files without
+    any content are not listed. The driver lists the folder: for very many
+    files, keep their names in a table, which the operators take just as well.
+    """
     return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*{suffix}")
@@ -38,9 +43,9 @@ def new_files(spark: SparkSession, path: str) -> DataFrame:
 def new_texts(spark: SparkSession, path: str) -> DataFrame:
     """Stream of whole small files as they appear: path and text."""
     return (
-        spark.readStream.format("text")
-        .option("wholetext", True)
+        spark.readStream.format("binaryFile")
+        .schema(BINARY_FILE)
         .option("recursiveFileLookup", True)
         .load(path)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
+        .select("path", F.col("content").cast("string").alias("value"))
     )
