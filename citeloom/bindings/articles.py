@@ -9,9 +9,11 @@ from citeloom.bindings import tables as t
 from citeloom.operators.dedup import (
     dedup_tally,
     duplicated_articles,
+    first_file,
     new_pmids,
     unique_key_lookup,
     valid_pmids,
+    with_key,
 )
 from citeloom.operators.enrich import (
     enrich_journal,
@@ -34,8 +36,9 @@ from citeloom.sources.articles import (
     write_documents,
     write_duplicates,
 )
-from citeloom.sources.files import file_inventory
+from citeloom.sources.files import file_inventory, new_files
 from citeloom.storage import shared_dir
+from citeloom.streaming.jobs import append_sink
 
 _SHOWN = """tag, pmid, pmcid, pmc_link, pubmed_link, abstract, title, imported_date, authors,
   journal_abbr, journal, pdf, html, impact_factor, publication, doi, doi_link"""
@@ -68,6 +71,20 @@ _DUPLICATES = f"""WITH {_HELD}
 SELECT pmid, file_name, line, part, supp FROM held WHERE place = 1"""
 
 
+def q_first_file(spark: SparkSession, sf: str) -> DataFrame:
+    (earlier,) = with_key(valid_pmids(t.earlier_articles(spark, sf)))
+    return first_file(earlier).select(
+        F.col("_pmid_key").alias("pmid"), "file_name", F.col("_records").alias("records")
+    )
+
+
+_FIRST_FILE = f"""WITH {t.EARLIER}
+SELECT pmid, file_name, count(*) AS records
+FROM (SELECT *, dense_rank() OVER (PARTITION BY pmid ORDER BY file_name) AS place
+      FROM earlier WHERE pmid <> 0)
+WHERE place = 1 GROUP BY pmid, file_name"""
+
+
 def q_dedup_tally(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_tally(t.incoming_ids(spark, sf), t.earlier_articles(spark, sf))
 
@@ -336,16 +353,31 @@ def q_write_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(duplicates_path(destination))
 
 
-def q_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    """Inventory of a folder with one file per customer segment."""
+def _segment_folder(spark: SparkSession, sf: str) -> str:
+    """A folder of files with the customers' names, by segment."""
     path = shared_dir(spark, "files")
     customers = t.table(spark, sf, "customer").select("c_mktsegment", "c_name")
-    customers.repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(path)
-    files = file_inventory(spark, path, ".txt")
+    customers.write.partitionBy("c_mktsegment").text(path)
+    return path
+
+
+def _segment_sizes(files: DataFrame) -> DataFrame:
     segment = F.regexp_extract("path", r"c_mktsegment=([^/]+)/", 1)
     return files.groupBy(segment.alias("segment")).agg(F.sum("length").alias("bytes"))
 
 
+def q_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return _segment_sizes(file_inventory(spark, _segment_folder(spark, sf), ".txt"))
+
+
+def q_new_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The same folder taken up by the file stream."""
+    out = shared_dir(spark, "new-files")
+    files = new_files(spark, _segment_folder(spark, sf)).where("path LIKE '%.txt'")
+    append_sink(files, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return _segment_sizes(spark.read.parquet(f"{out}/table"))
+
+
 _INVENTORY = """SELECT c_mktsegment AS segment, CAST(sum(strlen(c_name) + 1) AS BIGINT) AS bytes
 FROM customer GROUP BY c_mktsegment"""
 
@@ -402,4 +434,6 @@ QUERIES = {
     "write_documents": (q_write_documents, _DOCUMENTS),
     "write_duplicates": (q_write_duplicates, _DUPLICATES),
     "file_inventory": (q_file_inventory, _INVENTORY),
+    "new_files": (q_new_files, _INVENTORY),
+    "first_file": (q_first_file, _FIRST_FILE),
 }

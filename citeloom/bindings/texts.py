@@ -17,7 +17,7 @@ from citeloom.functions.paths import config_format, document_name
 from citeloom.functions.text import classify_identifier, normalize_query, pmid_from_url, slug
 from citeloom.operators.bibliography import build_query, split_entries
 from citeloom.operators.configs import validate_configs
-from citeloom.operators.paging import limit_results
+from citeloom.operators.paging import limit_results, result_rows
 from citeloom.sources.bibliography import read_bib_entries
 from citeloom.sources.configs import parse_configs
 from citeloom.storage import shared_dir
@@ -257,8 +257,7 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _extracted(spark, sf).select("page_id", "query", F.posexplode("r.papers").alias("pos", "paper"))
-    return rows.select("page_id", "query", "pos", "paper.name", "paper.url")
+    return result_rows(_result_pages(spark, sf).withColumnRenamed("page_id", "page"))
 
 
 def q_search_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -267,7 +266,7 @@ def q_search_results(spark: SparkSession, sf: str) -> DataFrame:
 
 _RESULT_ROWS = """
 results AS (
-  SELECT page_id, 'q' || (page_id % 7) AS query, CAST(pos AS INTEGER) AS pos,
+  SELECT page_id AS page, 'q' || (page_id % 7) AS query, CAST(pos AS INTEGER) AS pos,
          CASE pos WHEN 0 THEN 'Full ' ELSE 'Title ' END || page_id || ' & more' AS name,
          CASE pos WHEN 0 THEN url || '.pdf' ELSE url END AS url
   FROM (SELECT *, unnest([0, 1]) AS pos FROM pages WHERE page_id % 10 <> 0))"""
@@ -285,11 +284,25 @@ _ERRORS = """SELECT page_id, CASE WHEN page_id % 10 = 0
 
 
 def q_limit_results(spark: SparkSession, sf: str) -> DataFrame:
-    return limit_results(_results(spark, sf), order=("page_id", "pos"))
+    return limit_results(_results(spark, sf))
 
 
 _LIMIT = f"""WITH {_RESULT_ROWS}
-SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY query ORDER BY page_id, pos) <= 10"""
+SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY query ORDER BY page, pos) <= 10"""
+
+
+def q_limit_many_results(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit above what is cut before the shuffle: hits per order status."""
+    hits = t.table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("query"), F.col("o_custkey").alias("page"), F.col("o_orderkey").alias("pos")
+    )
+    return limit_results(hits, 2_000)
+
+
+_LIMIT_MANY = """SELECT query, page, pos FROM (
+  SELECT o_orderstatus AS query, o_custkey AS page, o_orderkey AS pos,
+         row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey, o_orderkey) AS place
+  FROM orders) WHERE place <= 2000"""
 
 
 def q_embed_style(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,5 +338,6 @@ QUERIES = {
     "search_results": (q_search_results, _RESULTS),
     "search_errors": (q_search_errors, _ERRORS),
     "limit_results": (q_limit_results, _LIMIT),
+    "limit_many_results": (q_limit_many_results, _LIMIT_MANY),
     "embed_style": (q_embed_style, _STYLE),
 }

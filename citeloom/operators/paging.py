@@ -1,4 +1,4 @@
-"""Page plans, page unions and result limits."""
+"""Page plans, results of search pages, page unions and result limits."""
 
 from __future__ import annotations
 
@@ -7,10 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.html import search_results
+
 PAGE_SIZE = 250
 RESULT_LIMIT = 10
 _SPAN = 10_000
 
+# Up to this limit Spark cuts each task's rows of a query before the shuffle.
+_CUT_BEFORE_SHUFFLE = 1_000
+_SALTS = 256
+
 
 def page_plan(counts: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     """Pages and offsets needed for ``n`` hits: ``n div size + 1`` pages.
@@ -32,6 +38,17 @@ def page_plan(counts: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     )
 
 
+def result_rows(pages: DataFrame) -> DataFrame:
+    """One row per result of the search pages ``(query, page, html)``.
+
+    The extraction is exploded as it stands: taken from a column, Spark would
+    run it once more to leave out pages without results.
+    """
+    papers = F.posexplode(search_results(F.col("html"))).alias("pos", "paper")
+    rows = pages.select("query", "page", papers)
+    return rows.select("query", "page", "pos", "paper.name", "paper.url")
+
+
 def concat_pages(pages: list[DataFrame]) -> DataFrame:
     """All rows of all pages, repeats kept."""
     return reduce(lambda a, b: a.unionByName(b), pages)
@@ -46,7 +63,16 @@ def limit_results(
     """First ``n`` results of each query in page order.
 
     Every task first cuts its own rows of a query to ``n``, so a query with
-    very many results does not gather in one place.
+    very many results does not gather in one place. For a large ``n`` Spark
+    does not do that by itself; then the rows of a query are cut in salted
+    groups before they meet.
     """
-    rank = F.row_number().over(Window.partitionBy(query).orderBy(*order))
-    return results.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+    def cut(df: DataFrame, *keys: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+    if n > _CUT_BEFORE_SHUFFLE:
+        salted = results.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
+        results = cut(salted, query, "_salt").drop("_salt")
+    return cut(results, query)
