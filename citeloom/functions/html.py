@@ -154,7 +154,10 @@ def search_results(html: Column) -> Column:
         )
 
     found = F.transform(F.transform(whole, parts), result)
-    return F.filter(found, lambda r: r["name"].isNotNull() & r["url"].isNotNull()).cast(_RESULT)
+    kept = F.filter(found, lambda r: r["name"].isNotNull() & r["url"].isNotNull())
+    return F.when(F.contains(html, F.lit("gs_r")), kept.cast(_RESULT)).otherwise(
+        F.array().cast(_RESULT)
+    )
 
 
 def search_error(html: Column, query: Column) -> Column:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+BUCKETS = 131_072
 MAX_SALTS = 4_096
 
 
@@ -26,21 +26,31 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, and how many salts each gets.
+    """Keys with too many rows for one task, and how many salts each gets.
 
-    At most ``MAX_HOT_KEYS`` rows come back, the most frequent first, so the
-    result is always small enough to broadcast. A key left out is only not
-    split; results do not depend on it.
+    Too many is more than ``hot_rows`` and more than four times the rows of an
+    average bucket; no more than a quarter of the buckets can hold such a key,
+    so the result is always small enough to broadcast. Rows are first counted
+    by the key's bucket, which shuffles little; only rows of overfull buckets
+    are then counted by key, and often there are none.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    bucketed = rows.select(*keys, bucket.alias("_bucket"))
+    sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())  # over one row per bucket
+    overfull = (
+        sizes.withColumn("_limit", F.greatest(F.lit(hot_rows), F.ceil(total * 4 / BUCKETS)))
+        .where("_n > _limit")
+        .select("_bucket", "_limit")
+    )
     return (
-        rows.groupBy(*keys)
+        bucketed.join(F.broadcast(overfull), "_bucket")
+        .groupBy(*keys, "_limit")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
+        .where("_n > _limit")
         .select(
             *keys,
-            F.least(F.ceil(F.col("_n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
+            F.least(F.ceil(F.col("_n") / F.col("_limit")), F.lit(MAX_SALTS)).cast("int").alias("_salts"),
         )
     )
 
