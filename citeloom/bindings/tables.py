@@ -295,6 +295,6 @@ checked AS (
   SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'config_missing'
                  WHEN format = 'invalid' THEN 'config_bad_format'
                  WHEN NOT readable THEN 'config_unreadable'
-                 WHEN query_str = '' THEN 'empty_query'
-                 WHEN doc_id % 3 = 0 THEN 'destination_exists' END AS reason
+                 WHEN doc_id % 3 = 0 THEN 'destination_exists'
+                 WHEN query_str = '' THEN 'empty_query' END AS reason
   FROM parsed)"""

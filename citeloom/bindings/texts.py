@@ -16,7 +16,7 @@ from citeloom.functions.html import (
 from citeloom.functions.paths import config_format, document_name
 from citeloom.functions.text import classify_identifier, normalize_query, pmid_from_url, slug
 from citeloom.operators.bibliography import build_query, split_entries
-from citeloom.operators.configs import validate_configs
+from citeloom.operators.configs import checked_configs, config_stages, validate_configs
 from citeloom.operators.paging import limit_results, result_rows
 from citeloom.sources.bibliography import read_bib_entries
 from citeloom.sources.configs import parse_configs
@@ -143,6 +143,25 @@ def q_rejected_configs(spark: SparkSession, sf: str) -> DataFrame:
 REJECTS_SQL = f"WITH {t.CONFIGS} SELECT project, path, reason FROM checked WHERE reason IS NOT NULL"
 
 
+def q_config_stages(spark: SparkSession, sf: str) -> DataFrame:
+    configs = parse_configs(t.config_texts(spark, sf))
+    return config_stages(checked_configs(configs, t.metadata_files(spark, sf), t.ROOT))
+
+
+STAGES_SQL = f"""WITH {t.CONFIGS},
+staged AS (
+  SELECT project, path, reason,
+         CASE reason WHEN 'config_missing' THEN ['config_missing']
+                     WHEN 'config_bad_format' THEN ['config_bad_format', 'config_unreadable']
+                     WHEN 'config_unreadable' THEN ['config_bad_format']
+                     WHEN 'destination_exists' THEN ['config_received', 'destination_exists']
+                     WHEN 'empty_query' THEN ['config_received', 'config_parsed', 'failed']
+                     ELSE ['config_received', 'config_parsed'] END AS stages
+  FROM checked)
+SELECT project, path, reason, CAST(generate_subscripts(stages, 1) - 1 AS INTEGER) AS step,
+       unnest(stages) AS stage FROM staged"""
+
+
 def q_bib_entries(spark: SparkSession, sf: str) -> DataFrame:
     return split_entries(t.bib_chunks(spark, sf)).select("file_name", "block", "pos", "pmid", "url")
 
@@ -329,6 +348,7 @@ QUERIES = {
     "parse_configs": (q_parse_configs, _PARSED),
     "valid_configs": (q_valid_configs, REQUESTS_SQL),
     "rejected_configs": (q_rejected_configs, REJECTS_SQL),
+    "config_stages": (q_config_stages, STAGES_SQL),
     "bib_entries": (q_bib_entries, _ENTRIES),
     "read_bib_files": (q_read_bib_files, _BIB_FILES),
     "build_query": (q_build_query, _BUILD),

@@ -30,8 +30,8 @@ def checked_configs(configs: DataFrame, existing: DataFrame, root: str) -> DataF
         F.when(~F.coalesce(placed, F.lit(False)), "config_missing")
         .when(F.col("format") == "invalid", "config_bad_format")
         .when(~F.col("readable"), "config_unreadable")
-        .when(F.coalesce("query_str", F.lit("")) == "", "empty_query")
         .when(F.col("_taken"), "destination_exists")
+        .when(F.coalesce("query_str", F.lit("")) == "", "empty_query")
     )
     return (
         configs.withColumn("project", project_name(root, path))
@@ -47,7 +47,10 @@ def validate_configs(
     configs: DataFrame, existing: DataFrame, root: str
 ) -> tuple[DataFrame, DataFrame]:
     """Split configs into requests that may run, and rejects with a reason."""
-    checked = checked_configs(configs, existing, root)
+    return split_checked(checked_configs(configs, existing, root))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     requests = checked.where("reason is null").select(
         "project",
         "path",
@@ -58,3 +61,22 @@ def validate_configs(
     )
     rejects = checked.where("reason is not null").select("project", "path", "reason")
     return requests, rejects
+
+
+# Stages a config goes through, by the reason it was rejected for.
+_STAGES = {
+    "config_missing": ("config_missing",),
+    "config_bad_format": ("config_bad_format", "config_unreadable"),
+    "config_unreadable": ("config_bad_format",),
+    "destination_exists": ("config_received", "destination_exists"),
+    "empty_query": ("config_received", "config_parsed", "failed"),
+}
+
+
+def config_stages(checked: DataFrame) -> DataFrame:
+    """One row per stage of each checked config, numbered in order."""
+    stages = F.array(F.lit("config_received"), F.lit("config_parsed"))
+    for reason, names in _STAGES.items():
+        told = F.array(*[F.lit(n) for n in names])
+        stages = F.when(F.col("reason") == reason, told).otherwise(stages)
+    return checked.select("project", "path", "reason", F.posexplode(stages).alias("step", "stage"))

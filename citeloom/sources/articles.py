@@ -13,12 +13,19 @@ from pyspark.sql import types as T
 from citeloom.schemas import ARTICLE, ARTICLE_IN_FILE, HISTORY
 
 
+# What parts the records of a JSON array, by the layout of the file.
+_SEPARATORS = {"lines": "\n", "indented": "\n  {"}
+_BROKEN = "_broken"
+
+
 def _file_texts(
-    spark: SparkSession, path: str, pattern: str, whole: bool
+    spark: SparkSession, path: str, pattern: str, layout: str
 ) -> DataFrame | None:
     reader = spark.read.option("pathGlobFilter", pattern)
+    if layout != "any":
+        reader = reader.option("lineSep", _SEPARATORS[layout])
     try:
-        texts = reader.text(path, wholetext=whole)
+        texts = reader.text(path, wholetext=layout == "any")
         return texts.select("value", F.col("_metadata.file_name").alias("file_name"))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
@@ -26,16 +33,29 @@ def _file_texts(
         raise
 
 
-def _records() -> Column:
+def _array() -> Column:
     """Elements of the file's JSON array; null unless the text is a valid array."""
     is_list = F.startswith(F.ltrim("value"), F.lit("["))
     return F.when(is_list, F.from_json("value", T.ArrayType(ARTICLE_IN_FILE)))
 
 
+def _parts(texts: DataFrame, layout: str) -> DataFrame:
+    """Records ``a`` of a file that was split; ``a._broken`` tells malformed ones."""
+    record = F.btrim("value", F.lit("[], \t\r\n"))
+    if layout == "indented":
+        record = F.when(record != "", F.concat(F.lit("{"), record)).otherwise("")
+    schema = T.StructType([*ARTICLE_IN_FILE.fields]).add(_BROKEN, "string")
+    parsed = F.from_json("record", schema, {"columnNameOfCorruptRecord": _BROKEN})
+    records = texts.select(record.alias("record"), "file_name").where("record <> ''")
+    return records.select(parsed.alias("a"), "file_name")
+
+
 def _typed(articles: DataFrame) -> DataFrame:
     return articles.select(
         *[
-            F.col(f.name).try_cast("bigint").alias("pmid") if f.name == "pmid" else F.col(f.name)
+            F.col(f"a.{f.name}").try_cast("bigint").alias("pmid")
+            if f.name == "pmid"
+            else F.col(f"a.{f.name}")
             for f in ARTICLE.fields
         ],
         "file_name",
@@ -49,33 +69,34 @@ def read_article_files(
 
     A missing folder reads as empty; a file that is malformed or holds no list
     is skipped. ``layout="any"`` parses each file as one text, which suits the
-    results of single queries. ``layout="lines"`` reads arrays with one record
-    per line, as ``write_articles`` makes them, in splits: files of any size
-    are shared among tasks.
+    results of single queries. Files of any size are shared among tasks if they
+    keep to a layout: ``lines`` has one record per line, as ``write_articles``
+    makes them; ``indented`` has records that start two blanks in, as most JSON
+    printers make them. There, a malformed record is skipped by itself.
     """
-    texts = _file_texts(spark, path, pattern, whole=layout == "any")
+    texts = _file_texts(spark, path, pattern, layout)
     if texts is None:
-        return spark.createDataFrame([], T.StructType([*ARTICLE.fields]).add("file_name", "string"))
-    if layout == "lines":
-        line = F.btrim("value", F.lit("[], \t\r"))
-        rows = texts.select(line.alias("line"), "file_name").where("line <> ''")
-        records = rows.select(F.from_json("line", ARTICLE_IN_FILE).alias("a"), "file_name")
-        return _typed(records.select("a.*", "file_name"))
-    rows = texts.select(F.explode(_records()).alias("a"), "file_name").where("a is not null")
-    return _typed(rows.select("a.*", "file_name"))
+        schema = T.StructType([*ARTICLE.fields]).add("file_name", "string")
+        return spark.createDataFrame([], schema)
+    if layout == "any":
+        return _typed(texts.select(F.explode(_array()).alias("a"), "file_name").where("a is not null"))
+    return _typed(_parts(texts, layout).where(F.col(f"a.{_BROKEN}").isNull()))
 
 
 def rejected_article_files(
-    spark: SparkSession, path: str, pattern: str = "*.json"
+    spark: SparkSession, path: str, layout: str = "any", pattern: str = "*.json"
 ) -> DataFrame:
-    """Files ``read_article_files`` skips, with the reason."""
-    texts = _file_texts(spark, path, pattern, whole=True)
+    """Files (or, in split layouts, records) that are skipped, with the reason."""
+    texts = _file_texts(spark, path, pattern, layout)
     if texts is None:
         return spark.createDataFrame([], "file_name string, reason string")
-    reason = F.when(
-        ~F.startswith(F.ltrim("value"), F.lit("[")), "not a list"
-    ).when(_records().isNull(), "malformed")
-    return texts.select("file_name", reason.alias("reason")).where("reason is not null")
+    if layout == "any":
+        reason = F.when(~F.startswith(F.ltrim("value"), F.lit("[")), "not a list").when(
+            _array().isNull(), "malformed"
+        )
+        return texts.select("file_name", reason.alias("reason")).where("reason is not null")
+    broken = _parts(texts, layout).where(F.col(f"a.{_BROKEN}").isNotNull())
+    return broken.select("file_name", F.lit("malformed").alias("reason"))
 
 
 def write_articles(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from citeloom.functions.paths import config_format
-from citeloom.operators.configs import validate_configs
+from citeloom.operators.configs import checked_configs, config_stages, split_checked
 from citeloom.operators.events import (
     created_paths,
     received_stage,
@@ -97,17 +97,18 @@ def config_stream(
     """Turn new config files into requests and rejects.
 
     ``texts`` streams ``(path, value)``; ``existing`` lists the metadata files
-    at the time of each batch. Results go to ``out/requests`` and
-    ``out/rejects``.
+    at the time of each batch. Results go to ``out/requests``, ``out/rejects``
+    and, as messages to the users, ``out/status``.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         found = routed(batch, root).where("route = 'config'").drop("project", "route")
-        parsed = parse_configs(found).persist()
-        requests, rejects = validate_configs(parsed, existing(), root)
-        requests.write.mode("overwrite").parquet(f"{out}/requests/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
-        parsed.unpersist()
+        checked = checked_configs(parse_configs(found), existing(), root).persist()
+        requests, rejects = split_checked(checked)
+        status = status_rows(config_stages(checked), F.current_timestamp())
+        for name, rows in (("requests", requests), ("rejects", rejects), ("status", status)):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        checked.unpersist()
 
     return _batch_sink(texts, handle, checkpoint, trigger)
 

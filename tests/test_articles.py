@@ -5,6 +5,7 @@ from citeloom.operators.enrich import enrich_journal, project_articles, rejected
 from citeloom.operators.fulltext import fetch_plan, pending_conversions, update_fulltext
 from citeloom.operators.history import run_summary
 from citeloom.operators.paging import limit_results, page_plan
+from citeloom.plans.fulltext import fulltext_run
 from citeloom.plans.metadata import metadata_run, write_metadata_run
 from citeloom.schemas import ARTICLE, RAW_ARTICLE
 from citeloom.sources.articles import duplicates_path
@@ -91,6 +92,19 @@ def test_pending_conversions(spark):
     assert rows(pending_conversions(left, other, by=["project"]), "name") == [("a.pdf",), ("b.pdf",)]
 
 
+def test_fulltext_run(spark, tmp_path):
+    for name in ("pdf/1.pdf", "html/1.html", "pdf/2.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    articles = spark.createDataFrame(
+        [(1, "", "", "", ""), (2, "", "", "", ""), (3, "", "d", "", "")],
+        "pmid bigint, pmcid string, doi string, pdf string, html string",
+    )
+    run = fulltext_run(spark, articles, f"{tmp_path}/pdf", f"{tmp_path}/html", "http://f", "s3://h")
+    assert rows(run.plan, "pmid", "action") == [(1, "update"), (2, "convert"), (3, "doi")]
+    assert [r[0] for r in rows(run.updated.where("pdf <> ''"), "pmid")] == [1, 2]
+
+
 def test_run_summary(spark):
     hits = spark.createDataFrame([("f", 1), ("f", 2), ("f", 2), ("g", 3)], "filename string, pmid int")
     kept = hits.where("pmid = 2")

@@ -82,6 +82,20 @@ def test_json_array_files_are_valid(spark, tmp_path):
         assert got.where("pmid = 4").first().title == 'x,\n]"'
 
 
+def test_indented_files_are_read_in_splits(spark, tmp_path):
+    records = [{"pmid": i, "title": "x\n  {" + "y" * 50, "impact_factor": 1.5} for i in range(400)]
+    folder = _put(tmp_path / "m", a__json=json.dumps(records, indent=2), b__json="[]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    got = read_article_files(spark, folder, "indented")
+    assert got.rdd.getNumPartitions() > 3
+    assert rows(got, "pmid", "title") == [(r["pmid"], r["title"]) for r in records]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    _put(tmp_path / "m", c__json='[\n  {\n    "pmid": 1\n  },\n  {\n    "pmid": \n  }\n]')
+    assert read_article_files(spark, folder, "indented").where("file_name = 'c.json'").count() == 1
+    assert rows(rejected_article_files(spark, folder, "indented")) == [("c.json", "malformed")]
+
+
 def test_empty_results_are_still_written(spark, tmp_path):
     none = spark.range(3).where("id > 5")
     write_articles(none, str(tmp_path / "a"), "json_array")
@@ -164,7 +178,7 @@ def test_query_configs(spark, tmp_path):
         h__json='{"author": "Me"}',
         i__yaml="query_str: x: y\nauthor: ~",
         j__json='{"query_str": 77}',
-        taken__json='{"query_str": "x"}',
+        taken__json='{"query_str": ""}',
     )
     _put(root / "p" / "config" / "deep", z__json='{"query_str": "x"}')
     configs = read_query_configs(spark, str(root)).withColumn("path", F.replace("path", F.lit("file:"), F.lit("")))

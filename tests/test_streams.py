@@ -77,6 +77,10 @@ def test_config_folder_stream(spark, tmp_path):
         [("new.yaml", "y")],
         [("late.json", "destination_exists"), ("old.json", "destination_exists")],
     )
+    status = spark.read.parquet(f"{tmp_path}/out/status")
+    assert rows(status.groupBy("stage").count()) == [
+        ("config_parsed", 1), ("config_received", 3), ("destination_exists", 2),
+    ]
 
 
 def test_conversion_stream_scans_touched_projects(spark, tmp_path):
