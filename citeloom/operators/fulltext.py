@@ -56,19 +56,23 @@ def fetch_plan(
 ) -> DataFrame:
     """Add ``action``: ``update``, ``convert``, ``pmc``, ``doi`` or ``none``.
 
-    Both inventories are put together by file stem first, so the articles are
-    joined once.
+    Both inventories are put together by file stem in one aggregation, so the
+    articles are joined once.
     """
-    has_html = (
-        htmls.where(F.endswith("name", F.lit(".html")))
-        .select(F.regexp_replace("name", r"\.html\z", "").alias("_stem"), F.lit(True).alias("_html"))
-        .distinct()
-    )
+
+    def stems(files: DataFrame, suffix: str, mark: str) -> DataFrame:
+        return files.where(F.endswith("name", F.lit(suffix))).select(
+            F.left("name", F.length("name") - len(suffix)).alias("_stem"),
+            F.lit(mark == "_pdf").alias("_pdf"),
+            F.lit(mark == "_html").alias("_html"),
+        )
+
     held = (
-        _pdf_names(pdfs)
-        .select(F.regexp_replace("name", r"\.pdf\z", "").alias("_stem"), F.lit(True).alias("_pdf"))
-        .distinct()
-        .join(has_html, "_stem", "left")
+        stems(pdfs, ".pdf", "_pdf")
+        .unionByName(stems(htmls, ".html", "_html"))
+        .groupBy("_stem")
+        .agg(F.max("_pdf").alias("_pdf"), F.max("_html").alias("_html"))
+        .where("_pdf")
     )
     action = (
         F.when(F.col("_pdf") & F.col("_html"), "update")
