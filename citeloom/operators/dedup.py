@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import is_valid_pmid
-from citeloom.operators.hotkeys import HOT_ROWS, lookup_join
+from citeloom.operators.hotkeys import HOT_ROWS, fits_broadcast, lookup_join
 from citeloom.operators.running import running_total
 from citeloom.storage import materialized
 
@@ -68,14 +68,22 @@ def duplicated_articles(
     """
     asked, held = with_key(incoming, valid_pmids(earlier))
     wanted = asked.select(_KEY).distinct()
-    holders = first_file(held).join(wanted, _KEY, "left_semi").select(_KEY, "file_name")
-    return lookup_join(held, holders, [_KEY, "file_name"], "left_semi", hot_rows).drop(_KEY)
+    keys = [_KEY, "file_name"]
+    if fits_broadcast(wanted):
+        # One holder at most per wanted id, so the holders are as few as those.
+        mine = held.join(F.broadcast(wanted), _KEY, "left_semi")
+        holders = first_file(mine).select(*keys)
+        return held.join(F.broadcast(holders), keys, "left_semi").drop(_KEY)
+    holders = first_file(held).join(wanted, _KEY, "left_semi").select(*keys)
+    return lookup_join(held, holders, keys, "left_semi", hot_rows).drop(_KEY)
 
 
 def dedup_tally(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
     """Per earlier file, in order: repeats found, ids taken out, ids left."""
     incoming_keyed, held = with_key(incoming, valid_pmids(earlier))
     asked = incoming_keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_asked"))
+    if fits_broadcast(asked):
+        held = held.join(F.broadcast(asked.select(_KEY)), _KEY, "left_semi")
     hits = (
         first_file(held)
         .join(asked, _KEY)

@@ -1,9 +1,10 @@
 """Joins that stay even when one key holds a large share of the rows.
 
 All of them join many rows to a lookup that has one row per key. A small lookup
-is left to Catalyst, which broadcasts it, so the rows never move. Past the
-broadcast limit both sides shuffle; then the rows of a hot key are spread over
-several salts and the lookup row of that key is repeated once per salt.
+is left to Catalyst, which broadcasts it, so the rows never move. If it is the
+rows that are few, the lookup is first cut to their keys. When both are large
+both shuffle; then the rows of a hot key are spread over several salts and the
+lookup row of that key is repeated once per salt.
 """
 
 from __future__ import annotations
@@ -80,6 +81,9 @@ def lookup_join(
     """
     if fits_broadcast(lookup):
         return rows.join(lookup, keys, how)
+    if fits_broadcast(rows):
+        asked = rows.select(*keys).distinct()
+        return rows.join(lookup.join(F.broadcast(asked), keys, "left_semi"), keys, how)
     return split_join(rows, lookup, keys, how, hot_rows, count_in)
 
 
