@@ -220,14 +220,14 @@ FROM (SELECT query, n, unnest(generate_series(0, n // 250)) AS page FROM counts)
 
 
 def q_concat_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of hits by status, put together; ids of both halves repeat."""
+    """Pages of hits by status, put together; the first page comes twice."""
     orders = t.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pmid"), "o_orderstatus")
-    pages = [orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")]
-    return concat_pages([*pages, orders.where("pmid % 2 = 0")])
+    pages = [orders.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P", "F")]
+    return concat_pages(pages)
 
 
 _CONCAT = """SELECT o_orderkey AS pmid, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')
-UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0"""
+UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'"""
 
 
 def q_update_fulltext(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,16 +383,15 @@ FROM customer GROUP BY c_mktsegment"""
 
 
 def q_split_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of frequent parts spread over salts, whatever the lookup's size."""
+    """Rows of frequent parts spread over salts; large parts are in the lookup."""
     rows = t.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"))
-    lookup = t.table(spark, sf, "part").where("p_partkey % 2 = 0").select(
-        F.col("p_partkey").alias("part"), "p_name"
-    )
+    parts = t.table(spark, sf, "part").where("p_size > 25")
+    lookup = parts.select(F.col("p_partkey").alias("part"), "p_name")
     return split_join(rows, lookup, ["part"], "left", hot_rows=30)
 
 
 _SPLIT = """SELECT l_orderkey, l_linenumber, l_partkey AS part, p_name
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) p ON p_partkey = l_partkey"""
+FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) p ON p_partkey = l_partkey"""
 
 
 def q_running_total(spark: SparkSession, sf: str) -> DataFrame:

@@ -176,31 +176,33 @@ def q_config_stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _project_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Every purchase has a PDF, every third one its HTML too."""
+    """Every purchase has a PDF, those of a low value their HTML too.
+
+    The files lie in seven projects, of which the events touch five.
+    """
     bought = t.table(spark, sf, "events").where("event_type = 'purchase'")
-    project = F.concat(F.lit("p"), F.col("user_id") % 5).alias("project")
+    project = F.concat(F.lit("p"), F.col("user_id") % 7).alias("project")
     pdfs = bought.select(project, F.concat("event_id", F.lit(".pdf")).alias("name"))
-    htmls = bought.where("event_id % 3 = 0").select(
+    htmls = bought.where("value < 5").select(
         project, F.concat("event_id", F.lit(".html")).alias("name")
     )
     return pdfs, htmls
 
 
 def q_conversion_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """New PDFs of three projects; the other two are not scanned."""
+    """New PDFs start a scan of their projects; the others are left alone."""
     base = shared_dir(spark, "conversions")
-    events = _table_stream(spark, sf, "events").where("user_id % 5 < 3")
-    routes = jobs.event_stream(t.notification_columns(events), t.ROOT)
+    routes = jobs.event_stream(_notification_stream(spark, sf), t.ROOT)
     jobs.conversion_stream(
         routes, lambda: _project_files(spark, sf), f"{base}/out", f"{base}/checkpoint"
     ).awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")
 
 
-_CONVERSIONS = """SELECT 'p' || (user_id % 5) AS project, event_id || '.pdf' AS name FROM events e
-WHERE event_type = 'purchase' AND event_id % 3 <> 0 AND user_id % 5 < 3
-  AND EXISTS (SELECT 1 FROM events n WHERE n.user_id % 5 = e.user_id % 5
-              AND n.event_type = 'purchase' AND n.event_id % 4 <> 0)"""
+_CONVERSIONS = f"""WITH {t.EVENTS}
+SELECT 'p' || (user_id % 7) AS project, event_id || '.pdf' AS name FROM events
+WHERE event_type = 'purchase' AND NOT value < 5
+  AND 'p' || (user_id % 7) IN (SELECT project FROM routed WHERE route = 'pdf')"""
 
 
 QUERIES = {
