@@ -104,6 +104,7 @@ def is_watched(path: Column, strict: bool = False) -> Column:
     By default the suffix may stand anywhere in the path; ``strict`` asks for
     it at the end.
     """
+    # Watched suffixes, and the storage server's own files.
     suffix = r"(?i)\.(json|pdf|bib|yaml|yml)" + ("$" if strict else "")
     ignored = r"(?i)\.gitkeep|\.minio.sys"
     return path.rlike(suffix) & ~path.rlike(ignored)
