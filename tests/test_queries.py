@@ -32,7 +32,7 @@ def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
     return frame[columns].sort_values(columns, na_position="last").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(name, spark, sf_dir, duck):
     got = _sorted(QUERIES[name](spark, sf_dir).toPandas())
     want = _sorted(duck.execute(SQL[name]).df())
