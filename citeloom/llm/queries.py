@@ -8,12 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.decontaminate import decontaminate
+from citeloom.llm.mixing import mix_sources
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: Target weights of the test tables' sources; any other source weighs 1.
+WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
+
+
+def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_sources(_table(spark, sf, "documents"), WEIGHTS)
+
+
+SQL_1 = """
+WITH counts AS (
+  SELECT source, count(*) AS n,
+         CASE WHEN regexp_matches(source, '^src(1?[0-9])$')
+              THEN 1.0 + CAST(substr(source, 4) AS INT) % 4 ELSE 1.0 END::DOUBLE AS weight
+  FROM documents GROUP BY source),
+rates AS (
+  SELECT source, weight / sum(weight) OVER () * sum(n) OVER () / n AS rate,
+         CAST(ceil(rate / 8) AS INT) AS parts FROM counts),
+terms AS (
+  SELECT source, parts, list_transform(range(0, 65),
+         lambda k: exp(-rate / parts) * pow(rate / parts, k) / gamma(k + 1)) AS term FROM rates),
+tables AS (
+  SELECT source, parts, list_transform(range(1, 66),
+         lambda i: list_sum(term[1 : i])) AS below FROM terms),
+draws AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars,
+         CAST(list_sum(list_transform(range(1, parts + 1), lambda p: len(list_filter(below, lambda c: c <=
+           (CAST('0x' || substr(md5('n0|' || d.doc_id || '|' || p), 1, 13) AS BIGINT) + 0.5)
+           / 4503599627370496.0)))) AS INT) AS n_copies
+  FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, text, lang, source, n_chars, n_copies, CAST(copy AS INT) AS copy,
+       CAST('0x' || substr(md5('p0|' || doc_id || '|' || copy), 1, 15) AS BIGINT) AS position
+FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM draws WHERE n_copies > 0)
+"""
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.select(
@@ -59,5 +95,6 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
 }
