@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.decontaminate import decontaminate
 from citeloom.llm.mixing import mix_sources
+from citeloom.llm.setsketch import near_duplicates
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -94,7 +95,34 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"), n=3, percent=85)
+
+
+SQL_10 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, '[^ \\t\\n\\x{{0B}}\\f\\r]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k
+        FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT doc_id AS id, doc_id AS low FROM d
+          UNION SELECT b, low FROM reach JOIN links ON id = a),
+least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id,
+       d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = least.id
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
+    "op10_near_duplicates": (op10_near_duplicates, SQL_10),
 }
