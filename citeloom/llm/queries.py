@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.decontaminate import decontaminate
+from citeloom.llm.language import identify
 from citeloom.llm.mixing import mix_sources
 from citeloom.llm.setsketch import near_duplicates
 
@@ -51,6 +52,10 @@ FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM draws WHERE n_copies
 """
 
 
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(_table(spark, sf, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.select(
@@ -123,6 +128,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = least.id
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, SQL_1),
+    "op2_language": (op2_language, None),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
 }
