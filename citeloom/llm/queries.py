@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.decontaminate import decontaminate
 from citeloom.llm.language import identify
+from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
 from citeloom.llm.setsketch import near_duplicates
 
@@ -100,6 +101,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op8_dedup_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), n=3, percent=85)
 
@@ -130,5 +135,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op2_language": (op2_language, None),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
+    "op8_dedup_lines": (op8_dedup_lines, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
 }
