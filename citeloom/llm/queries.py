@@ -12,6 +12,7 @@ from citeloom.llm.language import identify
 from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
 from citeloom.llm.setsketch import near_duplicates
+from citeloom.llm.substrings import repeated_substrings
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -57,6 +58,10 @@ def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(_table(spark, sf, "documents"))
 
 
+def op3_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_substrings(_table(spark, sf, "documents")).drop("spans")
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.select(
@@ -134,6 +139,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = least.id
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op2_language": (op2_language, None),
+    "op3_repeated_substrings": (op3_repeated_substrings, None),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
     "op8_dedup_lines": (op8_dedup_lines, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
