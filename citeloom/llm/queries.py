@@ -11,6 +11,7 @@ from citeloom.llm.decontaminate import decontaminate
 from citeloom.llm.language import identify
 from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
+from citeloom.llm.ngrams import score_texts
 from citeloom.llm.setsketch import near_duplicates
 from citeloom.llm.substrings import repeated_substrings
 
@@ -62,6 +63,10 @@ def op3_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_substrings(_table(spark, sf, "documents")).drop("spans")
 
 
+def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(_table(spark, sf, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     found = decontaminate(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
     return found.select(
@@ -140,6 +145,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op2_language": (op2_language, None),
     "op3_repeated_substrings": (op3_repeated_substrings, None),
+    "op5_lm_score": (op5_lm_score, None),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
     "op8_dedup_lines": (op8_dedup_lines, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
