@@ -12,6 +12,7 @@ from citeloom.llm.language import identify
 from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
 from citeloom.llm.ngrams import score_texts
+from citeloom.llm.pages import extract
 from citeloom.llm.setsketch import near_duplicates
 from citeloom.llm.substrings import repeated_substrings
 
@@ -111,6 +112,10 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op7_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return extract(_table(spark, sf, "pages"))
+
+
 def op8_dedup_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(_table(spark, sf, "documents"))
 
@@ -147,6 +152,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_repeated_substrings": (op3_repeated_substrings, None),
     "op5_lm_score": (op5_lm_score, None),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
+    "op7_extract": (op7_extract, None),
     "op8_dedup_lines": (op8_dedup_lines, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
 }
