@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.decontaminate import decontaminate
+from citeloom.llm.embeddings import near_vectors
 from citeloom.llm.language import identify
 from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
@@ -64,6 +65,28 @@ def op3_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return repeated_substrings(_table(spark, sf, "documents")).drop("spans")
 
 
+def op4_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(_table(spark, sf, "embeddings"))
+
+
+SQL_4 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v
+      WHERE x IS NOT NULL AND list_inner_product(x, x) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.vec_id <> b.vec_id AND list_inner_product(a.x, b.x) >= 0.9 * a.n * b.n),
+reach AS (SELECT vec_id AS id, vec_id AS low FROM v
+          UNION SELECT b, low FROM reach JOIN links ON id = a),
+least AS (SELECT id, min(low) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(counts.n, 0) AS BIGINT) AS n_links, component_id,
+       vec_id = component_id AS kept
+FROM v JOIN least ON id = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
+
 def op5_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(_table(spark, sf, "documents"))
 
@@ -150,6 +173,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op2_language": (op2_language, None),
     "op3_repeated_substrings": (op3_repeated_substrings, None),
+    "op4_near_vectors": (op4_near_vectors, SQL_4),
     "op5_lm_score": (op5_lm_score, None),
     "op6_decontaminate": (op6_decontaminate, SQL_6),
     "op7_extract": (op7_extract, None),
