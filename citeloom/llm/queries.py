@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citeloom.llm.decontaminate import decontaminate
 from citeloom.llm.embeddings import near_vectors
 from citeloom.llm.language import identify
+from citeloom.llm.licenses import scan
 from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
 from citeloom.llm.ngrams import score_texts
@@ -143,6 +144,10 @@ def op8_dedup_lines(spark: SparkSession, sf: str) -> DataFrame:
     return dedup_lines(_table(spark, sf, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return scan(_table(spark, sf, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"), n=3, percent=85)
 
@@ -178,5 +183,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_decontaminate": (op6_decontaminate, SQL_6),
     "op7_extract": (op7_extract, None),
     "op8_dedup_lines": (op8_dedup_lines, None),
+    "op9_licenses": (op9_licenses, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
 }
