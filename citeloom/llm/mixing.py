@@ -109,9 +109,9 @@ def mix_sources(
     parts = F.ceil(F.col("rate") / F.lit(PART_MEAN)).cast("int")
     rates = stored(
         rates.select(
-            F.col("source").alias("_source"),
-            parts.alias("_parts"),
-            _cumulative(F.col("rate") / parts).alias("_cumulative"),
+            F.col("source").alias("name"),
+            parts.alias("parts"),
+            _cumulative(F.col("rate") / parts).alias("cumulative"),
         ),
         "rates",
     )
@@ -119,14 +119,14 @@ def mix_sources(
     # part of the rows is left to the run-time split of the shuffled join.
     if rates.count() <= BROADCAST_RATES:
         rates = F.broadcast(rates)
+    # The document's own columns stay in one, so that none of them can clash.
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
-    drawn = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_key", key).withColumn(
-        "n_copies", _draw(F.col("_key"), F.col("_parts"), F.col("_cumulative"), seed)
-    )
+    whole = docs.select(F.struct(*taken).alias("row"), F.col("source").alias("of"), key.alias("key"))
+    drawn = whole.join(rates, F.col("of").eqNullSafe(F.col("name")))
+    drawn = drawn.withColumn("n_copies", _draw(F.col("key"), F.col("parts"), F.col("cumulative"), seed))
     copies = drawn.where("n_copies > 0").withColumn(
         "copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))
     )
-    place = _digits(F.concat_ws("|", F.lit(f"p{seed}"), F.col("_key"), F.col("copy")), 15)
-    copies = copies.select(*taken, "n_copies", "copy", place.alias("position"))
+    place = _digits(F.concat_ws("|", F.lit(f"p{seed}"), F.col("key"), F.col("copy")), 15)
+    copies = copies.select("row.*", "n_copies", "copy", place.alias("position"))
     return copies.repartition("position").sortWithinPartitions("position", "doc_id", "copy")

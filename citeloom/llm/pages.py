@@ -84,12 +84,26 @@ EXAMPLES = """
 6 0.0 1 1.0 1 0.0 1 1
 300 0.0 0 0.0 0 0.0 1 1
 3 0.0 0 0.0 0 0.0 1 1
+1 0.0 5 0.0 1 0.0 1 1
+1 0.0 1 1.0 30 0.0 1 1
+2 0.5 2 0.0 2 1.0 1 1
+3 1.0 4 0.9 2 1.0 1 1
+5 1.0 1 1.0 1 1.0 1 1
+8 0.8 8 0.9 9 0.9 1 1
+1 1.0 6 0.0 0 0.0 1 1
+4 0.0 3 0.0 1 1.0 1 1
+7 0.3 90 0.0 4 0.0 1 1
+2 0.0 14 0.2 14 0.2 1 1
 1 1.0 0 0.0 1 1.0 0 0
 3 1.0 2 1.0 3 1.0 0 0
 4 0.9 60 0.0 3 1.0 0 0
 12 0.8 10 0.9 12 0.7 0 0
 25 0.7 20 0.8 22 0.6 0 0
 40 0.6 8 0.9 9 0.9 0 0
+30 0.9 5 0.5 60 0.0 0 0
+6 1.0 4 1.0 80 0.0 0 0
+3 1.0 2 1.0 50 0.0 0 0
+20 0.8 70 0.0 60 0.0 0 0
 2 0.0 1 1.0 2 1.0 0 0
 5 0.0 3 1.0 4 0.8 0 0
 7 0.0 2 0.0 3 0.9 0 0
@@ -108,6 +122,10 @@ EXAMPLES = """
 28 0.0 4 0.0 3 0.0 0 1
 18 0.0 60 0.0 45 0.0 0 1
 6 0.0 70 0.0 80 0.0 0 1
+2 0.0 60 0.0 0 0.0 0 1
+3 0.0 45 0.0 0 0.0 0 1
+4 0.0 80 0.0 5 0.0 0 1
+40 0.0 2 1.0 3 0.0 0 1
 3 0.0 40 0.0 90 0.0 0 1
 90 0.1 20 0.0 6 0.9 0 1
 200 0.0 0 0.0 0 0.0 0 1
