@@ -8,9 +8,11 @@ is first estimated from how many registers are larger, smaller and equal, at the
 maximum of their joint likelihood, and then confirmed on the full sets.
 
 Only components are wanted, so pairs within a bucket are not listed. Every
-document is compared with the first of its bucket; what then stands in one
-component needs no comparison. The rest of a bucket is compared with all of it
-in tiles of bounded size.
+document is compared with the first of its bucket, then with one that a hash
+picks among those of other components; what stands in one
+component needs no comparison. What is then left apart in a bucket is compared
+with all of it in tiles of bounded size, and a tile tells only the links that
+join components.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ from citeloom.llm.words import NOT_SPACE, mix, pieces, shingles, words_of
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 BASE = 1.001
-#: An estimate may be this much too low (about six standard errors).
-MARGIN = 0.2
+#: An estimate may be this much too low (over five standard errors).
+MARGIN = 0.18
+#: Rounds with one partner each before the rest is compared in tiles.
+ROUNDS = 1
 #: Documents of a tile in the comparison of what the first round left apart.
 TILE = 256
 _SALT = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -143,27 +148,48 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(sketch, SKETCH_SCHEMA)
 
 
+def _band_keys(rows: np.ndarray) -> np.ndarray:
+    """The key of each band of each row of registers."""
+    rows = rows.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(_SALT[:BANDS], rows.shape[:2])
+    for k in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16)
-        rows = rows.reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(_SALT[:BANDS], rows.shape[:2])
-        for k in range(ROWS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
         ids = batch.column("doc_id").to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))],
+            [pa.array(_band_keys(rows).ravel()), pa.array(np.repeat(ids, BANDS))],
             names=["key", "doc_id"],
         )
 
 
-def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+def _likely(
+    a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float
+) -> np.ndarray:
     """Pairs of register rows whose sets may overlap enough."""
     fits = np.minimum(na, nb) >= least * np.maximum(na, nb) * (1 - 1e-9)
-    more, less = (a > b).sum(-1), (a < b).sum(-1)
-    return fits & (estimate(more, less, na.astype(float), nb.astype(float)) >= least - MARGIN)
+    # Registers are equal about as often as the sets overlap; what is far off that
+    # needs no estimate.
+    fits &= (a == b).sum(-1) >= (least - MARGIN - 0.05) * REGISTERS
+    i = np.flatnonzero(fits)
+    if len(i):
+        a = a[i] if a.ndim > 1 else a
+        more, less = (a > b[i]).sum(-1), (a < b[i]).sum(-1)
+        fits[i] = estimate(more, less, na[i].astype(float), nb[i].astype(float)) >= least - MARGIN
+    return fits
+
+
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two full sets of hashes share enough of their union."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,37 +217,49 @@ def _confirmed(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, percent: in
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            good = [
+                _linked(x.as_py(), y.as_py(), percent)
+                for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return full.select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long")
 
 
-def _apart(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of one bucket that are in different components so far.
+def _partners(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a document and one of another component that a hash picks in its bucket."""
+    pick = F.min(F.struct(F.xxhash64("doc_id", "key", F.lit(turn)), "doc_id", "component"))
+    heads = placed.groupBy("key").agg(
+        pick.alias("h"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    heads = heads.where("low < high").select(
+        "key", F.col("h.doc_id").alias("a"), F.col("h.component").alias("its")
+    )
+    pairs = placed.join(stored(heads, "picked"), "key").where("component <> its")
+    return pairs.select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
 
-    What shares the component of a bucket's first document needs no comparison
-    among itself. The others, in tiles, meet all documents of the bucket, in
-    tiles; a group of two tiles is compared at a time.
+
+def _apart(placed: DataFrame, sketch: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of one bucket that are in different components so far.
+
+    What shares a bucket's most frequent component needs no comparison among
+    itself. The others, in tiles, meet all documents of the bucket, in tiles; a
+    group is two tiles, and once two components are joined in it they count as one.
     """
     least = percent / 100
-    odd = (F.col("component") != F.col("first")).cast("int")
-    buckets = members.groupBy("key").agg(
-        F.count("*").alias("n"), F.sum(odd).alias("n_odd"), F.max("first").alias("_f")
+    buckets = placed.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.mode("component").alias("main"),
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
     )
-    buckets = stored(
-        buckets.where("n_odd > 0").select(
-            "key",
-            F.ceil(F.col("n") / TILE).cast("int").alias("tiles"),
-            F.ceil(F.col("n_odd") / TILE).cast("int").alias("odd_tiles"),
-        ),
-        "buckets",
+    buckets = stored(buckets.where("low < high").select("key", "n", "main"), "split-buckets")
+    rows = placed.join(buckets, "key").withColumn("odd", F.col("component") != F.col("main"))
+    counts = rows.groupBy("key").agg(F.sum(F.col("odd").cast("int")).alias("n_odd"))
+    rows = rows.join(stored(counts, "odd-counts"), "key")
+    rows = rows.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn(
+        "odd_tiles", F.ceil(F.col("n_odd") / TILE).cast("int")
     )
-    rows = members.join(buckets, "key").withColumn("odd", odd == 1)
     place = F.xxhash64("doc_id")
     all_rows = rows.select(
         "key",
@@ -239,35 +277,60 @@ def _apart(members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
         "component",
         F.lit(True).alias("odd"),
     )
-    full = all_rows.unionAll(odd_rows).join(
-        sketch.select("doc_id", "n_shingles", "registers"), "doc_id"
-    )
+    full = all_rows.unionAll(odd_rows)
+    full = full.join(sketch.select("doc_id", "n_shingles", "registers"), "doc_id")
+    full = full.join(sets, "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
         mine = table.filter(table.column("odd"))
-        others = table.filter(pa.compute.invert(table.column("odd")))
+        others = table.filter(pc.invert(table.column("odd")))
         regs = [
-            np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16)
             for t in (mine, others)
         ]
-        ids, parts, sizes = (
+        regs = [r.reshape(-1, REGISTERS) for r in regs]
+        (id_a, id_b), (part_a, part_b), (n_a, n_b) = (
             [t.column(c).to_numpy() for t in (mine, others)]
             for c in ("doc_id", "component", "n_shingles")
         )
-        out_a, out_b = [], []
-        for i in range(len(mine)):
-            good = (parts[1] != parts[0][i]) & _likely(
-                regs[0][i], regs[1], np.full(len(others), sizes[0][i]), sizes[1], least
+        hash_a, hash_b = mine.column("hashes"), others.column("hashes")
+        band = int((_band_keys(regs[0][:1])[0] == table.column("key")[0].as_py()).argmax())
+        before = slice(0, band * ROWS)
+        rows, cols = [], []
+        for i in range(0, len(mine), 32):
+            near = (regs[0][i : i + 32, None] == regs[1][None]).sum(-1)
+            r, c = np.nonzero(
+                (near >= (least - MARGIN - 0.05) * REGISTERS)
+                & (part_a[i : i + 32, None] != part_b[None])
             )
-            other = ids[1][good]
-            out_a.append(np.minimum(other, ids[0][i]))
-            out_b.append(np.maximum(other, ids[0][i]))
-        none = np.empty(0, np.int64)
-        return pa.table(
-            {"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])}
-        )
-
-    return full.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            rows.append(r + i)
+            cols.append(c)
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        # Two documents that share several buckets are compared in the first of them.
+        earlier = regs[0][rows, before] == regs[1][cols, before]
+        new = ~earlier.reshape(len(rows), band, ROWS).all(2).any(1)
+        rows, cols = rows[new], cols[new]
+        good = _likely(regs[0][rows], regs[1][cols], n_a[rows], n_b[cols], least)
+        root = {int(x): int(x) for x in np.concatenate([part_a, part_b])}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for i, k in zip(rows[good], cols[good], strict=True):
+            x, y = find(int(part_a[i])), find(int(part_b[k]))
+            if x != y and _linked(hash_a[i].as_py(), hash_b[k].as_py(), percent):
+                links.append((min(id_a[i], id_b[k]), max(id_a[i], id_b[k])))
+                root[max(x, y)] = min(x, y)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"a": a, "b": b})
+
+    # Many small tasks: the work lies in comparing, not in bytes.
+    tasks = 4 * int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(tasks, "key", "i", "j")
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -322,21 +385,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     links = stored(_confirmed(stored(stars.distinct(), "pairs"), sketch, sets, percent), "linked")
     found = stored(components(links), "found")
-    part = F.coalesce("component", "doc_id").alias("component")
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    placed = placed.select("key", "doc_id", "leader", part)
-    heads_part = found.select(F.col("id").alias("leader"), F.col("component").alias("_first"))
-    placed = placed.join(heads_part, "leader", "left")
-    placed = stored(
-        placed.select(
-            "key", "doc_id", "component", F.coalesce("_first", "leader").alias("first")
-        ),
-        "placed",
-    )
-    rest = stored(_apart(placed, sketch, percent), "rest")
+
+    def placed() -> DataFrame:
+        known = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        part = F.coalesce("component", "doc_id").alias("component")
+        return stored(known.select("key", "doc_id", part), "placed")
+
+    for turn in range(ROUNDS):
+        pairs = stored(_partners(placed(), turn).distinct(), "pairs")
+        more = stored(_confirmed(pairs, sketch, sets, percent), "linked")
+        if more.isEmpty():
+            break
+        links = links.unionAll(more)
+        found = stored(components(links), "found")
+    rest = stored(_apart(placed(), sketch, sets, percent), "rest")
     if not rest.isEmpty():
-        more = _confirmed(rest, sketch, sets, percent)
-        found = stored(components(stored(links.unionAll(more), "all-links")), "found")
+        found = stored(components(links.unionAll(rest)), "found")
 
     joined = headed.select("doc_id", F.col("head").alias("id")).join(found, "id", "left")
     # An id with several texts links whatever these are linked with.
