@@ -12,6 +12,7 @@ from citeloom.operators.access import (
     access_plan,
     bucket_layout,
     group_drift,
+    group_member_parts,
     group_members,
     organization_members,
     regular_members,
@@ -72,19 +73,26 @@ def q_member_key(spark: SparkSession, sf: str) -> DataFrame:
 _KEY = f"WITH {t.ACCOUNTS} SELECT id, md5(email || ':' || id) AS member_key FROM memberships"
 
 
+def _flag_as_text(users: DataFrame) -> DataFrame:
+    """The flag may be null, which a column of truth values cannot always show."""
+    return users.withColumn("is_superuser", F.col("is_superuser").cast("string"))
+
+
 def q_regular_members(spark: SparkSession, sf: str) -> DataFrame:
-    return regular_members(t.memberships(spark, sf))
+    return _flag_as_text(regular_members(t.memberships(spark, sf)))
 
 
-_REGULAR = f"WITH {t.ACCOUNTS} SELECT * FROM memberships WHERE NOT is_superuser"
+_REGULAR = f"""WITH {t.ACCOUNTS}
+SELECT * REPLACE (CAST(is_superuser AS VARCHAR) AS is_superuser)
+FROM memberships WHERE is_superuser IS NOT TRUE"""
 
 
 def q_organization_members(spark: SparkSession, sf: str) -> DataFrame:
-    return organization_members(t.organizations(spark, sf), t.memberships(spark, sf))
+    return _flag_as_text(organization_members(t.organizations(spark, sf), t.memberships(spark, sf)))
 
 
 _ORG_MEMBERS = f"""WITH {t.ACCOUNTS}
-SELECT m.*, o.bucket FROM memberships m JOIN orgs o ON o.id = m.organization"""
+SELECT m.* REPLACE (CAST(is_superuser AS VARCHAR) AS is_superuser), o.bucket FROM memberships m JOIN orgs o ON o.id = m.organization"""
 
 
 def q_split_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,11 +107,11 @@ def _as_text(groups: DataFrame) -> DataFrame:
 
 
 def q_group_members(spark: SparkSession, sf: str) -> DataFrame:
-    return _as_text(group_members(_members(spark, sf)))
+    return group_members(_members(spark, sf))
 
 
 def q_group_members_in_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return _as_text(group_members(_members(spark, sf), batch=20))
+    return _as_text(group_member_parts(_members(spark, sf), batch=20))
 
 
 def _groups_sql(batch: int) -> str:
@@ -176,10 +184,10 @@ def q_read_memberships(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_dir(spark, "snapshot")
     _write_snapshot(spark, sf, folder)
     users = read_memberships(spark, f"{folder}/memberships")
-    return users.select("organization", "id", "email", "is_superuser")
+    return _flag_as_text(users.select("organization", "id", "email", "is_superuser"))
 
 
-_MEMBERSHIPS = f"WITH {t.ACCOUNTS} SELECT * FROM memberships"
+_MEMBERSHIPS = f"WITH {t.ACCOUNTS} SELECT * REPLACE (CAST(is_superuser AS VARCHAR) AS is_superuser) FROM memberships"
 
 
 def q_read_registered_users(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +201,9 @@ _REGISTERED = f"WITH {t.ACCOUNTS} SELECT * FROM registered"
 
 def q_read_group_members(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "groups")
-    groups = group_members(_members(spark, sf)).select(F.col("bucket").alias("groupName"), "members")
+    groups = group_member_parts(_members(spark, sf), 1_000).select(
+        F.col("bucket").alias("groupName"), "members"
+    )
     write_articles(groups, path, "json_array")
     return read_group_members(spark, path)
 
@@ -223,7 +233,7 @@ QUERIES = {
     "regular_members": (q_regular_members, _REGULAR),
     "organization_members": (q_organization_members, _ORG_MEMBERS),
     "split_members": (q_split_members, _SPLIT),
-    "group_members": (q_group_members, _groups_sql(1000)),
+    "group_members": (q_group_members, f"WITH {t.ACCOUNTS} SELECT DISTINCT bucket, email FROM members"),
     "group_members_in_parts": (q_group_members_in_parts, _groups_sql(20)),
     "access_plan": (q_access_plan, _PLAN),
     "group_drift": (q_group_drift, _DRIFT),

@@ -82,13 +82,12 @@ factors AS (
 
 
 def incoming_ids(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").where("o_orderstatus = 'F'")
-    return orders.select(F.col("o_orderkey").alias("pmid"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("pmid"))
 
 
 INCOMING = """
 incoming AS (
-  SELECT o_orderkey AS pmid FROM orders WHERE o_orderstatus = 'F')"""
+  SELECT o_orderkey AS pmid FROM orders)"""
 
 
 def earlier_articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,7 +187,10 @@ def memberships(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_nationkey").cast("bigint").alias("organization"),
         F.col("c_custkey").alias("id"),
         F.concat("c_name", F.lit("@x.org")).alias("email"),
-        ((F.col("c_mktsegment") == "MACHINERY") | (F.col("c_nationkey") == 0)).alias("is_superuser"),
+        F.when(
+            F.col("c_custkey") % 11 != 0,
+            (F.col("c_mktsegment") == "MACHINERY") | (F.col("c_nationkey") == 0),
+        ).alias("is_superuser"),
     )
 
 
@@ -205,7 +207,8 @@ orgs AS (
 memberships AS (
   SELECT CAST(c_nationkey AS BIGINT) AS organization, c_custkey AS id,
          c_name || '@x.org' AS email,
-         c_mktsegment = 'MACHINERY' OR c_nationkey = 0 AS is_superuser
+         CASE WHEN c_custkey % 11 <> 0
+              THEN c_mktsegment = 'MACHINERY' OR c_nationkey = 0 END AS is_superuser
   FROM customer),
 registered AS (
   SELECT c_name || '@x.org' AS accessKey FROM customer WHERE c_custkey % 3 = 0),
@@ -213,11 +216,14 @@ members AS (
   SELECT m.organization, o.bucket, m.id, m.email,
          m.email IN (SELECT accessKey FROM registered) AS is_registered
   FROM memberships m JOIN orgs o ON o.id = m.organization
-  WHERE NOT m.is_superuser)"""
+  WHERE m.is_superuser IS NOT TRUE)"""
 
 
 def bib_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Bibliography text: one entry per document, a file per source."""
+    """Bibliography text: one entry per document, a file per source.
+
+    Some abstracts hold lines that look like entries, and there are comments.
+    """
     doc = F.col("doc_id")
     pmid = F.when(doc % 2 == 0, F.concat(F.lit(",\n  pmid = {"), doc, F.lit("}"))).otherwise("")
     url = (
@@ -226,18 +232,20 @@ def bib_chunks(spark: SparkSession, sf: str) -> DataFrame:
         .when(doc % 5 == 0, ",\n  url = {https://journal.example.org/1}")
         .otherwise("")
     )
-    entry = F.concat(F.lit("@article{k"), doc, F.lit(",\n  title = {T}"), pmid, url, F.lit("\n}"))
-    return table(spark, sf, "documents").select(
-        F.col("source").alias("file_name"),
-        F.floor(doc / 1000).alias("block"),
-        doc.alias("pos"),
-        entry.alias("value"),
+    abstract = F.when(doc % 4 == 0, ",\n  abstract = {see\n@misc{x, {a}} and\n@home}").otherwise("")
+    comment = F.when(doc % 9 == 0, "@comment{c, pmid = {1}}\n").otherwise("")
+    entry = F.concat(
+        comment, F.lit("@article{k"), doc, F.lit(",\n  title = {T}"), abstract, pmid, url, F.lit("\n}\n")
     )
+    entries = table(spark, sf, "documents").select("source", doc.alias("doc"), entry.alias("entry"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc", "entry"))), lambda e: e["entry"])
+    return entries.groupBy(F.col("source").alias("file_name")).agg(F.array_join(texts, "").alias("value"))
 
 
 BIB = """
 entries AS (
-  SELECT source AS file_name, CAST(doc_id // 1000 AS BIGINT) AS block, doc_id AS pos,
+  SELECT source AS file_name,
+         CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS pos,
          CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) END AS pmid,
          CASE WHEN doc_id % 6 = 0 THEN 'https://pubmed.example.org/' || (doc_id + 7)
               WHEN doc_id % 3 = 0 THEN 'https://pubmed.example.org/'

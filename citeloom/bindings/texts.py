@@ -163,7 +163,7 @@ SELECT project, path, reason, CAST(generate_subscripts(stages, 1) - 1 AS INTEGER
 
 
 def q_bib_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return split_entries(t.bib_chunks(spark, sf)).select("file_name", "block", "pos", "pmid", "url")
+    return split_entries(t.bib_chunks(spark, sf))
 
 
 _ENTRIES = f"WITH {t.BIB} SELECT * FROM entries"
@@ -172,11 +172,11 @@ _ENTRIES = f"WITH {t.BIB} SELECT * FROM entries"
 def q_read_bib_files(spark: SparkSession, sf: str) -> DataFrame:
     """The bibliography written out and read back."""
     path = shared_dir(spark, "bib")
-    t.bib_chunks(spark, sf).select("value").write.text(path)
-    return read_bib_entries(spark, path).select("pmid", "url")
+    t.bib_chunks(spark, sf).write.partitionBy("file_name").text(path)
+    return read_bib_entries(spark, path).select("pos", "pmid", "url")
 
 
-_BIB_FILES = f"WITH {t.BIB} SELECT pmid, url FROM entries"
+_BIB_FILES = f"WITH {t.BIB} SELECT pos, pmid, url FROM entries"
 
 
 def q_build_query(spark: SparkSession, sf: str) -> DataFrame:
@@ -185,14 +185,14 @@ def q_build_query(spark: SparkSession, sf: str) -> DataFrame:
 
 _BUILD = f"""WITH {t.BIB},
 ids AS (
-  SELECT file_name, block, pos, 0 AS k, pmid AS id FROM entries WHERE pmid IS NOT NULL
+  SELECT file_name, pos, 0 AS k, pmid AS id FROM entries WHERE pmid IS NOT NULL
   UNION ALL
-  SELECT file_name, block, pos, 1, string_split(url, '/')[-1] FROM entries WHERE contains(url, 'pubmed')),
-blocks AS (SELECT DISTINCT file_name, block FROM entries)
-SELECT file_name, block,
+  SELECT file_name, pos, 1, string_split(url, '/')[-1] FROM entries WHERE contains(url, 'pubmed')),
+files AS (SELECT DISTINCT file_name FROM entries)
+SELECT file_name,
        coalesce(string_agg(id, ' OR ' ORDER BY pos, k), '') AS query_str,
        true AS download_pdf
-FROM blocks LEFT JOIN ids USING (file_name, block) GROUP BY file_name, block"""
+FROM files LEFT JOIN ids USING (file_name) GROUP BY file_name"""
 
 
 def q_resolve_iframe(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,11 +8,74 @@ from pyspark.sql import functions as F
 from citeloom.functions.text import pmid_from_url
 
 
+def _own_fields(entry: Column) -> Column:
+    """The entry without commas inside its values, so that only its own fields follow one."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+
+    def step(acc: Column, token: Column) -> Column:
+        inner = acc["depth"] > 1
+        return F.struct(
+            F.when(token == "{", acc["depth"] + 1)
+            .when(token == "}", acc["depth"] - 1)
+            .otherwise(acc["depth"])
+            .alias("depth"),
+            F.concat(
+                acc["text"], F.when(inner, F.replace(token, F.lit(","), F.lit(" "))).otherwise(token)
+            ).alias("text"),
+        )
+
+    tokens = F.split(entry, r"(?<=[{}])|(?=[{}])")
+    return F.aggregate(tokens, start, step, lambda acc: acc["text"])
+
+
 def bib_field(entry: Column, name: str) -> Column:
     """Value of a field in braces, quotes or as a bare number; else null."""
     field = rf"""(?i),\s*{name}\s*=\s*([{{"][^}}"]*[}}"]|\d+)"""
-    found = F.try_element_at(F.regexp_extract_all(entry, F.lit(field), F.lit(1)), F.lit(1))
-    return F.nullif(F.regexp_replace(found, r"""\A[{"]\s*|\s*[}"]\z""", ""), F.lit(""))
+    top = F.when(F.regexp_like(entry, F.lit(field)), _own_fields(entry))
+    found = F.try_element_at(F.regexp_extract_all(top, F.lit(field), F.lit(1)), F.lit(1))
+    return F.nullif(F.regexp_replace(found, r"""\A[{"\s]+|[}"\s]+\z""", ""), F.lit(""))
+
+
+# An entry starts at a line that begins with @type{; these types hold no work.
+_ENTRY_START = r"(?m)^[ \t]*@(?=\w+\s*[{(])"
+_NO_WORK = r"(?i)\A(comment|string|preamble)\b"
+
+
+def _depth(piece: Column) -> Column:
+    """Braces that a text opens, less those it closes."""
+    opened = F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+    closed = F.length(piece) - F.length(F.replace(piece, F.lit("}"), F.lit("")))
+    return opened - closed
+
+
+def bib_entries(text: Column) -> Column:
+    """Entries of a bibliography in order, without their ``@``.
+
+    A line that looks like a start inside the braces of an entry belongs to that
+    entry. If a file's braces do not match, every such line starts an entry.
+    """
+    pieces = F.slice(F.split(text, _ENTRY_START), 2, 1 << 30)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        inner = acc["depth"] > 0
+        return F.struct(
+            F.when(inner | (acc["open"] == ""), acc["done"])
+            .otherwise(F.array_append(acc["done"], acc["open"]))
+            .alias("done"),
+            F.when(inner, F.concat(acc["open"], F.lit("@"), piece)).otherwise(piece).alias("open"),
+            (F.when(inner, acc["depth"]).otherwise(0) + _depth(piece)).alias("depth"),
+        )
+
+    def close(acc: Column) -> Column:
+        whole = F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
+        return F.when(acc["depth"] == 0, whole)
+
+    # Where each piece closes what it opens, there is nothing to put together.
+    merged = F.when(F.forall(pieces, lambda p: _depth(p) == 0), pieces).otherwise(
+        F.coalesce(F.aggregate(pieces, start, step, close), pieces)
+    )
+    return F.filter(merged, lambda e: ~e.rlike(_NO_WORK))
 
 
 def bib_ids(pmid: Column, url: Column, strict: bool = False) -> Column:

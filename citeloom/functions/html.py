@@ -12,8 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HIDDEN = r"(?is)<(?:!--.*?--|(script|style)\b.*?</\1\s*)>"
-_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
+# What is not closed goes on to the end of the page, so it is passed over once.
+_HIDDEN = r"(?is)<!--(?:.*?-->|.*\z)|<(script|style)\b(?:.*?</\1\s*>|.*\z)"
+# One attribute: its name and, after an equals sign, its value. Matches follow each
+# other, so a quoted value is never taken for attributes.
+_ATTRIBUTE = r"""\s([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
 _ANY_TAG = r"<[^>]*>"
 
 
@@ -24,7 +27,7 @@ def _open_tag(name: str) -> str:
 
 def _class_tag(name: str, token: str) -> str:
     """Start of a tag that carries a class token (checked again afterwards)."""
-    return rf"""(?is)<{name}\b[^>]*?\sclass\s*=\s*["']?(?:[^"'>]*\s)?{token}(?=[\s"'>])"""
+    return rf"""(?is)<{name}\b[^<>]*?\sclass\s*=\s*["']?(?:[^"'<>]*\s)?{token}(?=[\s"'>])"""
 
 
 def visible(html: Column) -> Column:
@@ -58,8 +61,11 @@ def _group(text: Column, pattern: str) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in a start tag; null when it is not there."""
-    others = rf"(?:\s+(?!{name}[\s=>])[^\s=>]+(?:\s*=\s*{_VALUE})?)*?"
-    raw = _group(tag, rf"(?is)\A<\w+{others}\s+{name}\s*=\s*({_VALUE})")
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+    place = F.array_position(names, name)
+    # A name without a value has an empty one here; an empty value still has its quotes.
+    raw = F.nullif(F.when(place > 0, F.try_element_at(values, place.cast("int"))), F.lit(""))
     return decode_entities(F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2"))
 
 
@@ -140,7 +146,7 @@ def search_results(html: Column) -> Column:
 
     def parts(block: Column) -> Column:
         title = _class_tag("h3", "gs_rt") + r"[^>]*>(.*?)</h3\s*>"
-        exact = r"""(?is)<div\b[^>]*?\sclass\s*=\s*(?:"gs_ggs gs_fl"|'gs_ggs gs_fl').*\z"""
+        exact = r"""(?is)<div\b[^<>]*?\sclass\s*=\s*(?:"gs_ggs gs_fl"|'gs_ggs gs_fl').*\z"""
         return F.struct(
             _group(block, title).alias("title"),
             _division(F.regexp_extract(block, exact, 0)).alias("pdf"),

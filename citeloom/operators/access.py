@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from citeloom.functions.accounts import policy_document
 from citeloom.functions.paths import BUCKET_DIRS
 from citeloom.functions.text import member_key, slug
-from citeloom.operators.hotkeys import HOT_ROWS, lookup_join
-
-GROUP_BATCH = 1_000
 
 # Order in which the actions of one bucket are to be carried out.
 STEPS = {
@@ -42,24 +39,18 @@ def bucket_layout(orgs: DataFrame) -> DataFrame:
     )
 
 
-def organization_members(
-    orgs: DataFrame, memberships: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def organization_members(orgs: DataFrame, memberships: DataFrame) -> DataFrame:
     """Users of each organization with the bucket they share."""
     homes = with_bucket(orgs).select(F.col("id").alias("organization"), "bucket")
-    return lookup_join(memberships, homes, ["organization"], "inner", hot_rows)
+    return memberships.join(homes, "organization")
 
 
 def regular_members(users: DataFrame) -> DataFrame:
-    return users.where(~F.col("is_superuser"))
+    """Users that are no superusers; one whose flag is not known is none."""
+    return users.where(~F.coalesce("is_superuser", F.lit(False)))
 
 
-def split_members(
-    members: DataFrame,
-    registered: DataFrame,
-    hot_rows: int = HOT_ROWS,
-    count_in: DataFrame | None = None,
-) -> DataFrame:
+def split_members(members: DataFrame, registered: DataFrame) -> DataFrame:
     """Add ``is_registered``: whether the member's email has an account.
 
     A new user in two organizations is marked as new in both.
@@ -70,39 +61,40 @@ def split_members(
         .distinct()
     )
     return (
-        lookup_join(members, known, ["email"], "left", hot_rows, count_in)
+        members.join(known, "email", "left")
         .withColumn("is_registered", F.coalesce("_known", F.lit(False)))
         .select(*members.columns, "is_registered")
     )
 
 
-def group_members(
-    members: DataFrame, batch: int = GROUP_BATCH, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Sorted emails per bucket, in one row as long as they fit the batch.
+def group_members(members: DataFrame) -> DataFrame:
+    """``bucket, email`` of each group, one row per member.
+
+    A group is a set, so each email counts once. Buckets without members do not
+    appear.
+    """
+    return members.select("bucket", "email").distinct()
+
+
+def group_member_parts(members: DataFrame, batch: int) -> DataFrame:
+    """The members of each group in sorted arrays of about ``batch`` emails.
 
-    A larger bucket is spread over several rows of about ``batch`` emails,
-    told apart by ``part``. A group is a set, so each email counts once.
-    Buckets without members do not appear.
+    For services that take members in requests of a bounded size. The parts of a
+    group are told apart by ``part``; a hash deals the emails out.
     """
     emails = members.select("bucket", "email").distinct()
     sizes = emails.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
     parts = sizes.select("bucket", F.ceil(F.col("_n") / batch).alias("_parts"))
     hashed = F.conv(F.substring(F.md5("email"), 1, 8), 16, 10).cast("bigint")
     return (
-        lookup_join(emails, parts, ["bucket"], "inner", hot_rows, count_in=members)
+        emails.join(parts, "bucket")
         .withColumn("part", F.pmod(hashed, F.col("_parts")))
         .groupBy("bucket", "part")
         .agg(F.array_sort(F.collect_list("email")).alias("members"))
     )
 
 
-def access_plan(
-    orgs: DataFrame,
-    memberships: DataFrame,
-    registered: DataFrame,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def access_plan(orgs: DataFrame, memberships: DataFrame, registered: DataFrame) -> DataFrame:
     """Actions that bring buckets, accounts and groups up to date.
 
     Every organization gets its bucket; regular members without an account are
@@ -111,9 +103,7 @@ def access_plan(
     registration succeeds. Nothing is carried out.
     """
     regular = regular_members(memberships).select("organization", "id", "email")
-    members = split_members(
-        organization_members(orgs, regular, hot_rows), registered, hot_rows, count_in=regular
-    )
+    members = split_members(organization_members(orgs, regular), registered)
     per_member = members.select(
         "organization",
         "bucket",

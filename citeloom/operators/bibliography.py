@@ -5,49 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.bib import bib_field, bib_ids
+from citeloom.functions.bib import bib_entries, bib_field, bib_ids
 
-# An entry starts at a line that begins with @type{; these types hold no work.
-_ENTRY_START = r"(?m)^\s*@(?=\w+\s*[{(])"
-_NO_WORK = r"(?i)\A@?(comment|string|preamble)\b"
 
-
-def split_entries(chunks: DataFrame) -> DataFrame:
-    """One row per entry from text chunks ``(file_name, block, pos, value)``.
-
-    A chunk may hold several entries, but no entry spans two chunks.
-    """
-    return (
-        chunks.select(
-            "file_name", "block", "pos", F.posexplode(F.split("value", _ENTRY_START)).alias("sub", "entry")
-        )
-        .where(F.col("entry").rlike(r"(?s)\A@?\w+\s*[{(]") & ~F.col("entry").rlike(_NO_WORK))
-        .select(
-            "file_name",
-            "block",
-            "pos",
-            "sub",
-            bib_field(F.col("entry"), "pmid").alias("pmid"),
-            bib_field(F.col("entry"), "url").alias("url"),
-        )
+def split_entries(files: DataFrame) -> DataFrame:
+    """One row per entry of the texts ``(file_name, value)``, with its place ``pos`` in the file."""
+    return files.select("file_name", F.posexplode(bib_entries(F.col("value"))).alias("pos", "entry")).select(
+        "file_name",
+        "pos",
+        bib_field(F.col("entry"), "pmid").alias("pmid"),
+        bib_field(F.col("entry"), "url").alias("url"),
     )
 
 
 def build_query(entries: DataFrame, download_pdf: bool = False, strict: bool = False) -> DataFrame:
-    """Ids joined by ``OR`` in entry order, repeats kept.
+    """Ids of each file's entries joined by ``OR`` in their order, repeats kept.
 
-    One row per file and block. A file that was read in one piece gives one
-    row; a large one gives a row per block, in order of ``block``, so no group
-    outgrows a block.
+    One row per file, whatever its size: the query is one text for the search
+    service, so it has to be in one place.
     """
     ids = bib_ids(F.col("pmid"), F.col("url"), strict)
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "sub", ids.alias("ids"))))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", ids.alias("ids"))))
     return (
-        entries.groupBy("file_name", "block")
+        entries.groupBy("file_name")
         .agg(F.flatten(F.transform(ordered, lambda e: e["ids"])).alias("ids"))
         .select(
             "file_name",
-            "block",
             F.array_join("ids", " OR ").alias("query_str"),
             F.lit(download_pdf).alias("download_pdf"),
         )

@@ -14,7 +14,6 @@ from citeloom.functions.paths import (
 )
 from citeloom.functions.text import normalize_query
 from citeloom.operators.enrich import DEFAULT_TAG
-from citeloom.operators.hotkeys import lookup_join
 
 
 def checked_configs(configs: DataFrame, existing: DataFrame, root: str) -> DataFrame:
@@ -37,7 +36,7 @@ def checked_configs(configs: DataFrame, existing: DataFrame, root: str) -> DataF
         configs.withColumn("project", project_name(root, path))
         .withColumn("format", config_format(path))
         .withColumn("destination", destination_path(root, path))
-        .transform(lambda df: lookup_join(df, taken.distinct(), ["destination"], "left"))
+        .join(taken.distinct(), "destination", "left")
         .withColumn("reason", reason)
         .drop("_taken")
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.functions.text import is_valid_pmid
-from citeloom.operators.hotkeys import HOT_ROWS, fits_broadcast, lookup_join
 from citeloom.operators.running import running_total
 from citeloom.storage import materialized
 
@@ -37,11 +36,11 @@ def with_key(*frames: DataFrame) -> list[DataFrame]:
     return [df.withColumn(_KEY, F.col("pmid").cast(kind)) for df in frames]
 
 
-def new_pmids(incoming: DataFrame, earlier: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def new_pmids(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
     """Incoming rows whose id is in no earlier file; repeats stay."""
     asked, held = with_key(incoming, valid_pmids(earlier))
     known = held.select(_KEY).distinct()
-    return lookup_join(asked, known, [_KEY], "left_anti", hot_rows).drop(_KEY)
+    return asked.join(known, _KEY, "left_anti").drop(_KEY)
 
 
 def first_file(keyed: DataFrame) -> DataFrame:
@@ -59,31 +58,23 @@ def first_file(keyed: DataFrame) -> DataFrame:
     )
 
 
-def duplicated_articles(
-    incoming: DataFrame, earlier: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def duplicated_articles(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
     """Full earlier records of incoming ids, from the first file that has them.
 
-    If the id repeats within that file, all of its records there are kept.
+    If the id repeats within that file, all of its records there are kept. Earlier
+    records are cut to the wanted ids before anything is counted.
     """
     asked, held = with_key(incoming, valid_pmids(earlier))
-    wanted = asked.select(_KEY).distinct()
+    mine = held.join(asked.select(_KEY).distinct(), _KEY, "left_semi")
     keys = [_KEY, "file_name"]
-    if fits_broadcast(wanted):
-        # One holder at most per wanted id, so the holders are as few as those.
-        mine = held.join(F.broadcast(wanted), _KEY, "left_semi")
-        holders = first_file(mine).select(*keys)
-        return held.join(F.broadcast(holders), keys, "left_semi").drop(_KEY)
-    holders = first_file(held).join(wanted, _KEY, "left_semi").select(*keys)
-    return lookup_join(held, holders, keys, "left_semi", hot_rows).drop(_KEY)
+    return mine.join(first_file(mine).select(*keys), keys, "left_semi").drop(_KEY)
 
 
 def dedup_tally(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
     """Per earlier file, in order: repeats found, ids taken out, ids left."""
     incoming_keyed, held = with_key(incoming, valid_pmids(earlier))
     asked = incoming_keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_asked"))
-    if fits_broadcast(asked):
-        held = held.join(F.broadcast(asked.select(_KEY)), _KEY, "left_semi")
+    held = held.join(asked, _KEY, "left_semi")
     hits = (
         first_file(held)
         .join(asked, _KEY)

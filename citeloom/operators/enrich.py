@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.operators.dedup import unique_key_lookup
-from citeloom.operators.hotkeys import HOT_ROWS, lookup_join
 
 # Public addresses the record links to, and its defaults.
 PMC_PREFIX = "https://www.ncbi.nlm.nih.gov/pmc/articles/"
@@ -64,9 +63,7 @@ def project_articles(
     )
 
 
-def enrich_journal(
-    articles: DataFrame, factors: DataFrame, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def enrich_journal(articles: DataFrame, factors: DataFrame) -> DataFrame:
     """Set factor and journal name where exactly one journal matches.
 
     ``factors`` has ``key``, ``factor`` and ``journal``. Keys match the journal
@@ -82,7 +79,7 @@ def enrich_journal(
     )
     keyed = articles.withColumn("_journal_key", F.lower("journal_abbr"))
     return (
-        lookup_join(keyed, known, ["_journal_key"], "left", hot_rows)
+        keyed.join(known, "_journal_key", "left")
         .withColumn("impact_factor", F.coalesce("_factor", F.lit(UNKNOWN_FACTOR)))
         .withColumn("journal", F.coalesce("_journal", F.lit(UNKNOWN_JOURNAL)))
         .select(*articles.columns)

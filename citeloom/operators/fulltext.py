@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.fulltext import html_object, pdf_markup
 from citeloom.functions.paths import html_name
-from citeloom.operators.hotkeys import HOT_ROWS, lookup_join
 
 
 def _pdf_names(files: DataFrame) -> DataFrame:
@@ -22,13 +21,12 @@ def update_fulltext(
     pdfs: DataFrame,
     pdf_base: str,
     html_base: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Set the PDF markup where the file exists, and the HTML path always."""
     held = _pdf_names(pdfs).select(F.col("name").alias("_pdf_name"), F.lit(True).alias("_held"))
     named = articles.withColumn("_pdf_name", F.concat(F.col("pmid").cast("string"), F.lit(".pdf")))
     return (
-        lookup_join(named, held.distinct(), ["_pdf_name"], "left", hot_rows)
+        named.join(held.distinct(), "_pdf_name", "left")
         .withColumn(
             "pdf",
             F.when(F.col("_held"), pdf_markup(F.col("pmid"), pdf_base)).otherwise(F.col("pdf")),
@@ -39,7 +37,7 @@ def update_fulltext(
 
 
 def pending_conversions(
-    pdfs: DataFrame, htmls: DataFrame, by: list[str] | None = None, hot_rows: int = HOT_ROWS
+    pdfs: DataFrame, htmls: DataFrame, by: list[str] | None = None
 ) -> DataFrame:
     """PDFs that have no HTML of the same name.
 
@@ -48,11 +46,11 @@ def pending_conversions(
     keys = [*(by or []), "_html_name"]
     done = htmls.select(*(by or []), F.col("name").alias("_html_name")).distinct()
     asked = _pdf_names(pdfs).withColumn("_html_name", html_name(F.col("name")))
-    return lookup_join(asked, done, keys, "left_anti", hot_rows).select(*pdfs.columns)
+    return asked.join(done, keys, "left_anti").select(*pdfs.columns)
 
 
 def fetch_plan(
-    articles: DataFrame, pdfs: DataFrame, htmls: DataFrame, hot_rows: int = HOT_ROWS
+    articles: DataFrame, pdfs: DataFrame, htmls: DataFrame
 ) -> DataFrame:
     """Add ``action``: ``update``, ``convert``, ``pmc``, ``doi`` or ``none``.
 
@@ -83,7 +81,7 @@ def fetch_plan(
     )
     keyed = articles.withColumn("_stem", F.col("pmid").cast("string"))
     return (
-        lookup_join(keyed, held, ["_stem"], "left", hot_rows)
+        keyed.join(held, "_stem", "left")
         .withColumn("action", action)
         .select(*articles.columns, "action")
     )

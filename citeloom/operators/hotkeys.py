@@ -1,10 +1,9 @@
-"""Joins that stay even when one key holds a large share of the rows.
+"""A join whose hot keys are spread by hand, for sessions without adaptive execution.
 
-All of them join many rows to a lookup that has one row per key. A small lookup
-is left to Catalyst, which broadcasts it, so the rows never move. If it is the
-rows that are few, the lookup is first cut to their keys. When both are large
-both shuffle; then the rows of a hot key are spread over several salts and the
-lookup row of that key is repeated once per salt.
+Spark splits the large partitions of a skewed join at run time, and the other
+operators leave it to that. Where adaptive execution is off, the rows of a hot
+key can be spread over several salts here, with the lookup row of that key
+repeated once per salt.
 """
 
 from __future__ import annotations
@@ -19,13 +18,6 @@ BUCKETS = 131_072
 MAX_SALTS = 4_096
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True if Catalyst's size estimate is within its own broadcast limit."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
 def hot_keys(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with too many rows for one task, and how many salts each gets.
 
@@ -65,28 +57,6 @@ def _with_salts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
     return joined.drop(*[f"_hot_{k}" for k in keys])
 
 
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    count_in: DataFrame | None = None,
-) -> DataFrame:
-    """Join ``rows`` to a ``lookup`` that is unique on ``keys``.
-
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Hot keys are
-    looked for in ``count_in``, by default the rows themselves; name the rows'
-    source there when they are the outcome of another join.
-    """
-    if fits_broadcast(lookup):
-        return rows.join(lookup, keys, how)
-    if fits_broadcast(rows):
-        asked = rows.select(*keys).distinct()
-        return rows.join(lookup.join(F.broadcast(asked), keys, "left_semi"), keys, how)
-    return split_join(rows, lookup, keys, how, hot_rows, count_in)
-
-
 def split_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -95,7 +65,10 @@ def split_join(
     hot_rows: int = HOT_ROWS,
     count_in: DataFrame | None = None,
 ) -> DataFrame:
-    """The same join with the rows of hot keys spread over salts.
+    """Join ``rows`` to a ``lookup`` that is unique on ``keys``, hot keys spread over salts.
+
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Hot keys are
+    looked for in ``count_in``, by default the rows themselves.
 
     The salt is the number of the task that reads the row: it is the same again
     when a lost task is run a second time.

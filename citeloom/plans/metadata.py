@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from citeloom.operators.dedup import duplicated_articles, new_pmids
 from citeloom.operators.enrich import project_articles, rejected_articles, with_enrichment
 from citeloom.operators.history import run_summary
-from citeloom.operators.hotkeys import lookup_join
 from citeloom.sources.articles import append_history, write_articles, write_duplicates
 from citeloom.storage import materialized
 
@@ -35,12 +34,17 @@ def metadata_run(
 ) -> MetadataRun:
     """Plan one run. ``raw`` holds the fetched article of each id.
 
+    An id without one is among the rejects.
+
     New ids and their raw articles go to the shared folder, as the outputs all
     start from them.
     """
     fresh = materialized(new_pmids(incoming, earlier), "new-ids")
     keyed = fresh.select(F.col("pmid").cast("string").alias("pmid"))
-    fetched = materialized(lookup_join(keyed, raw, ["pmid"], "inner"), "fetched")
+    found = raw.withColumn("_fetched", F.lit(True))
+    joined = materialized(keyed.join(found, "pmid", "left"), "fetched")
+    fetched = joined.where("_fetched").drop("_fetched")
+    lost = joined.where("_fetched IS NULL").drop("_fetched")
     articles = project_articles(fetched, run_date, tag).transform(
         lambda df: with_enrichment(df, enrichment)
     )
@@ -52,9 +56,10 @@ def metadata_run(
         runs,
         F.lit(run_date),
     )
-    return MetadataRun(
-        articles, rejected_articles(fetched), duplicated_articles(incoming, earlier), history
+    rejects = rejected_articles(fetched).unionByName(
+        lost.withColumn("reason", F.lit("no article was fetched"))
     )
+    return MetadataRun(articles, rejects, duplicated_articles(incoming, earlier), history)
 
 
 def write_metadata_run(run: MetadataRun, destination: str, history_path: str) -> None:

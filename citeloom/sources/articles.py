@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.schemas import ARTICLE, ARTICLE_IN_FILE, HISTORY
+from citeloom.storage import materialized
 
 
 # What parts the records of a JSON array, by the layout of the file.
 _SEPARATORS = {"lines": "\n", "indented": "\n  {"}
-_BROKEN = "_broken"
 
 
 def _file_texts(
@@ -40,14 +41,20 @@ def _array() -> Column:
 
 
 def _parts(texts: DataFrame, layout: str) -> DataFrame:
-    """Records ``a`` of a file that was split; ``a._broken`` tells malformed ones."""
+    """Records ``parts`` of each piece of a file that was split; null if malformed.
+
+    A piece may hold any number of records: a compact array is one piece.
+    """
     record = F.btrim("value", F.lit("[], \t\r\n"))
     if layout == "indented":
-        record = F.when(record != "", F.concat(F.lit("{"), record)).otherwise("")
-    schema = T.StructType([*ARTICLE_IN_FILE.fields]).add(_BROKEN, "string")
-    parsed = F.from_json("record", schema, {"columnNameOfCorruptRecord": _BROKEN})
-    records = texts.select(record.alias("record"), "file_name").where("record <> ''")
-    return records.select(parsed.alias("a"), "file_name")
+        cut = (record != "") & ~F.startswith(record, F.lit("{"))
+        record = F.when(cut, F.concat(F.lit("{"), record)).otherwise(record)
+    pieces = texts.select(record.alias("record"), "file_name").where("record <> ''")
+    whole = F.concat(F.lit("["), "record", F.lit("]"))
+    objects = F.startswith("record", F.lit("{"))
+    return pieces.select(
+        F.when(objects, F.from_json(whole, T.ArrayType(ARTICLE_IN_FILE))).alias("parts"), "file_name"
+    )
 
 
 def _typed(articles: DataFrame) -> DataFrame:
@@ -72,7 +79,8 @@ def read_article_files(
     results of single queries. Files of any size are shared among tasks if they
     keep to a layout: ``lines`` has one record per line, as ``write_articles``
     makes them; ``indented`` has records that start two blanks in, as most JSON
-    printers make them. There, a malformed record is skipped by itself.
+    printers make them. There, a malformed piece (usually one record) is skipped
+    by itself; a compact array is read as one piece.
     """
     texts = _file_texts(spark, path, pattern, layout)
     if texts is None:
@@ -80,7 +88,7 @@ def read_article_files(
         return spark.createDataFrame([], schema)
     if layout == "any":
         return _typed(texts.select(F.explode(_array()).alias("a"), "file_name").where("a is not null"))
-    return _typed(_parts(texts, layout).where(F.col(f"a.{_BROKEN}").isNull()))
+    return _typed(_parts(texts, layout).select(F.explode("parts").alias("a"), "file_name"))
 
 
 def rejected_article_files(
@@ -95,7 +103,7 @@ def rejected_article_files(
             _array().isNull(), "malformed"
         )
         return texts.select("file_name", reason.alias("reason")).where("reason is not null")
-    broken = _parts(texts, layout).where(F.col(f"a.{_BROKEN}").isNotNull())
+    broken = _parts(texts, layout).where("parts IS NULL")
     return broken.select("file_name", F.lit("malformed").alias("reason"))
 
 
@@ -117,26 +125,47 @@ def write_articles(
     def array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = "["
         for batch in batches:
-            lines = []
-            for record in batch.column(0).to_pylist():
-                lines.append(lead + record)
+            if batch.num_rows:
+                marks = pa.array([lead] + [","] * (batch.num_rows - 1), pa.string())
+                lines = pc.binary_join_element_wise(marks, batch.column(0).cast(pa.string()), "")
+                yield pa.RecordBatch.from_arrays([lines], ["value"])
                 lead = ","
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
         yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], ["value"])
 
     records = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
     records.mapInArrow(array_lines, "value string").write.mode(mode).text(path)
 
 
+def read_written_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles of all collections that ``write_articles`` has put into a folder.
+
+    Each collection is a folder of its own, and so are the repeats beside it;
+    both are earlier results of the next run. ``file_name`` is the collection's
+    name. A missing or empty folder reads as empty.
+    """
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    schema = T.StructType([*ARTICLE.fields])
+    reader = spark.read.schema(schema).option("recursiveFileLookup", True)
+    try:
+        found = reader.option("pathGlobFilter", "*.parquet").parquet(folder)
+        return found.select("*", F.url_decode(name).alias("file_name"))
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema.add("file_name", "string"))
+        raise
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
 def write_duplicates(df: DataFrame, destination: str, mode: str = "error") -> bool:
     """Write repeats next to the destination, only if there are any."""
-    if df.isEmpty():
+    # Written elsewhere first, so that the repeats are computed once.
+    repeats = materialized(df, "repeats")
+    if repeats.isEmpty():
         return False
-    df.write.mode(mode).parquet(duplicates_path(destination))
+    repeats.write.mode(mode).parquet(duplicates_path(destination))
     return True
 
 

@@ -9,20 +9,12 @@ from citeloom.operators.bibliography import split_entries
 
 
 def read_bib_entries(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry, with the file, the block it lies in and its place there.
+    """One row per entry, with its file and its place there.
 
-    Records end where a line starts with ``@``, so a large file is read in
-    splits. Keys are matched in any letter case; values stand in braces, quotes
-    or as a bare number. ``@string`` macros are not expanded.
+    A file is read as one text, since only its braces tell where an entry ends; so
+    neither the size of splits nor the number of tasks changes the result. Keys
+    are matched in any letter case; values stand in braces, quotes or as a bare
+    number. ``@string`` macros are not expanded.
     """
-    chunks = (
-        spark.read.option("lineSep", "\n@")
-        .text(path)
-        .select(
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
-            "value",
-        )
-    )
-    return split_entries(chunks)
+    files = spark.read.text(path, wholetext=True)
+    return split_entries(files.select(F.col("_metadata.file_name").alias("file_name"), "value"))

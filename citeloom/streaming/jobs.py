@@ -23,7 +23,6 @@ from citeloom.operators.events import (
     watch_filter,
 )
 from citeloom.operators.fulltext import pending_conversions
-from citeloom.operators.hotkeys import lookup_join
 from citeloom.plans.access import snapshot_plan
 from citeloom.sources.configs import parse_configs
 from citeloom.sources.files import bucket_events, new_files, new_texts
@@ -141,7 +140,7 @@ def conversion_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         touched = batch.where("route = 'pdf'").select("project").distinct()
         pdfs, htmls = inventories()
-        asked = lookup_join(pdfs, touched, ["project"], "left_semi")
+        asked = pdfs.join(touched, "project", "left_semi")
         pending = pending_conversions(asked, htmls, by=["project"])
         pending.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 

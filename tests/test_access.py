@@ -7,10 +7,10 @@ from citeloom.operators.access import (
     access_plan,
     bucket_layout,
     group_drift,
+    group_member_parts,
     group_members,
     split_members,
 )
-from citeloom.operators.hotkeys import HOT_ROWS
 from tests.helpers import rows
 
 
@@ -18,7 +18,8 @@ def _case(seed):
     pick = random.Random(seed)
     orgs = [(i, pick.choice(["Lab A", "lab-a", "Genes & Co", f"Org {i}"])) for i in range(8)]
     members = [
-        (pick.randint(0, 9), n, f"u{n % 30}@x", pick.random() < 0.3) for n in range(60)
+        (pick.randint(0, 9), n, f"u{n % 30}@x", pick.choice([True, False, False, None]))
+        for n in range(60)
     ]
     members = [m for m in members if m[0] != 3] + [(3, 99, "boss@x", True)]
     registered = [f"u{n}@x" for n in range(0, 30, 3)]
@@ -54,7 +55,6 @@ def test_access_plan_equals_a_walk(spark, seed, limit):
         spark.createDataFrame(orgs, "id bigint, title string"),
         spark.createDataFrame(members, "organization bigint, id bigint, email string, is_superuser boolean"),
         spark.createDataFrame([(r,) for r in registered], "accessKey string"),
-        hot_rows=3 if limit == "-1" else HOT_ROWS,
     )
     order = lambda plan: sorted(plan, key=str)
     columns = ("organization", "bucket", "step", "action", "email")
@@ -78,11 +78,11 @@ def test_group_members(spark):
         [("a", f"u{i:03d}") for i in range(50)] + [("b", "y"), ("b", "x"), ("b", "x")],
         "bucket string, email string",
     )
-    whole = {(r.bucket, r.part): r.members for r in group_members(members).collect()}
-    assert whole == {("a", 0): [f"u{i:03d}" for i in range(50)], ("b", 0): ["x", "y"]}
-    parts = [r for r in group_members(members, batch=10, hot_rows=5).collect() if r.bucket == "a"]
+    whole = [f"u{i:03d}" for i in range(50)]
+    assert rows(group_members(members)) == [("a", e) for e in whole] + [("b", "x"), ("b", "y")]
+    parts = [r for r in group_member_parts(members, 10).collect() if r.bucket == "a"]
     assert len(parts) > 3
-    assert sorted(e for r in parts for e in r.members) == whole["a", 0]
+    assert sorted(e for r in parts for e in r.members) == whole
 
 
 def test_group_drift(spark):

@@ -54,7 +54,7 @@ def test_enrich_journal(spark, raw, limit):
         [("j one", 2.5, "JOURNAL ONE"), ("J Two", 1.0, "A"), ("J TWO", 2.0, "B")],
         "key string, factor double, journal string",
     )
-    got = enrich_journal(project_articles(raw, "d"), factors, hot_rows=1)
+    got = enrich_journal(project_articles(raw, "d"), factors)
     assert rows(got, "pmid", "journal", "impact_factor") == [
         (1, "JOURNAL ONE", 2.5),
         (2, "Unknown", -1.0),

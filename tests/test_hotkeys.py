@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators.hotkeys import fits_broadcast, hot_keys, lookup_join, split_join
+from citeloom.operators.hotkeys import hot_keys, split_join
 from citeloom.operators.running import running_total
 from tests.helpers import plan_text, rows
 
@@ -52,28 +52,6 @@ def test_hot_rows_are_spread(skewed, lookup, no_broadcast):
     assert "_salt" in plan_text(joined)
 
 
-def test_small_lookup_is_left_to_catalyst(spark, skewed, sf_dir):
-    lookup = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_name AS k", "p_partkey AS v")
-    assert fits_broadcast(lookup)
-    assert "_salt" not in plan_text(lookup_join(skewed, lookup, ["k"]))
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_few_rows_cut_a_large_lookup(spark, lookup, how, sf_dir):
-    """The lookup's size is not known here, so it counts as large."""
-    names = spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_name AS k", "r_regionkey AS n")
-    few = names.unionByName(names.selectExpr("'hot' AS k", "n")).unionByName(names.selectExpr("null AS k", "n"))
-    got = lookup_join(few, lookup, ["k"], how)
-    assert "LeftSemi, BuildRight" in plan_text(got) and "_salt" not in plan_text(got)
-    want = few.join(lookup, ["k"], how)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-
-
-def test_large_lookup_is_split(skewed, lookup, no_broadcast):
-    assert not fits_broadcast(lookup)
-    assert "_salt" in plan_text(lookup_join(skewed, lookup, ["k"]))
-
-
 def test_running_total(spark):
     values = spark.range(0, 2000, 1, 5).select(
         F.format_string("f%05d", F.col("id") * 7 % 2000).alias("name"), (F.col("id") % 13).alias("n")

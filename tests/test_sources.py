@@ -15,6 +15,7 @@ from citeloom.sources.accounts import (
 from citeloom.sources.articles import (
     duplicates_path,
     read_article_files,
+    read_written_articles,
     rejected_article_files,
     write_articles,
     write_csv,
@@ -22,7 +23,7 @@ from citeloom.sources.articles import (
     write_duplicates,
 )
 from citeloom.sources.bibliography import read_bib_entries
-from citeloom.sources.configs import read_query_configs
+from citeloom.sources.configs import parse_configs, read_query_configs
 from citeloom.sources.files import file_inventory
 from tests.helpers import rows
 
@@ -138,7 +139,7 @@ def test_bibliography(spark, tmp_path):
 """
     folder = _put(tmp_path / "b", refs__bib=text, other__bib="@article{x, url={https://x.org}}")
     entries = read_bib_entries(spark, folder)
-    got = entries.where("file_name = 'refs.bib'").orderBy("pos", "sub").select("pmid", "url")
+    got = entries.where("file_name = 'refs.bib'").orderBy("pos").select("pmid", "url")
     assert [tuple(r) for r in got.collect()] == [
         ("11", "https://pubmed.org/12"),
         ("13", None),
@@ -153,15 +154,69 @@ def test_bibliography(spark, tmp_path):
     assert strict.query_str == "11 OR 12 OR 13 OR 11"
 
 
-def test_large_bibliography_is_read_in_blocks(spark, tmp_path):
+def test_large_bibliography_gives_one_query(spark, tmp_path):
     text = "".join(f"@article{{k{i},\n  pmid = {{{i}}}\n}}\n" for i in range(3000))
     folder = _put(tmp_path / "b", refs__bib=text)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
-    queries = build_query(read_bib_entries(spark, folder)).orderBy("block").collect()
+    queries = build_query(read_bib_entries(spark, folder)).collect()
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert len(queries) > 3
-    assert " OR ".join(q.query_str for q in queries) == " OR ".join(map(str, range(3000)))
+    assert [q.query_str for q in queries] == [" OR ".join(map(str, range(3000)))]
+
+
+def test_entries_end_where_their_braces_end(spark, tmp_path):
+    inner = "@article{a, abstract={x\n@home is\n@misc{y, pmid={1}}\nz}, pmid={{11}}\n}\n@book{b, pmid=12}"
+    broken = "@article{a, title={x, pmid = 3\n@book{b, pmid={4}}"
+    folder = _put(tmp_path / "b", inner__bib=inner, broken__bib=broken)
+    got = build_query(read_bib_entries(spark, folder))
+    assert rows(got, "file_name", "query_str") == [("broken.bib", "4"), ("inner.bib", "11 OR 12")]
+
+
+def test_compact_and_split_arrays_lose_no_record(spark, tmp_path):
+    records = [{"pmid": i, "title": f"{{[t], {i}"} for i in range(5)]
+    lines = "[" + ",\n".join(json.dumps(r) for r in records) + "]"
+    folder = _put(
+        tmp_path / "m", a__json=json.dumps(records), b__json=json.dumps(records, indent=2), c__json=lines
+    )
+    for layout, names in (("lines", "ac"), ("indented", "ab"), ("any", "abc")):
+        found = read_article_files(spark, folder, layout).select("file_name", "pmid", "title")
+        for name in names:
+            mine = rows(found.where(f"file_name = '{name}.json'"), "pmid", "title")
+            assert mine == [(r["pmid"], r["title"]) for r in records], (layout, name)
+    bad = _put(tmp_path / "n", a__json='[{"pmid": 1},\n{"pmid" 2},\n{"pmid": 3}]')
+    assert rows(read_article_files(spark, bad, "lines"), "pmid") == [(1,), (3,)]
+    assert rejected_article_files(spark, bad, "lines").count() == 1
+
+
+def test_next_run_reads_what_a_run_has_written(spark, tmp_path):
+    one = spark.createDataFrame([{"pmid": 7, "title": "t"}], ARTICLE)
+    folder = str(tmp_path / "out")
+    assert read_written_articles(spark, folder).count() == 0
+    write_articles(one, f"{folder}/first run.json")
+    write_duplicates(one.select("*"), f"{folder}/second.json")
+    got = rows(read_written_articles(spark, folder), "file_name", "pmid")
+    assert got == [("first run.json", 7), ("second_duplicated", 7)]
+
+
+def test_yaml_values(spark):
+    cases = {
+        "query_str: |\n  a OR\n  b\nauthor: x": "a OR\nb",
+        "query_str: >-\n  a OR\n  b\n\nauthor: x": "a OR b",
+        "query_str: asthma AND\n  (dust OR\n  pollen) # all\nauthor: x": "asthma AND (dust OR pollen)",
+        'query_str: "asthma\n  AND dust"\n': "asthma AND dust",
+        'query_str: "a \\"b\\" # c" # d': 'a "b" # c',
+        "query_str: 'it''s' # x": "it's",
+        "query_str: \"open": None,
+        "query_str: [a, b]": None,
+        "query_str: ~": None,
+        "query_str:\n  plain below": "plain below",
+        "query_str: a#b": "a#b",
+    }
+    files = spark.createDataFrame(
+        [(f"/d/p/config/{i:02d}.yaml", text) for i, text in enumerate(cases)], "path string, value string"
+    )
+    got = parse_configs(files).orderBy("path").select("query_str").collect()
+    assert [r[0] for r in got] == list(cases.values())
 
 
 def test_query_configs(spark, tmp_path):
