@@ -6,7 +6,7 @@ blocks. Lines that agree in a block are compared by other bits of their hashes
 with the first of their kind (leaders), within a partition before anything is
 moved and among what is left afterwards, so a bucket of very many similar lines
 shrinks to its leaders where it stands. Candidates are verified by their edit
-similarity, and of each connected group the first occurrence stays.
+similarity in words, and of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -16,21 +16,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from citeloom.llm.components import components
-from citeloom.llm.shared import MIN_SHARDS, stored
-from citeloom.llm.words import ALPHANUMERIC, LOWER, hashes, joined, mix, pieces, spans
+from citeloom.llm.shared import MIN_SHARDS, staged, stored, unpacked
+from citeloom.llm.words import ALPHANUMERIC, hashes, joined, mix, spans
 
 BLOCKS = 8
-#: Bits in which the compared parts (of 64) of two candidates may differ.
-FAR = 12
-#: Least edit similarity: 1 - distance / length of the longer line.
+#: Bits in which the compared parts (of 48) of two candidates may differ.
+FAR = 9
+#: Least edit similarity in words: 1 - edits / words of the longer line.
 SIMILARITY = 0.9
 _C = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_WORDS_AT_A_TIME = 1 << 14
+_FULL, _LOW = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFF)
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,53 +49,98 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, np.append(begins[order], len(body)), owner[order]
 
 
-def _signatures(words: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash of each run of words, as four 64-bit numbers; long words weigh more."""
-    out = np.empty((len(first) - 1, 4), np.uint64)
-    weight = (8 * np.minimum(sizes, 32) + (words & np.uint64(7)).astype(np.int64)).astype(np.int32)
-    i = 0
-    while i < len(first) - 1:
-        j = int(np.searchsorted(first, first[i] + _WORDS_AT_A_TIME, side="right")) - 1
-        j = max(j, i + 1)
-        part = words[first[i] : first[j]]
-        wide = np.stack([mix(part ^ _C[k]) for k in range(4)], axis=1)
-        bits = np.unpackbits(wide.view(np.uint8), axis=1)
-        signed = np.where(bits, weight[first[i] : first[j], None], -weight[first[i] : first[j], None])
-        total = np.add.reduceat(signed, first[i:j] - first[i], axis=0, dtype=np.int64)
-        out[i:j] = np.packbits(total > 0, axis=1).view(np.uint64)
-        i = j
+def _signatures(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of each run of words, as four 64-bit numbers: the majority of each bit.
+
+    Bits are counted 64 at a time: a count is held in planes, one for each binary
+    digit, and the k-th words of all runs are added in one step. On a tie the
+    first word decides.
+    """
+    n = np.diff(first)
+    order = np.argsort(-n, kind="stable")
+    runs = np.searchsorted(-n[order], -np.arange(1, (n.max() if len(n) else 0) + 1), side="right")
+    start = first[:-1][order]
+    planes = [np.zeros((len(n), 4), np.uint64) for _ in range(int(n.max()).bit_length() if len(n) else 0)]
+    lead_bits = None
+    for k, m in enumerate(runs):
+        word = words[start[:m] + k]
+        carry = np.stack([mix(word ^ _C[i]) for i in range(4)], axis=1)
+        if k == 0:
+            lead_bits = carry
+        for plane in planes[: (k + 1).bit_length()]:
+            part = plane[:m]
+            over = part & carry
+            part ^= carry
+            carry = over
+    half = n[order] // 2
+    above = np.zeros((len(n), 4), np.uint64)
+    equal = np.full((len(n), 4), _FULL)
+    for i in reversed(range(len(planes))):
+        digit = np.where(half >> i & 1, _FULL, np.uint64(0))[:, None]
+        above |= equal & planes[i] & ~digit
+        equal &= ~(planes[i] ^ digit)
+    even = np.where(n[order] % 2 == 0, _FULL, np.uint64(0))[:, None]
+    out = np.empty((len(n), 4), np.uint64)
+    out[order] = above | (equal & even & lead_bits) if len(n) else above
     return out
 
 
-OCCURRENCE_SCHEMA = "doc_id long, line int, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long"
+def _different(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of each run, in the order of 40 bits of their hashes.
 
+    Frequent words would make all long lines alike if they counted as often as
+    they occur.
+    """
+    run = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    key = np.sort((run << np.uint64(40)) | (words >> np.uint64(24)))
+    key = key[np.diff(key, prepend=~key[:1]) != 0]
+    begin = np.searchsorted(key, np.arange(len(first), dtype=np.uint64) << np.uint64(40))
+    return mix(key & np.uint64((1 << 40) - 1)), begin
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word, with its key and SimHash."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            body, at, owner = lines_of(part.column("text"))
-            begin, end, line = spans(body, at, ALPHANUMERIC)
-            words = hashes(body, begin, end)
-            some, first = np.unique(line, return_index=True)
-            if not len(some):
-                continue
-            place = (np.arange(len(words)) - np.repeat(first, np.diff(np.append(first, len(words)))))
-            chain = words + mix(place.astype(np.uint64) + _C[5])
-            keys = [np.add.reduceat(mix(chain ^ _C[k]), first).view(np.int64) for k in (6, 7)]
-            signs = _signatures(words, end - begin, np.append(first, len(words))).view(np.int64)
-            starts = np.searchsorted(owner, np.arange(part.num_rows))
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            text = owner[some]
-            columns = [ids[text], (some - starts[text]).astype(np.int32), *keys, *signs.T]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(c)) for c in columns],
-                names=["doc_id", "line", "k1", "k2", "s0", "s1", "s2", "s3"],
-            )
+OCCURRENCE_SCHEMA = (
+    "piece long, row int, line int, doc_id long, words int, "
+    "k1 long, k2 long, s0 long, s1 long, s2 long, s3 long"
+)
+
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.where("doc_id IS NOT NULL").mapInArrow(read, OCCURRENCE_SCHEMA)
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """One row per line that has a word, with its key and SimHash; rows without an id have none."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.to_pylist():
+                part = unpacked(packed["rows"])
+                body, at, owner = lines_of(part.column("text"))
+                begin, end, line = spans(body, at, ALPHANUMERIC)
+                words = hashes(body, begin, end)
+                some, first = np.unique(line, return_index=True)
+                if not len(some):
+                    continue
+                first = np.append(first, len(words))
+                place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+                chain = words + mix(place.astype(np.uint64) + _C[5])
+                keys = [np.add.reduceat(mix(chain ^ _C[k]), first[:-1]) for k in (6, 7)]
+                signs = _signatures(*_different(words, first))
+                starts = np.searchsorted(owner, np.arange(part.num_rows))
+                row = owner[some]
+                ids = pc.cast(part.column("doc_id"), pa.int64())
+                columns = [
+                    pa.array(np.full(len(some), packed["piece"])),
+                    pa.array(row.astype(np.int32)),
+                    pa.array((some - starts[row]).astype(np.int32)),
+                    ids.take(pa.array(row)),
+                    pa.array(np.diff(first).astype(np.int32)),
+                    *[pa.array(x.view(np.int64)) for x in keys],
+                    *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in signs.T],
+                ]
+                found = pa.RecordBatch.from_arrays(columns, names=_OCCURRENCE_NAMES)
+                yield found.filter(pc.is_valid(found.column("doc_id")))
+
+    return texts.select("piece", "rows").mapInArrow(read, OCCURRENCE_SCHEMA)
+
+
+_OCCURRENCE_NAMES = [x.split()[0] for x in OCCURRENCE_SCHEMA.split(", ")]
 
 
 def lead(
@@ -101,10 +148,12 @@ def lead(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaders among rows of equal keys, and which row follows which leader.
 
-    In each bucket the first row leads and takes the rows whose checks are near;
-    the first of the others leads next, and so on. Gives the indices of leaders,
-    of followers, and of the followers' leaders.
+    A check holds 48 bits of a SimHash and a number of words. In each bucket the
+    first row leads and takes the rows whose checks are near; the first of the
+    others leads next, and so on. Gives the indices of leaders, of followers, and
+    of the followers' leaders.
     """
+    words = (checks & _LOW).astype(np.int64)
     order = np.lexsort((ids, keys))
     left = order
     leaders, follows, followed = [], [], []
@@ -113,7 +162,9 @@ def lead(
         new = np.ones(len(left), bool)
         new[1:] = k[1:] != k[:-1]
         head = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        near = np.bitwise_count(checks[left] ^ checks[head]) <= FAR
+        near = np.bitwise_count((checks[left] ^ checks[head]) & ~_LOW) <= FAR
+        # Half as many words again is further off than any similarity in use.
+        near &= 2 * np.maximum(words[left], words[head]) <= 3 * np.minimum(words[left], words[head])
         leaders.append(left[new])
         mine = near & ~new
         follows.append(left[mine])
@@ -139,6 +190,8 @@ def _candidates(lines: DataFrame, count: int) -> DataFrame:
         word = table.column(f"s{block // 2}").to_numpy().view(np.uint64)
         half = word >> np.uint64(32) if block % 2 else word & np.uint64(0xFFFFFFFF)
         check = table.column(f"s{(block // 2 + 1) % 4}").to_numpy().view(np.uint64)
+        words = np.minimum(table.column("words").to_numpy(), 65535).astype(np.uint64)
+        check = (check & ~_LOW) | words
         return (half >> np.uint64(32 - bits)) | (np.uint64(block) << np.uint64(32)), check
 
     def rows(a: np.ndarray, b: np.ndarray, packed: dict[int, bytes]) -> pa.RecordBatch:
@@ -187,57 +240,58 @@ def _candidates(lines: DataFrame, count: int) -> DataFrame:
     return near.unionAll(far.groupBy("shard").applyInArrow(reduce_there, "a long, b long"))
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, words`` of the lines in ``wanted(id, doc_id, line)``: their words in lower case."""
-    listed = wanted.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("line", "id"))).alias("wanted")
-    )
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = slim.join(listed, "doc_id").select("text", "wanted")
+def _spelled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, words`` of the lines in ``wanted(id, piece, row, line)``: a character for each word.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
+    Two different words get the same character about once in half a million.
+    """
+
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, out = [], []
+        for packed in left.to_pylist():
+            if not len(right):
+                break
+            part = unpacked(packed["rows"])
             body, at, owner = lines_of(part.column("text"))
             starts = np.searchsorted(owner, np.arange(part.num_rows))
-            low = LOWER[body]
-            ids, texts = [], []
-            for row, want in enumerate(part.column("wanted").to_pylist()):
-                for x in want:
-                    i = starts[row] + x["line"]
-                    line = low[at[i] : at[i + 1]]
-                    b, e, _ = spans(line, np.array([0, len(line)]), ALPHANUMERIC)
-                    data = line.tobytes()
-                    ids.append(x["id"])
-                    texts.append(b" ".join(data[p:q] for p, q in zip(b, e, strict=True)).decode())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "words"]
-            )
-
-    return both.mapInArrow(read, "id long, words string").dropDuplicates(["id"])
-
-
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, removed`` (line numbers from 0, ascending) of documents that lose lines.
+            line = starts[right.column("row").to_numpy()] + right.column("line").to_numpy()
+            begin, end, of = spans(body, at, ALPHANUMERIC)
+            words = 0x20000 + (hashes(body, begin, end) >> np.uint64(45)).astype(np.int64)
+            first, last = np.searchsorted(of, line), np.searchsorted(of, line, side="right")
+            ids.extend(right.column("id").to_pylist())
+            out.extend("".join(map(chr, words[a:b])) for a, b in zip(first, last, strict=True))
+        return pa.table({"id": pa.array(ids, pa.int64()), "words": pa.array(out, pa.string())})
+
+    return texts.groupBy("piece").cogroup(wanted.groupBy("piece")).applyInArrow(
+        read, "id long, words string"
+    )
+
+
+def _gone(texts: DataFrame, similarity: float) -> DataFrame:
+    """``piece, row, line`` of the lines that go.
 
     Of each connected group of similar lines the occurrence with the smallest
     document id and line number stays. Lines without a word are never removed.
     """
-    seen = stored(_occurrences(docs), "occurrences")
+    seen = stored(_occurrences(texts), "occurrences")
     lines = seen.groupBy("k1", "k2").agg(
-        F.min(F.struct("doc_id", "line")).alias("first"),
+        F.min(F.struct("doc_id", "line", "piece", "row")).alias("first"),
         F.count("*").alias("n"),
+        F.min("words").alias("words"),
         *[F.min(f"s{i}").alias(f"s{i}") for i in range(4)],
     )
     lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
-    pairs = _candidates(lines.select("id", "s0", "s1", "s2", "s3"), lines.count())
+    # With fewer words, a single other word is too much already.
+    long_lines = lines.where(F.col("words") * (1 - F.lit(similarity)) >= 1 - 1e-9)
+    long_lines = long_lines.select("id", "words", "s0", "s1", "s2", "s3")
+    pairs = _candidates(long_lines, long_lines.count())
     pairs = stored(pairs.distinct(), "line-pairs")
     both = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
     wanted = lines.join(stored(both.distinct(), "wanted"), "id")
-    wanted = wanted.select("id", "first.doc_id", "first.line")
-    texts = stored(_line_texts(docs, wanted), "line-texts")
-    checked = pairs.join(texts.select(F.col("id").alias("a"), F.col("words").alias("x")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("words").alias("y")), "b"
-    )
+    wanted = wanted.select("id", "first.piece", "first.row", "first.line")
+    spelled = stored(_spelled(texts, wanted), "spelled")
+    checked = pairs.join(spelled.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    checked = checked.join(spelled.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
     longer = F.greatest(F.length("x"), F.length("y"))
     most = F.floor((1 - F.lit(similarity)) * longer + F.lit(1e-9)).cast("int")
     checked = checked.withColumn("most", most).where(
@@ -248,34 +302,23 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     # Lines that occur more than once, or belong to a group, and what stays of them.
     named = lines.join(groups, "id", "left").where("n > 1 OR component IS NOT NULL")
+    place = F.struct("first.doc_id", "first.line").alias("first")
     named = stored(
-        named.select("k1", "k2", "first", F.coalesce("component", "id").alias("component")), "named"
+        named.select("k1", "k2", place, F.coalesce("component", "id").alias("component")), "named"
     )
     stays = named.groupBy("component").agg(F.min("first").alias("stays"))
     named = stored(
         named.join(stored(stays, "stays"), "component").select(
-            "k1", "k2", F.col("stays.doc_id").alias("stay_doc"), F.col("stays.line").alias("stay_line")
+            "k1",
+            "k2",
+            F.col("stays.doc_id").alias("stay_doc"),
+            F.col("stays.line").alias("stay_line"),
         ),
         "repeated",
     )
-    gone = seen.select("doc_id", "line", "k1", "k2").join(named, ["k1", "k2"])
+    gone = seen.select("piece", "row", "line", "doc_id", "k1", "k2").join(named, ["k1", "k2"])
     gone = gone.where("doc_id <> stay_doc OR line <> stay_line")
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-
-
-def _cut(texts: pa.Array, removed: list[list[int] | None]) -> tuple[list[str | None], np.ndarray]:
-    """The texts without the lines named, and how many lines each had."""
-    body, at, owner = lines_of(texts)
-    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    out: list[str | None] = []
-    for text, gone in zip(texts, removed, strict=True):
-        if gone is None or not text.is_valid:
-            out.append(text.as_py())
-            continue
-        drop = set(gone)
-        kept = [x for i, x in enumerate(text.as_py().split("\n")) if i not in drop]
-        out.append("\n".join(kept))
-    return out, np.diff(starts)
+    return gone.select("piece", "row", "line")
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -289,21 +332,33 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     taken = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*taken)
-    gone = stored(repeated_lines(docs, similarity), "gone")
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("removed").alias("_removed"))
-    both = docs.join(gone, docs["doc_id"].cast("long") == F.col("_id"), "left").drop("_id")
-    out_type = docs.select(
-        "*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")
-    ).schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            removed = part.column("_removed").to_pylist()
-            texts, counts = _cut(part.column("text"), removed)
+    texts = staged(docs)
+    gone = stored(_gone(texts, similarity), "gone")
+    zero = F.lit(0).cast("long")
+    schema = docs.select("*", zero.alias("n_lines"), zero.alias("n_removed")).schema
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for packed in left.to_pylist():
+            part = unpacked(packed["rows"])
+            body, at, owner = lines_of(part.column("text"))
+            starts = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            keep = np.ones(len(owner), bool)
+            if len(right):
+                row, line = (right.column(c).to_numpy() for c in ("row", "line"))
+                keep[starts[row] + line] = False
+            removed = np.add.reduceat((~keep).astype(np.int64), starts[:-1])
+            texts = part.column("text").to_pylist()
+            for i in np.flatnonzero(removed):
+                stay = keep[starts[i] : starts[i + 1]]
+                pairs = zip(texts[i].split("\n"), stay, strict=True)
+                texts[i] = "\n".join(x for x, good in pairs if good)
             columns = {c: part.column(c) for c in taken}
             columns["text"] = pa.array(texts, pa.string())
-            columns["n_lines"] = pa.array(counts.astype(np.int64))
-            columns["n_removed"] = pa.array([len(x or ()) for x in removed], pa.int64())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            columns["n_lines"] = pa.array(np.diff(starts).astype(np.int64))
+            columns["n_removed"] = pa.array(removed)
+            out.append(pa.table(columns))
+        return pa.concat_tables(out) if out else empty
 
-    return both.mapInArrow(cut, out_type)
+    empty = pa.Table.from_batches([], to_arrow_schema(schema))
+    return texts.groupBy("piece").cogroup(gone.groupBy("piece")).applyInArrow(cut, schema)

@@ -5,11 +5,15 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.llm.words import pieces
+
 #: Bytes of text that one shard answers for, and the fewest shards there are.
 SHARD_BYTES = 8 << 20
 MIN_SHARDS = 64
@@ -49,3 +53,40 @@ def shards_for(size: int) -> int:
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """The shard of each 64-bit hash, by its high bits."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a table that is dealt by piece."""
+    return max(MIN_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def staged(docs: DataFrame) -> DataFrame:
+    """``piece, rows``: all rows in pieces of a few million bytes of text.
+
+    ``rows`` is an Arrow stream with all columns. The table is stored in buckets of
+    the piece number, so what other steps find out about a piece can be brought to
+    it again and again without moving its texts.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for part in pieces(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as out:
+                out.write_batch(part)
+            data = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([data], names=["rows"])
+
+    spark = docs.sparkSession
+    packed = docs.mapInArrow(pack, "rows binary")
+    packed = packed.withColumn("piece", F.monotonically_increasing_id())
+    table = f"staged_{uuid.uuid4().hex}"
+    writer = packed.write.option("path", work_dir(spark, "staged"))
+    writer = writer.option("compression", "uncompressed")
+    writer.bucketBy(bucket_count(spark), "piece").saveAsTable(table)
+    return spark.table(table)
+
+
+def unpacked(data: bytes) -> pa.RecordBatch:
+    """The rows of a piece."""
+    return pa.ipc.open_stream(data).read_next_batch()
