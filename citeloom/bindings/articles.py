@@ -31,6 +31,7 @@ from citeloom.sources.articles import (
     append_history,
     duplicates_path,
     read_article_files,
+    read_written_articles,
     write_articles,
     write_csv,
     write_documents,
@@ -300,6 +301,66 @@ FROM articles a LEFT JOIN known k ON k.key = lower(a.journal_abbr)
 WHERE pmid = 0 OR pmid NOT IN (SELECT page_id FROM pages)"""
 
 
+def _run_outputs(spark: SparkSession, sf: str):
+    """Ids of all documents and of some without an article; every third is held, some twice."""
+    documents = t.table(spark, sf, "documents").select("doc_id")
+    incoming = documents.selectExpr("CAST(doc_id AS STRING) AS pmid").unionAll(
+        documents.where("doc_id % 10 = 1").selectExpr("CAST(doc_id + 1000000000 AS STRING)")
+    )
+    held = documents.where("doc_id % 3 = 1").selectExpr("doc_id AS pmid", "'a.json' AS file_name")
+    held = held.unionAll(documents.where("doc_id % 6 = 1").selectExpr("doc_id", "'b.json'"))
+    raw = t.raw_articles(spark, sf)
+    return metadata_run(incoming, raw, held, t.RUN_DATE, "new.json", "all", t.TAG)
+
+
+def q_metadata_run_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_outputs(spark, sf).rejects.select("pmid", "reason")
+
+
+def q_metadata_run_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_outputs(spark, sf).duplicates
+
+
+def q_metadata_run_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _run_outputs(spark, sf).history
+
+
+_REJECTS_OF_RUN = f"""WITH {t.ARTICLES}
+SELECT pmid, 'authors are missing' AS reason FROM raw
+WHERE authors IS NULL AND CAST(pmid AS BIGINT) % 3 <> 1
+UNION ALL SELECT CAST(doc_id + 1000000000 AS VARCHAR), 'no article was fetched'
+FROM documents WHERE doc_id % 10 = 1"""
+_REPEATS_OF_RUN = """SELECT doc_id AS pmid, 'a.json' AS file_name FROM documents WHERE doc_id % 3 = 1"""
+_HISTORY_OF_RUN = f"""SELECT '{t.RUN_DATE}' AS time, 'all' AS query_str,
+       count(*) + count(*) FILTER (doc_id % 10 = 1) AS total_articles,
+       count(*) FILTER (doc_id % 3 = 1) AS duplicated_articles,
+       count(*) FILTER (doc_id % 3 <> 1) + count(*) FILTER (doc_id % 10 = 1) AS valid_articles,
+       'new.json' AS filename FROM documents"""
+
+
+def q_second_run(spark: SparkSession, sf: str) -> DataFrame:
+    """What a second run over all documents fetches and repeats, by collection.
+
+    The first run fetched the even documents; its collection and one with
+    repeats beside it are all that the second run finds.
+    """
+    folder = shared_dir(spark, "runs")
+    articles = _articles(spark, sf)
+    write_articles(articles.where("pmid % 2 = 0"), f"{folder}/first.json")
+    write_duplicates(articles.where("pmid % 2 = 1 AND pmid % 7 = 0"), f"{folder}/first.json")
+    earlier = read_written_articles(spark, folder)
+    incoming = articles.select("pmid")
+    repeats = duplicated_articles(incoming, earlier).select("pmid", "file_name")
+    fresh = new_pmids(incoming, earlier).select("pmid", F.lit("").alias("file_name"))
+    return repeats.unionAll(fresh)
+
+
+_SECOND = f"""WITH {t.ARTICLES}
+SELECT pmid, CASE WHEN pmid % 2 = 0 AND pmid <> 0 THEN 'first.json'
+                  WHEN pmid % 7 = 0 AND pmid <> 0 THEN 'first_duplicated' ELSE '' END AS file_name
+FROM articles"""
+
+
 def _written_articles(spark: SparkSession, sf: str) -> str:
     path = shared_dir(spark, "articles")
     write_articles(_articles(spark, sf), path, "json_array")
@@ -425,6 +486,10 @@ QUERIES = {
     "update_fulltext": (q_update_fulltext, _UPDATE),
     "pending_conversions": (q_pending_conversions, _PENDING),
     "fetch_plan": (q_fetch_plan, _FETCH),
+    "metadata_run_rejects": (q_metadata_run_rejects, _REJECTS_OF_RUN),
+    "metadata_run_duplicates": (q_metadata_run_duplicates, _REPEATS_OF_RUN),
+    "metadata_run_history": (q_metadata_run_history, _HISTORY_OF_RUN),
+    "second_run": (q_second_run, _SECOND),
     "metadata_run": (q_metadata_run, _RUN),
     "read_article_files": (q_read_article_files, _PROJECT),
     "read_article_lines": (q_read_article_lines, _PROJECT),

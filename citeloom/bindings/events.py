@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.bindings import tables as t
 from citeloom.bindings.texts import REJECTS_SQL, REQUESTS_SQL
 from citeloom.functions import paths as p
+from citeloom.functions.status import DEFAULT_PLACES, MESSAGES, fill_places
+from citeloom.operators.configs import checked_configs, config_stages, split_checked
 from citeloom.operators.events import (
+    conversion_stages,
     created_only,
     created_paths,
     event_counts,
     event_records,
+    project_stages,
     routed,
+    run_stages,
+    status_rows,
     watch_filter,
 )
+from citeloom.sources.configs import parse_configs
 from citeloom.sources.files import bucket_events
 from citeloom.storage import shared_dir
 from citeloom.streaming import jobs
@@ -113,6 +122,71 @@ SELECT time, project,
 FROM routed WHERE route <> 'ignored'"""
 
 
+def q_status_flow(spark: SparkSession, sf: str) -> DataFrame:
+    """All that is told about projects, configs, runs and conversions."""
+    events = _routed(spark, sf)
+    folders = t.table(spark, sf, "events").select(
+        F.concat(F.lit(f"{t.ROOT}/p"), F.col("user_id") % 5).alias("path")
+    )
+    checked = checked_configs(
+        parse_configs(t.config_texts(spark, sf)), t.metadata_files(spark, sf), t.ROOT
+    )
+    runs = split_checked(checked)[0].select(
+        "project",
+        "path",
+        "download_pdf",
+        F.when(F.length("path") % 5 == 0, "no answer").alias("error"),
+        F.when(F.length("query_str") % 3 == 0, "time is up").alias("pdf_error"),
+    )
+    htmls = t.table(spark, sf, "events").where("value < 5")
+    htmls = htmls.select(
+        F.concat(F.lit("p"), F.col("user_id") % 5).alias("project"),
+        F.concat("event_id", F.lit(".html")).alias("name"),
+    )
+    told = [
+        project_stages(folders.distinct(), t.ROOT),
+        config_stages(checked),
+        run_stages(runs),
+        conversion_stages(events, htmls),
+    ]
+    rows = reduce(DataFrame.unionAll, [x.select("project", "stage", "reason") for x in told])
+    return status_rows(rows, F.lit("now"))
+
+
+_TEXTS = ", ".join(
+    "('" + stage + "', '" + fill_places(text, DEFAULT_PLACES).replace("\n", "' || chr(10) || '") + "')"
+    for stage, text in MESSAGES.items()
+)
+_FLOW = f"""WITH {t.EVENTS}, {t.CONFIGS},
+runs AS (
+  SELECT project, download_pdf, CASE WHEN len(path) % 5 = 0 THEN 'no answer' END AS error,
+         CASE WHEN len(query_str) % 3 = 0 THEN 'time is up' END AS pdf_error
+  FROM checked WHERE reason IS NULL),
+told AS (
+  SELECT DISTINCT 'p' || (user_id % 5) AS project, 'project_created' AS stage, NULL AS reason FROM events
+  UNION ALL
+  SELECT project, unnest(CASE reason WHEN 'config_missing' THEN ['config_missing']
+                     WHEN 'config_bad_format' THEN ['config_bad_format', 'config_unreadable']
+                     WHEN 'config_unreadable' THEN ['config_bad_format']
+                     WHEN 'destination_exists' THEN ['config_received', 'destination_exists']
+                     WHEN 'empty_query' THEN ['config_received', 'config_parsed', 'failed']
+                     ELSE ['config_received', 'config_parsed'] END), reason FROM checked
+  UNION ALL SELECT project, 'failed', error FROM runs WHERE error IS NOT NULL
+  UNION ALL SELECT project, 'query_done', NULL FROM runs WHERE error IS NULL
+  UNION ALL SELECT project, 'metadata_ready', NULL FROM runs WHERE error IS NULL AND download_pdf
+  UNION ALL SELECT project, CASE WHEN pdf_error IS NULL THEN 'pdf_downloaded' ELSE 'failed' END, pdf_error
+  FROM runs WHERE error IS NULL AND download_pdf
+  UNION ALL SELECT project, 'pdf_received', NULL FROM routed WHERE route = 'pdf'
+  UNION ALL SELECT project, 'pdf_converted', NULL FROM routed
+  WHERE route = 'pdf' AND replace(string_split(path, '/')[-1], '.pdf', '.html') IN
+        (SELECT event_id || '.html' FROM events WHERE value < 5)),
+texts AS (SELECT * FROM (VALUES {_TEXTS}) AS v(stage, text))
+SELECT 'now' AS time, project, stage,
+       replace(replace(text, '{{project}}', project), '{{error}}', coalesce(reason, '')) AS message,
+       reason
+FROM told JOIN texts USING (stage)"""
+
+
 def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = t.table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -214,6 +288,7 @@ QUERIES = {
     "watch_filter": (q_watch_filter, _WATCHED),
     "event_counts": (q_event_counts, _COUNTS),
     "status_messages": (q_status_messages, _STATUS),
+    "status_flow": (q_status_flow, _FLOW),
     "event_stream": (q_event_stream, _ROUTED),
     "bucket_events": (q_bucket_events, _PATHS),
     "file_stream": (q_file_stream, _FILES),

@@ -39,14 +39,14 @@ def status_message(
     ``places`` names the site, studio and server users are sent to.
     """
     names = {**DEFAULT_PLACES, **(places or {})}
-    texts = {k: _fill(v, names) for k, v in MESSAGES.items()}
+    texts = {k: fill_places(v, names) for k, v in MESSAGES.items()}
     lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(texts.items())])
     message = F.replace(F.try_element_at(lookup, stage), F.lit("{project}"), project)
     reason = F.lit("") if error is None else F.coalesce(error, F.lit(""))
     return F.replace(message, F.lit("{error}"), reason)
 
 
-def _fill(text: str, names: dict[str, str]) -> str:
+def fill_places(text: str, names: dict[str, str]) -> str:
     for name, value in names.items():
         text = text.replace("{" + name + "}", value)
     return text

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.paths import (
+    base_name,
     is_watched,
     object_path,
     project_name,
@@ -77,3 +78,56 @@ def received_stage(route: Column, path_format: Column) -> Column:
         route == "config",
         F.when(path_format == "invalid", "config_bad_format").otherwise("config_received"),
     )
+
+
+def _no_reason() -> Column:
+    return F.lit(None).cast("string").alias("reason")
+
+
+def project_stages(folders: DataFrame, root: str) -> DataFrame:
+    """Stage of each folder that was created directly below the root: a new project."""
+    base = F.lit(root.rstrip("/") + "/")
+    name = F.replace("path", base, F.lit(""))
+    mine = folders.where(F.startswith("path", base) & (name != "") & ~F.contains(name, F.lit("/")))
+    return mine.select(name.alias("project"), "path", F.lit("project_created").alias("stage"), _no_reason())
+
+
+def run_stages(runs: DataFrame) -> DataFrame:
+    """Stages that a request goes through after its config was parsed, numbered in order.
+
+    ``runs`` has ``project``, ``path`` and ``download_pdf`` of the request, and what
+    went wrong with its metadata (``error``) or its PDFs (``pdf_error``), or null.
+    The query is done even if its PDFs could not be had.
+    """
+
+    def told(stage: str, reason: Column | None = None) -> Column:
+        return F.struct(F.lit(stage).alias("stage"), _no_reason() if reason is None else reason.alias("reason"))
+
+    pdfs = F.when(F.col("pdf_error").isNull(), told("pdf_downloaded")).otherwise(
+        told("failed", F.col("pdf_error"))
+    )
+    stages = (
+        F.when(F.col("error").isNotNull(), F.array(told("failed", F.col("error"))))
+        .when(F.col("download_pdf"), F.array(told("metadata_ready"), pdfs, told("query_done")))
+        .otherwise(F.array(told("query_done")))
+    )
+    return runs.select("project", "path", F.posexplode(stages).alias("step", "s")).select(
+        "project", "path", "step", "s.stage", "s.reason"
+    )
+
+
+def conversion_stages(events: DataFrame, htmls: DataFrame) -> DataFrame:
+    """Stages of new PDFs: received and, if their HTML is there now, converted.
+
+    ``events`` are routed paths; ``htmls`` has ``project`` and ``name``.
+    """
+    pdfs = events.where("route = 'pdf'").withColumn(
+        "name", F.replace(base_name(F.col("path")), F.lit(".pdf"), F.lit(".html"))
+    )
+    there = htmls.select("project", "name", F.lit(True).alias("_there")).distinct()
+    stages = F.when(F.col("_there"), F.array(F.lit("pdf_received"), F.lit("pdf_converted"))).otherwise(
+        F.array(F.lit("pdf_received"))
+    )
+    return pdfs.join(there, ["project", "name"], "left").select(
+        "project", "path", F.posexplode(stages).alias("step", "stage"), _no_reason()
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from citeloom.schemas import BINARY_FILE, BUCKET_EVENT
 
@@ -24,28 +25,42 @@ def file_inventory(spark: SparkSession, path: str, suffix: str = "") -> DataFram
     )
 
 
-def bucket_events(spark: SparkSession, path: str) -> DataFrame:
+def _limited(reader: DataStreamReader, files_per_trigger: int | None) -> DataStreamReader:
+    """At most so many files in a batch, which bounds the first one too."""
+    if files_per_trigger is None:
+        return reader
+    return reader.option("maxFilesPerTrigger", files_per_trigger)
+
+
+def bucket_events(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None
+) -> DataFrame:
     """Stream of notifications dropped into a folder as JSON."""
-    return spark.readStream.schema(BUCKET_EVENT).json(path)
+    return _limited(spark.readStream.schema(BUCKET_EVENT), files_per_trigger).json(path)
+
+
+def _binary(
+    spark: SparkSession, path: str, pattern: str, files_per_trigger: int | None
+) -> DataFrame:
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return _limited(reader, files_per_trigger).load(path)
 
 
-def new_files(spark: SparkSession, path: str) -> DataFrame:
+def new_files(
+    spark: SparkSession, path: str, pattern: str = "*", files_per_trigger: int | None = None
+) -> DataFrame:
     """Stream of files as they appear: path, time and length, each file once."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", "modificationTime", "length")
-    )
+    files = _binary(spark, path, pattern, files_per_trigger)
+    return files.select("path", "modificationTime", "length")
 
 
-def new_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Stream of whole small files as they appear: path and text."""
-    return (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("recursiveFileLookup", True)
-        .load(path)
-        .select("path", F.col("content").cast("string").alias("value"))
-    )
+def new_texts(
+    spark: SparkSession, path: str, pattern: str = "*", files_per_trigger: int | None = None
+) -> DataFrame:
+    """Stream of whole small files as they appear: path and text.
+
+    Files that ``pattern`` leaves out are not opened.
+    """
+    files = _binary(spark, path, pattern, files_per_trigger)
+    return files.select("path", F.col("content").cast("string").alias("value"))

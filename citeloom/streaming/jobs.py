@@ -24,11 +24,13 @@ from citeloom.operators.events import (
 )
 from citeloom.operators.fulltext import pending_conversions
 from citeloom.plans.access import snapshot_plan
-from citeloom.sources.configs import parse_configs
+from citeloom.sources.configs import CONFIG_GLOB, parse_configs
 from citeloom.sources.files import bucket_events, new_files, new_texts
 
 Trigger = dict[str, object]
 ONCE: Trigger = {"availableNow": True}
+# One small row per plan that was written, beside the plans.
+_POINTER = "snapshot bigint, folder string"
 
 
 def event_stream(notifications: DataFrame, root: str, strict: bool = False) -> DataFrame:
@@ -51,9 +53,16 @@ def folder_stream(spark: SparkSession, folder: str, root: str) -> DataFrame:
 
 
 def status_stream(events: DataFrame, time: str = "time") -> DataFrame:
-    """Status rows of routed events that somebody acts on."""
+    """Status rows of routed events that somebody acts on.
+
+    A config of a bad format is told twice, as the batch form does; what becomes
+    of the others is told by the steps that know it.
+    """
     stage = received_stage(F.col("route"), config_format(F.col("path")))
-    stages = events.withColumn("stage", stage).where("stage is not null")
+    told = F.when(
+        stage == "config_bad_format", F.array(stage, F.lit("config_unreadable"))
+    ).otherwise(F.array(stage))
+    stages = events.withColumn("stage", F.explode(told)).where("stage is not null")
     return status_rows(stages.withColumn("reason", F.lit(None).cast("string")), F.col(time))
 
 
@@ -103,11 +112,13 @@ def config_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         found = routed(batch, root).where("route = 'config'").drop("project", "route")
         checked = checked_configs(parse_configs(found), existing(), root).persist()
-        requests, rejects = split_checked(checked)
-        status = status_rows(config_stages(checked), F.current_timestamp())
-        for name, rows in (("requests", requests), ("rejects", rejects), ("status", status)):
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-        checked.unpersist()
+        try:
+            requests, rejects = split_checked(checked)
+            status = status_rows(config_stages(checked), F.current_timestamp())
+            for name, rows in (("requests", requests), ("rejects", rejects), ("status", status)):
+                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        finally:
+            checked.unpersist()
 
     return _batch_sink(texts, handle, checkpoint, trigger)
 
@@ -120,8 +131,11 @@ def config_folder_stream(
     out: str,
     checkpoint: str,
     trigger: Trigger | None = None,
+    files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    return config_stream(new_texts(spark, folder), existing, root, out, checkpoint, trigger)
+    """The same for a folder; only files with a config's suffix are opened."""
+    texts = new_texts(spark, folder, CONFIG_GLOB, files_per_trigger)
+    return config_stream(texts, existing, root, out, checkpoint, trigger)
 
 
 def conversion_stream(
@@ -170,11 +184,15 @@ def access_refresh(
         if latest:
             plan = snapshot_plan(spark, f"{folder}/snapshot={latest}")
             plan.write.mode("overwrite").parquet(f"{out}/snapshot={latest}")
+            note = spark.createDataFrame([(int(latest), latest)], _POINTER)
+            note.write.mode("append").json(f"{out}/_latest")
 
     return _batch_sink(files, handle, checkpoint, trigger)
 
 
 def latest_plan(spark: SparkSession, out: str) -> DataFrame:
-    """The plan of the highest snapshot."""
-    plans = spark.read.parquet(out)
-    return plans.where(F.col("snapshot") == plans.agg(F.max("snapshot")).scalar())
+    """The plan of the highest snapshot; the others are not opened."""
+    notes = spark.read.schema(_POINTER).json(f"{out}/_latest")
+    number = notes.agg(F.max(F.struct("snapshot", "folder"))["folder"]).first()[0]
+    plan = spark.read.parquet(f"{out}/snapshot={number}")
+    return plan.withColumn("snapshot", F.lit(int(number)))

@@ -128,4 +128,4 @@ def test_status_stream_equals_batch(spark, tmp_path):
     jobs.append_sink(jobs.status_stream(stream), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     got = rows(spark.read.parquet(str(tmp_path / "out")), "project", "stage", "message")
     assert got == rows(jobs.status_stream(batch), "project", "stage", "message")
-    assert [g[1] for g in got] == ["config_bad_format", "pdf_received"]
+    assert [g[1] for g in got] == ["config_bad_format", "config_unreadable", "pdf_received"]
