@@ -90,13 +90,17 @@ _FROM_URL = """SELECT page_id,
 
 
 def q_slug(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the title, which is the first line, and of the whole text."""
     return t.table(spark, sf, "documents").select(
-        "doc_id", slug(F.substring_index("text", "\n", 1)).alias("slug")
+        "doc_id",
+        slug(F.substring_index("text", "\n", 1)).alias("slug"),
+        slug(F.col("text")).alias("whole"),
     )
 
 
 _SLUG = r"""SELECT doc_id, trim(lower(regexp_replace(split_part(text, chr(10), 1),
-  '[^\p{L}\p{N}]+', '-', 'g')), '-') AS slug FROM documents"""
+  '[^\p{L}\p{N}]+', '-', 'g')), '-') AS slug,
+  trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', '-', 'g')), '-') AS whole FROM documents"""
 
 
 def q_config_format(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def policy_document(bucket: Column) -> Column:
     """JSON policy that allows everything inside one bucket."""
+    # The policy's version, effect, action and resource form.
     statement = F.struct(
         F.lit("Allow").alias("Effect"),
         F.array(F.lit("s3:*")).alias("Action"),

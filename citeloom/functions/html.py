@@ -94,8 +94,16 @@ def distinct_links(html: Column, css_class: str) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+# The site and class of PDF links, the classes of search results, the word
+# that tells a captcha page, and the message about one.
+PDF_SITE, PDF_CLASS = "https://www.ncbi.nlm.nih.gov", "int-view"
+RESULT_CLASS, TITLE_CLASS, PDF_BLOCK_CLASS = "gs_r", "gs_rt", "gs_ggs gs_fl"
+CAPTCHA_WORD = "CAPTCHA"
+CAPTCHA_MESSAGE = "Failed to complete search with query %s (captcha)"
+
+
 def extract_pdf_link(
-    html: Column, base: str = "https://www.ncbi.nlm.nih.gov", css_class: str = "int-view"
+    html: Column, base: str = PDF_SITE, css_class: str = PDF_CLASS
 ) -> Column:
     """Full address of the page's PDF link; the smallest one if there are several."""
     return F.concat(F.lit(base), F.array_min(distinct_links(html, css_class)))
@@ -138,15 +146,15 @@ def search_results(html: Column) -> Column:
     is the link in the PDF block, else the link in the title; results without
     either, or without a title, are left out.
     """
-    cuts = F.split(visible(html), "(?is)(?=" + _class_tag("div", "gs_r") + ")")
+    cuts = F.split(visible(html), "(?is)(?=" + _class_tag("div", RESULT_CLASS) + ")")
     blocks = F.filter(
-        cuts, lambda b: b.rlike(r"(?i)\A<div\b") & _has_class(_first_tag(b, "div"), "gs_r")
+        cuts, lambda b: b.rlike(r"(?i)\A<div\b") & _has_class(_first_tag(b, "div"), RESULT_CLASS)
     )
     whole = F.filter(F.transform(blocks, _division), lambda b: ~b.rlike(r"(?i)<table\b"))
 
     def parts(block: Column) -> Column:
-        title = _class_tag("h3", "gs_rt") + r"[^>]*>(.*?)</h3\s*>"
-        exact = r"""(?is)<div\b[^<>]*?\sclass\s*=\s*(?:"gs_ggs gs_fl"|'gs_ggs gs_fl').*\z"""
+        title = _class_tag("h3", TITLE_CLASS) + r"[^>]*>(.*?)</h3\s*>"
+        exact = rf"""(?is)<div\b[^<>]*?\sclass\s*=\s*(?:"{PDF_BLOCK_CLASS}"|'{PDF_BLOCK_CLASS}').*\z"""
         return F.struct(
             _group(block, title).alias("title"),
             _division(F.regexp_extract(block, exact, 0)).alias("pdf"),
@@ -161,16 +169,16 @@ def search_results(html: Column) -> Column:
 
     found = F.transform(F.transform(whole, parts), result)
     kept = F.filter(found, lambda r: r["name"].isNotNull() & r["url"].isNotNull())
-    return F.when(F.contains(html, F.lit("gs_r")), kept.cast(_RESULT)).otherwise(
+    return F.when(F.contains(html, F.lit(RESULT_CLASS)), kept.cast(_RESULT)).otherwise(
         F.array().cast(_RESULT)
     )
 
 
 def search_error(html: Column, query: Column) -> Column:
     """Message when the page asks for a captcha instead of showing results."""
-    message = F.format_string("Failed to complete search with query %s (captcha)", query)
-    empty = ~visible(html).rlike(_class_tag("div", "gs_r"))
-    return F.when(F.contains(html, F.lit("CAPTCHA")) & empty, message)
+    message = F.format_string(CAPTCHA_MESSAGE, query)
+    empty = ~visible(html).rlike(_class_tag("div", RESULT_CLASS))
+    return F.when(F.contains(html, F.lit(CAPTCHA_WORD)) & empty, message)
 
 
 def extract_search_results(html: Column, query: Column) -> Column:

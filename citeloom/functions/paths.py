@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Folder names of a project and of a bucket.
 PROJECT_DIRS = ("config", "metadata", "html", "pdf")
 BUCKET_DIRS = ("log", "config", "pdf", "html", "metadata")
 

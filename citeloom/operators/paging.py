@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +47,14 @@ def result_rows(pages: DataFrame) -> DataFrame:
     return rows.select("query", "page", "pos", "paper.name", "paper.url")
 
 
-def concat_pages(pages: list[DataFrame]) -> DataFrame:
-    """All rows of all pages, repeats kept."""
-    return reduce(lambda a, b: a.unionByName(b), pages)
+def concat_pages(pages: DataFrame) -> DataFrame:
+    """All ids of all pages, repeats kept: one row per id of the pages ``(page, ids)``.
+
+    Pages are rows of one frame, however many there are, so the plan does not grow
+    with them.
+    """
+    others = [c for c in pages.columns if c != "ids"]
+    return pages.select(*others, F.explode("ids").alias("pmid"))
 
 
 def limit_results(

@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions.html import (
@@ -7,6 +10,7 @@ from citeloom.functions.html import (
     extract_pdf_link,
     extract_search_results,
     resolve_iframe,
+    search_results,
 )
 from tests.helpers import values
 
@@ -82,3 +86,21 @@ def test_embed_style(spark):
         "<html><HEAD><t/><style>a { b: $1 \\ }</style></HEAD><body></head></body>",
         "<head><style>a { b: $1 \\ }</style></head><p>x</p>",
     ]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<!--" * 250_000,
+        '<a ' + 'x="1" ' * 100_000 + 'class="int-view" href="/u">y</a>',
+        "<div>" * 100_000 + "gs_r",
+        '<div class="gs_r">' * 3_000,
+        '<a b="' * 100_000 + "gs_r int-view",
+    ],
+)
+def test_broken_pages_take_linear_time(spark, page):
+    for use in (resolve_iframe, lambda h: distinct_links(h, "int-view"), search_results):
+        values(spark, ["x"], use)  # compiled before the clock starts
+        start = time.monotonic()
+        values(spark, [page], use)
+        assert time.monotonic() - start < 5
