@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.shared import shard_of, shards_for, stored, text_bytes, work_dir
+from citeloom.llm.shared import shard_of, shards_for, text_bytes, work_dir
 from citeloom.llm.words import _SYMBOLS, joined, mix, pieces
 
 LENGTH = 50
@@ -39,7 +39,6 @@ REACH = LENGTH - NAME + 1
 #: Bytes around a picked position that hold all strings which may pick it.
 CONTEXT = LENGTH + REACH - 1
 _BLOCK = 1 << 15
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -70,11 +69,11 @@ def picked(
     No string crosses a text.
     """
     n = len(body) - LENGTH + 1
-    none = np.empty(0, np.int64)
     if n <= 0:
+        none = np.empty(0, np.int64)
         return none, none.astype(np.uint64), none, none
-    where = np.empty(n, np.int64)
-    name = np.empty(n, np.uint64)
+    runs = []
+    last = (-1, False)
     for i in range(0, n, _BLOCK):
         m = min(_BLOCK, n - i)
         g = _gram_hashes(_SYMBOLS[body[i : i + m + LENGTH - 1]])
@@ -86,17 +85,16 @@ def picked(
             low = np.minimum(low[:-step], low[step:])
         low = np.minimum(low[:m], low[REACH - 16 : REACH - 16 + m])
         place = (low & np.uint64(0xFFFF)).astype(np.int64)
-        where[i : i + m] = place + i
-        name[i : i + m] = h[place]
-    owner = np.searchsorted(at, np.arange(n), side="right") - 1
-    inside = np.arange(n) + LENGTH <= at[owner + 1]
-    start = np.ones(n, bool)
-    start[1:] = (where[1:] != where[:-1]) | (inside[1:] != inside[:-1])
-    first = np.flatnonzero(start)
+        here = np.arange(i, i + m)
+        inside = here + LENGTH <= at[np.searchsorted(at, here, side="right")]
+        start = np.ones(m, bool)
+        start[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])
+        start[0] = (place[0] + i, inside[0]) != last
+        last = (place[-1] + i, inside[-1])
+        runs.append((place[start] + i, h[place[start]], here[start], inside[start]))
+    where, name, first, inside = (np.concatenate(x) for x in zip(*runs, strict=True))
     count = np.diff(np.append(first, n))
-    good = inside[first]
-    first = first[good]
-    return where[first], name[first], first, count[good]
+    return where[inside], name[inside], first[inside], count[inside]
 
 
 def _split(order_by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -157,7 +155,7 @@ def _named(row: dict) -> tuple[np.ndarray, ...]:
     ids, at, body = _opened(row)
     position, name, first, count = picked(body, at)
     doc = ids[np.searchsorted(at, position, side="right") - 1]
-    order = np.lexsort((doc, name))
+    order = np.argsort(name, kind="stable")
     begin = np.flatnonzero(np.diff(name[order], prepend=~name[order[:1]]))
     return body, position, name, first, count, doc, order, begin
 
@@ -178,8 +176,8 @@ def _shared_names(texts: DataFrame, shards: int) -> DataFrame:
                 _, _, name, _, _, doc, order, begin = _named(row)
                 if not len(begin):
                     continue
-                last = np.append(begin[1:], len(name)) - 1
-                one, low, high = name[order[begin]], doc[order[begin]], doc[order[last]]
+                one = name[order[begin]]
+                low, high = (f.reduceat(doc[order], begin) for f in (np.minimum, np.maximum))
                 shard, packed = [], []
                 for s, rows in _split(shard_of(one, shards)):
                     # Mostly both documents are one; only the others have two numbers.
@@ -228,7 +226,7 @@ def _shared_names(texts: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(meet, _REPLY)
 
 
-_MAIL = "piece long, shard int, payload binary"
+_MAIL = "piece long, shard int, to long, payload binary"
 
 
 def _contexts(texts: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
@@ -262,18 +260,15 @@ def _contexts(texts: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
             lead = REACH - 1 - (position - first)
             length = count + LENGTH - 1
             shape = np.arange(CONTEXT)
-            take = first[:, None] - lead[:, None] + shape
-            inside = (shape >= lead[:, None]) & (shape < (lead + length)[:, None])
-            around = np.where(inside, body[np.clip(take, 0, len(body) - 1)], 0).astype(np.uint8)
+            around = np.zeros((len(first), CONTEXT), np.uint8)
+            for i in range(0, len(first), 1 << 13):
+                f, d, n = (x[i : i + (1 << 13), None] for x in (first, lead, length))
+                inside = (shape >= d) & (shape < d + n)
+                take = np.clip(f - d + shape, 0, len(body) - 1)
+                around[i : i + (1 << 13)] = np.where(inside, body[take], 0)
             head = np.stack([lead, count], 1).astype(np.uint8)
             key = np.concatenate([around, head], 1)
-            order = np.lexsort((doc, _row_hash(key)))
-            key_s = key[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key_s[1:] != key_s[:-1]).any(1)
-            group = np.empty(len(key), np.int64)
-            group[order] = np.cumsum(new) - 1
-            head_row = order[new]
+            group, head_row = _equal_rows(key, doc)
             target = shard_of(mix(name[head_row]), shards)
             number = np.empty(len(head_row), np.int32)
             at_shard = np.empty(len(head_row), np.int32)
@@ -294,6 +289,7 @@ def _contexts(texts: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
             {
                 "piece": pa.array([piece] * len(out), pa.int64()),
                 "shard": pa.array([x[0] for x in out], pa.int32()),
+                "to": pa.array([-1 - piece if x[0] is None else x[0] for x in out], pa.int64()),
                 "payload": pa.array([x[1] for x in out], pa.binary()),
             }
         )
@@ -311,6 +307,17 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def _equal_rows(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of equal rows that each row is in, and each group's row of the first document."""
+    order = np.lexsort((doc, _row_hash(rows)))
+    ordered = rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(1)
+    group = np.empty(len(rows), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[new]
+
+
 def _strings(around: np.ndarray, lead: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, begin and hash of all 50-byte strings in the given surroundings."""
     rows, begins, found = [], [], []
@@ -329,9 +336,16 @@ def _strings(around: np.ndarray, lead: np.ndarray, count: np.ndarray) -> tuple[n
 
 
 def _repeated(mail: DataFrame) -> DataFrame:
-    """For each surrounding sent, a bit for each string that stands in a smaller document."""
+    """For each surrounding sent, a bit for each string that stands in a smaller document.
+
+    Notes pass by, so that what was sent is made and moved only once.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
+        to = table.column("to")[0].as_py()
+        table = table.select(["piece", "shard", "payload"])
+        if to < 0:
+            return table
         docs, keys, sizes = [], [], []
         for data in table.column("payload").to_pylist():
             raw = _unpack(data)
@@ -340,10 +354,14 @@ def _repeated(mail: DataFrame) -> DataFrame:
             keys.append(np.frombuffer(raw, np.uint8, offset=8 + 8 * n).reshape(n, CONTEXT + 2))
             sizes.append(n)
         doc, key = np.concatenate(docs), np.concatenate(keys)
+        # Equal surroundings of different pieces count once, with their first document;
+        # all strings of the others stand in that one too.
+        group, head = _equal_rows(key, doc)
+        mine, key = doc[head], key[head]
         around = np.ascontiguousarray(key[:, :CONTEXT])
         lead, count = key[:, CONTEXT].astype(np.int64), key[:, CONTEXT + 1].astype(np.int64)
         row, begin, found = _strings(around, lead, count)
-        order = np.lexsort((doc[row], found))
+        order = np.argsort(found)
         row, begin, found = row[order], begin[order], found[order]
         # Neighbours are compared byte by byte: a hash alone decides nothing.
         new = np.ones(len(row), bool)
@@ -355,15 +373,15 @@ def _repeated(mail: DataFrame) -> DataFrame:
             this = around[row[k][:, None], begin[k][:, None] + shape]
             other = around[row[k - 1][:, None], begin[k - 1][:, None] + shape]
             new[k] = (this != other).any(1)
-        least = doc[row][new][np.cumsum(new) - 1]
-        gone = least < doc[row]
-        masks = np.zeros(len(doc), np.uint32)
+        least = np.minimum.reduceat(mine[row], np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone = least < mine[row]
+        masks = np.zeros(len(mine), np.uint32)
         np.bitwise_or.at(masks, row[gone], np.uint32(1) << (begin - lead[row])[gone].astype(np.uint32))
+        masks = np.where(doc > mine[group], np.uint32(0xFFFFFFFF), masks[group])
         packed = [_pack(x) for x in np.split(masks, np.cumsum(sizes)[:-1])]
         return table.set_column(2, "payload", pa.array(packed, pa.binary()))
 
-    sent = mail.where("shard IS NOT NULL").select("piece", "shard", "payload")
-    return sent.groupBy("shard").applyInArrow(meet, _REPLY)
+    return mail.groupBy("to").applyInArrow(meet, _REPLY)
 
 
 RESULT_SCHEMA = (
@@ -389,9 +407,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = _texts(docs, table, buckets)
     shared = _shared_names(texts, shards)
-    mail = stored(_contexts(texts, shared, shards), "contexts")
-    notes = mail.where("shard IS NULL").select("piece", "shard", "payload")
-    answers = notes.unionAll(_repeated(mail))
+    answers = _repeated(_contexts(texts, shared, shards))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         columns: list[list] = [[] for _ in range(6)]
