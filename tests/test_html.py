@@ -97,6 +97,7 @@ def test_embed_style(spark):
         '<div class="gs_r">' * 3_000,
         '<a b="' * 100_000 + "gs_r int-view",
     ],
+    ids=["comments", "attributes", "divisions", "results", "quotes"],
 )
 def test_broken_pages_take_linear_time(spark, page):
     for use in (resolve_iframe, lambda h: distinct_links(h, "int-view"), search_results):
