@@ -129,3 +129,31 @@ def test_status_stream_equals_batch(spark, tmp_path):
     got = rows(spark.read.parquet(str(tmp_path / "out")), "project", "stage", "message")
     assert got == rows(jobs.status_stream(batch), "project", "stage", "message")
     assert [g[1] for g in got] == ["config_bad_format", "config_unreadable", "pdf_received"]
+
+
+def test_a_large_pdf_beside_a_config_is_not_read(spark, tmp_path):
+    root = tmp_path / "root"
+    for name in ("config", "pdf"):
+        (root / "p" / name).mkdir(parents=True)
+    (root / "p" / "pdf" / "big.pdf").write_bytes(b"x" * 10_000)
+    (root / "p" / "config" / "q.json").write_text('{"query_str": "x"}')
+    (root / "p" / "config" / "r.json").write_text('{"query_str": "y"}')
+    none = spark.createDataFrame([], "path string")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        jobs.config_folder_stream(
+            spark,
+            str(root),
+            lambda: none,
+            f"file:{root}",
+            str(tmp_path / "out"),
+            str(tmp_path / "c"),
+            files_per_trigger=1,
+        ).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    requests = spark.read.parquet(f"{tmp_path}/out/requests")
+    assert rows(requests, "query_str", "batch") == [("x", 0), ("y", 1)] or rows(
+        requests, "query_str", "batch"
+    ) == [("x", 1), ("y", 0)]
