@@ -69,7 +69,7 @@ def staged(docs: DataFrame) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
         for part in pieces(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema, options=options) as out:
