@@ -24,7 +24,7 @@ WINDOW, DIM, WIDTHS, FILTERS = 256, 6, (2, 3, 4, 5), 8
 #: Labelled windows that are learned from, for each language.
 SAMPLE_PER_LANGUAGE = 1_500
 #: Texts whose best language is less likely than this are rejected as unclear.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.34
 UNKNOWN = "und"
 _WIDE = max(WIDTHS)
 _BATCH = 512
