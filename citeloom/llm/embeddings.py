@@ -44,8 +44,8 @@ AUDIT, RECALL = 512, 0.97
 _BLOCK = 200_000
 
 
-def _heads(vectors: DataFrame) -> DataFrame:
-    """``id, copies, mark1, mark2, size, unit`` of every different usable vector."""
+def _heads(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable vectors as unit vectors, and the first id and the number of each different one."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,7 +352,7 @@ def _tiled(spread: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.groupBy("shard", "i", "j").applyInArrow(compare, _PART)
 
 
-def _true_links(heads: DataFrame, queries: list, sizes: int) -> dict[int, int]:
+def _true_links(heads: DataFrame, queries: list) -> dict[int, int]:
     """Links of the queries by brute force: the query set, in blocks, against all vectors."""
     ids = np.array([r["id"] for r in queries])
     x = np.frombuffer(b"".join(bytes(r["unit"]) for r in queries)).reshape(len(ids), -1)
@@ -385,7 +385,7 @@ def audited(heads: DataFrame, found: DataFrame) -> float:
     queries = ranked.limit(AUDIT).select("id", "unit").collect()
     if not queries:
         return 1.0
-    true = _true_links(heads, queries, len(queries))
+    true = _true_links(heads, queries)
     have = found.where(F.col("id").isin([r["id"] for r in queries]))
     got = {r["id"]: r["n"] for r in have.groupBy("id").agg(F.sum("n").alias("n")).collect()}
     every = sum(true.values())
