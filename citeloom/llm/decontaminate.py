@@ -115,10 +115,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
             )
 
 
-def phrase_starts(segment: Segment, phrase: np.ndarray) -> np.ndarray:
-    """Positions where the words of a phrase stand in a row, within one document."""
+def phrase_starts(segment: Segment, phrase: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions where the words of a phrase stand in a row, within one document.
+
+    ``counts`` tells how often each word occurs in the segment.
+    """
     starts = None
-    for k in np.argsort(segment.counts(phrase), kind="stable"):
+    for k in np.argsort(counts, kind="stable"):
         at = segment.postings(phrase[k]) - np.int32(k)
         starts = at if starts is None else starts[np.isin(starts, at, assume_unique=True)]
         if not len(starts):
@@ -163,15 +166,23 @@ MATCH_SCHEMA = (
 
 def _search_block(index: DataFrame, items: list, window: int, proximity: int | None) -> DataFrame:
     windows = _windows(items, window)
-    sent = index.sparkSession.sparkContext.broadcast(windows)
+    every = np.unique(np.concatenate([np.empty(0, np.uint64), *[w for w, _ in windows]]))
+    places = [(w, np.searchsorted(every, w), ids) for w, ids in windows]
+    sent = index.sparkSession.sparkContext.broadcast((every, places))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment in _segments(batches):
             edge = np.zeros(int(segment.first[-1]) + 1, np.int32)
             found: dict[int, set[str]] = {}
-            for phrase, ids in sent.value:
+            terms, places = sent.value
+            counts = segment.counts(terms)
+            for phrase, place, ids in places:
+                # Most phrases have a term that the segment lacks.
+                if not counts[place].all():
+                    continue
                 if proximity is None:
-                    starts, width = phrase_starts(segment, phrase), len(phrase)
+                    starts = phrase_starts(segment, phrase, counts[place])
+                    width = len(phrase)
                 else:
                     width = max(proximity, len(phrase))
                     starts = near_spans(segment, phrase, width)
