@@ -211,7 +211,19 @@ class Trie:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+    """Arrays one after another, the bytes of equal weight of each together, compressed."""
+    planes = [
+        np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays
+    ]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _read(raw: bytes, kind: type, n: int = -1, offset: int = 0) -> np.ndarray:
+    """An array of n numbers (or all) that begins at a byte."""
+    size = np.dtype(kind).itemsize
+    n = (len(raw) - offset) // size if n < 0 else n
+    planes = np.frombuffer(raw, np.uint8, n * size, offset).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _unpack(data: bytes) -> bytes:
@@ -272,7 +284,7 @@ _REPLY = "piece long, shard int, payload binary"
 
 
 def _opened(row: dict) -> list[np.ndarray]:
-    return [np.frombuffer(_unpack(row[c]), k) for c, k in zip(_COLUMNS, _KINDS, strict=True)]
+    return [_read(_unpack(row[c]), k) for c, k in zip(_COLUMNS, _KINDS, strict=True)]
 
 
 def _reply(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -310,9 +322,9 @@ def _word_counts(coded: DataFrame, shards: int) -> DataFrame:
         words, counts, sizes = [], [], []
         for data in table.column("payload").to_pylist():
             raw = _unpack(data)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            words.append(np.frombuffer(raw, np.uint64, n, 8))
-            counts.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+            n = int(_read(raw, np.int64, 1)[0])
+            words.append(_read(raw, np.uint64, n, 8))
+            counts.append(_read(raw, np.int64, n, 8 + 8 * n))
             sizes.append(n)
         different, which = np.unique(np.concatenate(words), return_inverse=True)
         total = np.zeros(len(different), np.int64)
@@ -345,8 +357,9 @@ def _known(words: np.ndarray, answers: pa.Table, shards: int) -> tuple[np.ndarra
         zip(answers.column("shard").to_pylist(), answers.column("payload").to_pylist(), strict=True)
     )
     for s, i in _split(shard_of(words, shards)):
-        raw = np.frombuffer(_unpack(data[s]), np.int64)
-        number[i], count[i] = raw[1 : len(i) + 1], raw[len(i) + 1 :]
+        raw = _unpack(data[s])
+        number[i] = _read(raw, np.int64, len(i), 8)
+        count[i] = _read(raw, np.int64, len(i), 8 + 8 * len(i))
     return number, count
 
 
@@ -413,9 +426,9 @@ def _answer(asked: DataFrame, total: int, different: int, strength: float) -> Da
         parts, sizes = [], []
         for data in table.column("payload").to_pylist():
             raw = _unpack(data)
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            wide = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
-            times = np.frombuffer(raw, np.int32, n, 8 + 32 * n)
+            n = int(_read(raw, np.int64, 1)[0])
+            wide = [_read(raw, np.int64, n, 8 + 8 * n * k) for k in range(4)]
+            times = _read(raw, np.int32, n, 8 + 32 * n)
             parts.append((np.cumsum(wide[0]), *wide[1:], times))
             sizes.append(n)
         v, w, cv, cw, times = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -462,7 +475,7 @@ def score_texts(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
     counts = stored(_word_counts(coded, shards), "word-counts")
     total = different = 0
     for row in counts.where("piece = -1").select("payload").toLocalIterator():
-        n, v = np.frombuffer(_unpack(bytes(row["payload"])), np.int64)
+        n, v = _read(_unpack(bytes(row["payload"])), np.int64)
         total, different = total + int(n), different + int(v)
     counts = counts.where("piece >= 0")
     answers = _answer(_ask(coded, counts, shards), total, different, strength)
@@ -489,7 +502,7 @@ def score_texts(docs: DataFrame, strength: float = STRENGTH) -> DataFrame:
             code = np.full(len(pair), ABSENT)
             for s, i in _split(_pair_shard(number[v], number[w], shards)):
                 i = i[np.lexsort((number[w[i]], number[v[i]]))]
-                code[i] = np.frombuffer(_unpack(codes[s]), np.uint16)
+                code[i] = _read(_unpack(codes[s]), np.uint16)
             low = np.log10((count + ADDED) / (total + ADDED * (different + 1)))
             back = np.log10(strength / (count[v] + strength)) + low[w]
             value = np.where(code == ABSENT, back, -code.astype(np.float64) * STEP)
