@@ -73,8 +73,14 @@ def _has_class(tag: Column, token: str) -> Column:
     return F.array_contains(F.split(F.coalesce(attribute(tag, "class"), F.lit("")), r"\s+"), token)
 
 
+def _tags(html: Column) -> Column:
+    """The text up to its last closing bracket, as there is no tag beyond it."""
+    beyond = F.locate(">", F.reverse(html))
+    return F.when(beyond > 0, F.left(html, F.length(html) - beyond + 1)).otherwise("")
+
+
 def _first_tag(html: Column, name: str) -> Column:
-    return F.regexp_extract(html, _open_tag(name), 0)
+    return F.regexp_extract(_tags(html), _open_tag(name), 0)
 
 
 def resolve_iframe(html: Column) -> Column:
@@ -85,7 +91,7 @@ def resolve_iframe(html: Column) -> Column:
 
 def distinct_links(html: Column, css_class: str) -> Column:
     """Different targets of the anchors that carry a class."""
-    tags = F.regexp_extract_all(visible(html), F.lit(_open_tag("a")), F.lit(0))
+    tags = F.regexp_extract_all(_tags(visible(html)), F.lit(_open_tag("a")), F.lit(0))
     hits = F.filter(tags, lambda t: _has_class(t, css_class))
     targets = F.transform(hits, lambda t: attribute(t, "href"))
     return F.when(
