@@ -1,12 +1,13 @@
-"""Fuzzy line deduplication by SimHash.
-
-Lines are normalised to their words in lower case. Equal normalised lines are
-found by a 128-bit hash; the different ones get a SimHash of 256 bits in eight
-blocks. Lines that agree in a block are compared by other bits of their hashes
-with the first of their kind (leaders), within a partition before anything is
-moved and among what is left afterwards, so a bucket of very many similar lines
-shrinks to its leaders where it stands. Candidates are verified by their edit
-similarity in words, and of each connected group the first occurrence stays.
+"""Fuzzy line deduplication by sketches of character strings.
+
+Lines are normalised to their words in lower case, with a space between. Equal
+normalised lines are found by a 128-bit hash. Of the different ones, the strings of
+a few characters are hashed into bins; the least hashes of bins are the keys of a
+line, and two bits of each of 64 other bins tell roughly how many strings two lines
+share. Lines with a key in common are compared by these bits, and what is near is
+verified by its edit distance in characters. First the lines of a bucket are
+compared with one of their kind; then those that are not connected yet, with all
+others of the bucket. Of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -23,16 +24,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from citeloom.llm.components import components
-from citeloom.llm.shared import MIN_SHARDS, staged, stored, unpacked
-from citeloom.llm.words import ALPHANUMERIC, hashes, joined, mix, spans
-
-BLOCKS = 8
-#: Bits in which the compared parts (of 48) of two candidates may differ.
-FAR = 9
-#: Least edit similarity in words: 1 - edits / words of the longer line.
+from citeloom.llm.shared import MIN_SHARDS, shard_of, staged, stored, unpacked
+from citeloom.llm.words import ALPHANUMERIC, LOWER, hashes, joined, mix, spans
+
+#: Keys of a line, the same at any number of lines.
+KEYS = 20
+#: Strings of a key, and their bytes: in lines of so many bytes at least, or at most.
+LONG, SHORT = (48, 1, 12), (64, 2, 4)
+#: Bins of two bits, and in how many of them two candidates have to agree.
+BINS, AGREE = 64, 30
+#: Least edit similarity: 1 - edits / characters of the longer line.
 SIMILARITY = 0.9
 _C = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_FULL, _LOW = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0xFFFF)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_EVEN = np.uint64(0x5555555555555555)
+_SYMBOLS = mix(np.arange(300, 556, dtype=np.uint64) * _C[0])
+_TILE = 1 << 20
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,14 +105,82 @@ def _different(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(key & np.uint64((1 << 40) - 1)), begin
 
 
-OCCURRENCE_SCHEMA = (
-    "piece long, row int, line int, doc_id long, words int, "
-    "k1 long, k2 long, s0 long, s1 long, s2 long, s3 long"
-)
+def _normal(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in lower case, each with a space behind it, and where each begins."""
+    at = np.concatenate([[0], np.cumsum(end - begin + 1)])
+    place = np.arange(at[-1]) + np.repeat(begin - at[:-1], np.diff(at))
+    text = LOWER[body[np.minimum(place, len(body) - 1)]]
+    text[at[1:] - 1] = 32
+    return text, at
+
+
+def _strings(text: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q bytes from each byte on; a line goes on at its begin."""
+    symbols = _SYMBOLS[text]
+    wide = np.concatenate([symbols, np.zeros(q, np.uint64)])
+    out = np.zeros(len(text), np.uint64)
+    for j in range(q):
+        out = out * _C[1] + wide[j : j + len(text)]
+    size = np.diff(at)
+    last = np.minimum(size, q - 1)
+    line = np.repeat(np.arange(len(size)), last)
+    place = size[line] - 1 - (np.arange(len(line)) - np.repeat(np.cumsum(last) - last, last))
+    turned = np.zeros(len(line), np.uint64)
+    for j in range(q):
+        turned = turned * _C[1] + symbols[at[line] + (place + j) % size[line]]
+    out[at[line] + place] = turned
+    return mix(out)
+
+
+def _least(strings: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
+    """The least hash of each line in each bin; an empty bin takes another one's."""
+    n = len(at) - 1
+    out = np.full(n * bins, _FULL)
+    line = np.repeat(np.arange(n), np.diff(at))
+    place = ((strings >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    np.minimum.at(out, line * bins + place, mix(strings))
+    out = out.reshape(n, bins)
+    full = out != _FULL
+    given = out.copy()
+    row, bin_ = np.nonzero(~full)
+    turn = np.uint64(0)
+    while len(row):
+        turn += np.uint64(1)
+        other = mix(bin_.astype(np.uint64) * _C[2] + turn) % np.uint64(bins)
+        other = other.astype(np.int64)
+        good = full[row, other]
+        out[row[good], bin_[good]] = mix(given[row[good], other[good]] + turn)
+        row, bin_ = row[~good], bin_[~good]
+    return out
+
+
+def sketches(
+    text: np.ndarray, at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines, the line of each key, and 128 bits of each line."""
+    size = np.diff(at)
+    keys, lines = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for (limit, each, q), mine in ((LONG, size >= LONG[0]), (SHORT, size <= SHORT[0])):
+        own = np.flatnonzero(mine)
+        part = text[np.repeat(mine, size)]
+        begin = np.concatenate([[0], np.cumsum(size[own])])
+        least = _least(_strings(part, begin, q), begin, KEYS * each).reshape(-1, KEYS, each)
+        key = np.arange(KEYS, dtype=np.uint64) * _C[3] + np.uint64(q)
+        for i in range(each):
+            key = mix(key + least[:, :, i])
+        keys.append(key.reshape(-1))
+        lines.append(np.repeat(own, KEYS))
+    least = _least(_strings(text, at, 4), at, BINS) & np.uint64(3)
+    up = np.uint64(2) * np.arange(32, dtype=np.uint64)
+    bits = np.stack([(least[:, i : i + 32] << up).sum(1, dtype=np.uint64) for i in (0, 32)], axis=1)
+    return np.concatenate(keys), np.concatenate(lines), bits
+
+
+OCCURRENCE_SCHEMA = "piece long, row int, line int, doc_id long, size int, k1 long, k2 long"
 
 
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """One row per line that has a word, with its key and SimHash; rows without an id have none."""
+    """One row per line that has a word, with its key and bytes; rows without an id have none."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +196,7 @@ def _occurrences(texts: DataFrame) -> DataFrame:
                 place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
                 chain = words + mix(place.astype(np.uint64) + _C[5])
                 keys = [np.add.reduceat(mix(chain ^ _C[k]), first[:-1]) for k in (6, 7)]
-                signs = _signatures(*_different(words, first))
+                size = np.add.reduceat(end - begin + 1, first[:-1]) - 1
                 starts = np.searchsorted(owner, np.arange(part.num_rows))
                 row = owner[some]
                 ids = pc.cast(part.column("doc_id"), pa.int64())
@@ -130,9 +205,8 @@ def _occurrences(texts: DataFrame) -> DataFrame:
                     pa.array(row.astype(np.int32)),
                     pa.array((some - starts[row]).astype(np.int32)),
                     ids.take(pa.array(row)),
-                    pa.array(np.diff(first).astype(np.int32)),
+                    pa.array(size.astype(np.int32)),
                     *[pa.array(x.view(np.int64)) for x in keys],
-                    *[pa.array(np.ascontiguousarray(x).view(np.int64)) for x in signs.T],
                 ]
                 found = pa.RecordBatch.from_arrays(columns, names=_OCCURRENCE_NAMES)
                 yield found.filter(pc.is_valid(found.column("doc_id")))
@@ -143,28 +217,32 @@ def _occurrences(texts: DataFrame) -> DataFrame:
 _OCCURRENCE_NAMES = [x.split()[0] for x in OCCURRENCE_SCHEMA.split(", ")]
 
 
+def _close(bits: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` may be similar."""
+    apart = bits[a] ^ bits[b]
+    apart = np.bitwise_count((apart | (apart >> np.uint64(1))) & _EVEN).sum(1)
+    # Half as many bytes again is further off than any similarity in use.
+    near = 2 * np.maximum(size[a], size[b]) <= 3 * np.minimum(size[a], size[b])
+    return near & (apart <= BINS - AGREE)
+
+
 def lead(
-    keys: np.ndarray, ids: np.ndarray, checks: np.ndarray
+    keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, size: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaders among rows of equal keys, and which row follows which leader.
 
-    A check holds 48 bits of a SimHash and a number of words. In each bucket the
-    first row leads and takes the rows whose checks are near; the first of the
-    others leads next, and so on. Gives the indices of leaders, of followers, and
-    of the followers' leaders.
+    In each bucket the first row leads and takes the rows that may be similar; the
+    first of the others leads next, and so on. Gives the indices of leaders, of
+    followers, and of the followers' leaders.
     """
-    words = (checks & _LOW).astype(np.int64)
-    order = np.lexsort((ids, keys))
-    left = order
+    left = np.lexsort((ids, keys))
     leaders, follows, followed = [], [], []
     while len(left):
         k = keys[left]
         new = np.ones(len(left), bool)
         new[1:] = k[1:] != k[:-1]
         head = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        near = np.bitwise_count((checks[left] ^ checks[head]) & ~_LOW) <= FAR
-        # Half as many words again is further off than any similarity in use.
-        near &= 2 * np.maximum(words[left], words[head]) <= 3 * np.minimum(words[left], words[head])
+        near = _close(bits, size, left, head)
         leaders.append(left[new])
         mine = near & ~new
         follows.append(left[mine])
@@ -174,92 +252,148 @@ def lead(
     return tuple(np.concatenate([none, *x]) for x in (leaders, follows, followed))
 
 
-_MOVED = "a long, b long, shard int, payload binary"
-
-
-def _candidates(lines: DataFrame, count: int) -> DataFrame:
-    """Pairs ``(a, b)`` of line ids that agree in a block and lead to one another.
+def apart(
+    keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, size: np.ndarray, group: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a bucket that may be similar and are of different groups.
 
-    A block's key has about as many bits as it takes for eight different lines
-    to share it by chance, whatever the number of lines.
+    Rows of a bucket's largest group are compared with those of other groups only.
     """
-    bits = min(32, max(16, math.ceil(math.log2(max(count, 2))) - 3))
-    shards = max(MIN_SHARDS, math.ceil(count / 50_000))
-
-    def keyed(table: pa.RecordBatch, block: int) -> tuple[np.ndarray, np.ndarray]:
-        word = table.column(f"s{block // 2}").to_numpy().view(np.uint64)
-        half = word >> np.uint64(32) if block % 2 else word & np.uint64(0xFFFFFFFF)
-        check = table.column(f"s{(block // 2 + 1) % 4}").to_numpy().view(np.uint64)
-        words = np.minimum(table.column("words").to_numpy(), 65535).astype(np.uint64)
-        check = (check & ~_LOW) | words
-        return (half >> np.uint64(32 - bits)) | (np.uint64(block) << np.uint64(32)), check
-
-    def rows(a: np.ndarray, b: np.ndarray, packed: dict[int, bytes]) -> pa.RecordBatch:
-        n, m = len(a), len(packed)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*a.tolist(), *[None] * m], pa.int64()),
-                pa.array([*b.tolist(), *[None] * m], pa.int64()),
-                pa.array([*[None] * n, *packed], pa.int32()),
-                pa.array([*[None] * n, *packed.values()], pa.binary()),
-            ],
-            names=["a", "b", "shard", "payload"],
-        )
-
-    def reduce_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((ids, group, keys))
+    k, g = keys[order], group[order]
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    run = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (g[1:] != g[:-1])))
+    length = np.diff(np.append(run, len(k)))
+    bucket = np.searchsorted(begin, run, side="right") - 1
+    largest = np.lexsort((run, -length, bucket))
+    largest = largest[np.append(True, np.diff(bucket[largest]) != 0)]
+    other = np.ones(len(run), bool)
+    other[largest] = False
+    rows = np.flatnonzero(np.repeat(other, length))
+    of = np.searchsorted(begin, rows, side="right") - 1
+    start, stop = begin[of], np.append(begin[1:], len(k))[of]
+    done = np.concatenate([[0], np.cumsum(stop - start)])
+    at = 0
+    # A tile is a span of the pairs, whether or not it ends within a row's.
+    while at < done[-1]:
+        pair = np.arange(at, min(at + _TILE, done[-1]))
+        i = np.searchsorted(done, pair, side="right") - 1
+        a, b = order[rows[i]], order[start[i] + pair - done[i]]
+        good = group[a] != group[b]
+        a, b = a[good], b[good]
+        good = _close(bits, size, a, b)
+        yield a[good], b[good]
+        at += _TILE
+
+
+_ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("bits", "<u8", 2), ("size", "<u4")])
+
+
+def _wanted_words(packed: dict, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The normal form of the wanted lines of a piece, and where each begins."""
+    part = unpacked(packed["rows"])
+    body, at, owner = lines_of(part.column("text"))
+    starts = np.searchsorted(owner, np.arange(part.num_rows))
+    line = starts[right.column("row").to_numpy()] + right.column("line").to_numpy()
+    begin, end, of = spans(body, at, ALPHANUMERIC)
+    asked = np.zeros(len(owner) + 1, bool)
+    asked[line] = True
+    mine = asked[of]
+    text, at = _normal(body, begin[mine], end[mine])
+    return text, np.append(at[np.searchsorted(of[mine], line)], len(text))
+
+
+def _dealt(texts: DataFrame, lines: DataFrame, count: int) -> DataFrame:
+    """``shard, payload``: the rows of ``_ROW`` of all keys of ``lines(id, piece, row, line)``."""
+    shards = max(MIN_SHARDS, math.ceil(count / 25_000))
+
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for table in batches:
-            ids = table.column("id").to_numpy()
-            for block in range(BLOCKS):
-                keys, checks = keyed(table, block)
-                top, follow, leader = lead(keys, ids, checks)
-                target = ((mix(keys[top]) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(target, kind="stable")
-                top, target = top[order], target[order]
-                cut = np.flatnonzero(np.diff(target, prepend=-1))
-                packed = {}
-                for s, e in zip(cut, np.append(cut[1:], len(top)), strict=True):
-                    part = top[s:e]
-                    data = keys[part].tobytes() + ids[part].tobytes() + checks[part].tobytes()
-                    packed[int(target[s])] = zip_.compress(data)
-                yield rows(ids[leader], ids[follow], packed)
-
-    def reduce_there(table: pa.Table) -> pa.Table:
-        parts = []
-        for data in table.column("payload").to_pylist():
-            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint64)
-            parts.append(raw.reshape(3, -1))
-        keys, ids, checks = np.concatenate(parts, axis=1)
-        ids = ids.view(np.int64)
-        _, follow, leader = lead(keys, ids, checks)
-        return pa.table({"a": ids[leader], "b": ids[follow]})
-
-    moved = stored(lines.mapInArrow(reduce_here, _MOVED), "leaders")
-    near = moved.where("shard IS NULL").select("a", "b")
-    far = moved.where("shard IS NOT NULL").select("shard", "payload")
-    return near.unionAll(far.groupBy("shard").applyInArrow(reduce_there, "a long, b long"))
+        out: dict[str, list] = {"shard": [], "payload": []}
+        right = right.sort_by([("row", "ascending"), ("line", "ascending")])
+        for packed in left.to_pylist():
+            if not len(right):
+                break
+            text, at = _wanted_words(packed, right)
+            keys, line, bits = sketches(text, at)
+            rows = np.empty(len(keys), _ROW)
+            rows["key"], rows["bits"], rows["size"] = keys, bits[line], np.diff(at)[line]
+            rows["id"] = right.column("id").to_numpy()[line]
+            target = shard_of(mix(keys), shards)
+            order = np.argsort(target, kind="stable")
+            rows, target = rows[order], target[order]
+            cut = np.flatnonzero(np.diff(target, prepend=-1))
+            for s, e in zip(cut, np.append(cut[1:], len(rows)), strict=True):
+                out["shard"].append(int(target[s]))
+                out["payload"].append(zip_.compress(rows[s:e].tobytes()))
+        return pa.table({"shard": pa.array(out["shard"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
+
+    return texts.groupBy("piece").cogroup(lines.groupBy("piece")).applyInArrow(
+        read, "shard int, payload binary"
+    )
 
 
-def _spelled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, words`` of the lines in ``wanted(id, piece, row, line)``: a character for each word.
+def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Keys, ids, bits and sizes of a shard, where a key has several rows."""
+    zip_ = zstandard.ZstdDecompressor()
+    rows = np.concatenate(
+        [np.frombuffer(zip_.decompress(x), _ROW) for x in table.column("payload").to_pylist()]
+    )
+    _, of, n = np.unique(rows["key"], return_inverse=True, return_counts=True)
+    rows = rows[n[of] > 1]
+    return tuple(np.ascontiguousarray(rows[c]) for c in ("key", "id", "bits", "size"))
+
+
+def _led(dealt: DataFrame) -> DataFrame:
+    """``shard, a, b``: each line and the leader it follows, in each bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, ids, bits, size = _rows(table)
+        _, follow, leader = lead(keys, ids, bits, size)
+        pair = np.unique(np.stack([ids[leader], ids[follow]], axis=1), axis=0)
+        shard = np.full(len(pair), table.column("shard")[0].as_py(), np.int32)
+        return pa.table({"shard": shard, "a": pair[:, 0].copy(), "b": pair[:, 1].copy()})
+
+    return dealt.groupBy("shard").applyInArrow(run, "shard int, a long, b long")
+
+
+def _rest(dealt: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that may be similar and are not connected by ``groups(shard, id, component)``."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.empty((0, 2), np.int64)]
+        if len(left):
+            keys, ids, bits, size = _rows(left)
+            right = right.sort_by("id")
+            known, component = (right.column(c).to_numpy() for c in ("id", "component"))
+            group = ids.copy()
+            if len(known):
+                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                group = np.where(known[at] == ids, component[at], ids)
+            for a, b in apart(keys, ids, bits, size, group) if len(keys) else ():
+                pair = np.sort(np.stack([ids[a], ids[b]], axis=1), axis=1)
+                found.append(np.unique(pair, axis=0))
+        pair = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pair[:, 0].copy(), "b": pair[:, 1].copy()})
+
+    return dealt.groupBy("shard").cogroup(groups.groupBy("shard")).applyInArrow(
+        run, "a long, b long"
+    )
 
-    Two different words get the same character about once in half a million.
-    """
+
+def _spelled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, words`` of the lines in ``wanted(id, piece, row, line)``: their words in lower case."""
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, out = [], []
+        right = right.sort_by([("row", "ascending"), ("line", "ascending")])
         for packed in left.to_pylist():
             if not len(right):
                 break
-            part = unpacked(packed["rows"])
-            body, at, owner = lines_of(part.column("text"))
-            starts = np.searchsorted(owner, np.arange(part.num_rows))
-            line = starts[right.column("row").to_numpy()] + right.column("line").to_numpy()
-            begin, end, of = spans(body, at, ALPHANUMERIC)
-            words = 0x20000 + (hashes(body, begin, end) >> np.uint64(45)).astype(np.int64)
-            first, last = np.searchsorted(of, line), np.searchsorted(of, line, side="right")
+            text, at = _wanted_words(packed, right)
+            data = text.tobytes()
             ids.extend(right.column("id").to_pylist())
-            out.extend("".join(map(chr, words[a:b])) for a, b in zip(first, last, strict=True))
+            out.extend(data[a : b - 1].decode() for a, b in zip(at, at[1:]))
         return pa.table({"id": pa.array(ids, pa.int64()), "words": pa.array(out, pa.string())})
 
     return texts.groupBy("piece").cogroup(wanted.groupBy("piece")).applyInArrow(
@@ -267,6 +401,21 @@ def _spelled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _verified(texts: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose edit similarity in characters is enough."""
+    both = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
+    wanted = lines.join(stored(both.distinct(), "wanted"), "id")
+    spelled = stored(_spelled(texts, wanted), "spelled")
+    checked = pairs.join(spelled.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
+    checked = checked.join(spelled.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    longer = F.greatest(F.length("x"), F.length("y"))
+    most = F.floor((1 - F.lit(similarity)) * longer + F.lit(1e-9)).cast("int")
+    checked = checked.withColumn("most", most).where(
+        F.abs(F.length("x") - F.length("y")) <= F.col("most")
+    )
+    return stored(checked.where("levenshtein(x, y, most) >= 0").select("a", "b"), "line-links")
+
+
 def _gone(texts: DataFrame, similarity: float) -> DataFrame:
     """``piece, row, line`` of the lines that go.
 
@@ -277,27 +426,25 @@ def _gone(texts: DataFrame, similarity: float) -> DataFrame:
     lines = seen.groupBy("k1", "k2").agg(
         F.min(F.struct("doc_id", "line", "piece", "row")).alias("first"),
         F.count("*").alias("n"),
-        F.min("words").alias("words"),
-        *[F.min(f"s{i}").alias(f"s{i}") for i in range(4)],
+        F.min("size").alias("size"),
     )
     lines = stored(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
-    # With fewer words, a single other word is too much already.
-    long_lines = lines.where(F.col("words") * (1 - F.lit(similarity)) >= 1 - 1e-9)
-    long_lines = long_lines.select("id", "words", "s0", "s1", "s2", "s3")
-    pairs = _candidates(long_lines, long_lines.count())
-    pairs = stored(pairs.distinct(), "line-pairs")
-    both = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-    wanted = lines.join(stored(both.distinct(), "wanted"), "id")
-    wanted = wanted.select("id", "first.piece", "first.row", "first.line")
-    spelled = stored(_spelled(texts, wanted), "spelled")
-    checked = pairs.join(spelled.select(F.col("id").alias("a"), F.col("words").alias("x")), "a")
-    checked = checked.join(spelled.select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    most = F.floor((1 - F.lit(similarity)) * longer + F.lit(1e-9)).cast("int")
-    checked = checked.withColumn("most", most).where(
-        F.abs(F.length("x") - F.length("y")) <= F.col("most")
+    # Shorter lines are not similar to any other: one character is too much already.
+    some = lines.where((F.col("size") + 1) * (1 - F.lit(similarity)) >= 1 - 1e-9)
+    some = some.select("id", "first.piece", "first.row", "first.line")
+    dealt = stored(_dealt(texts, some, some.count()), "line-keys")
+    led = stored(_led(dealt), "led")
+    pairs = stored(led.select("a", "b").distinct(), "line-pairs")
+    links = _verified(texts, some, pairs, similarity)
+    groups = stored(components(links), "line-groups")
+    seen_in = led.select("shard", F.col("a").alias("id")).unionAll(
+        led.select("shard", F.col("b").alias("id"))
     )
-    links = checked.where("levenshtein(x, y, most) >= 0").select("a", "b")
+    known = stored(seen_in.distinct().join(groups, "id").select("shard", "id", "component"), "known")
+    rest = _rest(dealt, known).distinct()
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    links = links.unionAll(_verified(texts, some, rest, similarity))
     groups = stored(components(links), "line-groups")
 
     # Lines that occur more than once, or belong to a group, and what stays of them.

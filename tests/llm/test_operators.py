@@ -308,6 +308,19 @@ def test_lines_that_repeat_go(spark, words):
     assert out[4]["text"] is None and out[5]["text"] == ""
 
 
+def test_lines_are_compared_by_characters(spark, words):
+    """Short lines with a typo, another digit or a plural, and long ones with many typos."""
+    long = " ".join(words[:40])
+    typos = "".join("q" if i % 20 == 10 else c for i, c in enumerate(long))
+    texts = {
+        1: "\n".join(["Last updated 3 March, page 2 of 10", "Show comments", long, "one two three"]),
+        2: "\n".join(["Last updated 4 March, page 2 of 10", "Show comment", typos, "one six three"]),
+    }
+    out = {r["doc_id"]: r for r in dedup_lines(table(spark, texts)).collect()}
+    assert out[1]["n_removed"] == 0
+    assert out[2]["text"] == "one six three" and out[2]["n_removed"] == 3
+
+
 def test_lines_of_odd_tables(odd, none):
     out = dedup_lines(odd)
     assert out.columns == [*[c for c in odd.columns if c != "n_removed"], "n_lines", "n_removed"]
