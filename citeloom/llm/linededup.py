@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from citeloom.llm.components import components
-from citeloom.llm.shared import MIN_SHARDS, shard_of, staged, stored, unpacked
+from citeloom.llm.shared import MIN_SHARDS, bucketed, shard_of, staged, stored, unpacked
 from citeloom.llm.words import ALPHANUMERIC, LOWER, hashes, joined, mix, spans
 
 #: Keys of a line, the same at any number of lines.
 KEYS = 20
 #: Strings of a key, and their bytes: in lines of so many bytes at least, or at most.
 LONG, SHORT = (48, 1, 12), (64, 2, 4)
-#: Bins of two bits, and in how many of them two candidates have to agree.
-BINS, AGREE = 64, 30
+#: Bins of two bits for strings of so many bytes, and in how many two candidates agree.
+BINS, PART, AGREE = 64, 5, 27
 #: Least edit similarity: 1 - edits / characters of the longer line.
 SIMILARITY = 0.9
 _C = mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -170,7 +170,7 @@ def sketches(
             key = mix(key + least[:, :, i])
         keys.append(key.reshape(-1))
         lines.append(np.repeat(own, KEYS))
-    least = _least(_strings(text, at, 4), at, BINS) & np.uint64(3)
+    least = _least(_strings(text, at, PART), at, BINS) & np.uint64(3)
     up = np.uint64(2) * np.arange(32, dtype=np.uint64)
     bits = np.stack([(least[:, i : i + 32] << up).sum(1, dtype=np.uint64) for i in (0, 32)], axis=1)
     return np.concatenate(keys), np.concatenate(lines), bits
@@ -217,17 +217,25 @@ def _occurrences(texts: DataFrame) -> DataFrame:
 _OCCURRENCE_NAMES = [x.split()[0] for x in OCCURRENCE_SCHEMA.split(", ")]
 
 
-def _close(bits: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _close(
+    bits: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float
+) -> np.ndarray:
     """Whether rows ``a`` and ``b`` may be similar."""
+    longer, shorter = np.maximum(size[a], size[b]), np.minimum(size[a], size[b])
+    out = longer - shorter <= (1 - similarity) * longer + 1e-9
+    a, b = a[out], b[out]
     apart = bits[a] ^ bits[b]
     apart = np.bitwise_count((apart | (apart >> np.uint64(1))) & _EVEN).sum(1)
-    # Half as many bytes again is further off than any similarity in use.
-    near = 2 * np.maximum(size[a], size[b]) <= 3 * np.minimum(size[a], size[b])
-    return near & (apart <= BINS - AGREE)
+    out[out] = apart <= BINS - AGREE
+    return out
 
 
 def lead(
-    keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, size: np.ndarray
+    keys: np.ndarray,
+    ids: np.ndarray,
+    bits: np.ndarray,
+    size: np.ndarray,
+    similarity: float = SIMILARITY,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaders among rows of equal keys, and which row follows which leader.
 
@@ -242,7 +250,7 @@ def lead(
         new = np.ones(len(left), bool)
         new[1:] = k[1:] != k[:-1]
         head = left[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        near = _close(bits, size, left, head)
+        near = _close(bits, size, left, head, similarity)
         leaders.append(left[new])
         mine = near & ~new
         follows.append(left[mine])
@@ -253,7 +261,12 @@ def lead(
 
 
 def apart(
-    keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, size: np.ndarray, group: np.ndarray
+    keys: np.ndarray,
+    ids: np.ndarray,
+    bits: np.ndarray,
+    size: np.ndarray,
+    group: np.ndarray,
+    similarity: float = SIMILARITY,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a bucket that may be similar and are of different groups.
 
@@ -281,12 +294,13 @@ def apart(
         a, b = order[rows[i]], order[start[i] + pair - done[i]]
         good = group[a] != group[b]
         a, b = a[good], b[good]
-        good = _close(bits, size, a, b)
+        good = _close(bits, size, a, b, similarity)
         yield a[good], b[good]
         at += _TILE
 
 
-_ROW = np.dtype([("key", "<u8"), ("id", "<i8"), ("bits", "<u8", 2), ("size", "<u4")])
+#: Bytes of a row in a shard, column by column: id, key, characters, bits.
+_ROW = 8 + 4 + 2 + 16
 
 
 def _wanted_words(packed: dict, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +318,7 @@ def _wanted_words(packed: dict, right: pa.Table) -> tuple[np.ndarray, np.ndarray
 
 
 def _dealt(texts: DataFrame, lines: DataFrame, count: int) -> DataFrame:
-    """``shard, payload``: the rows of ``_ROW`` of all keys of ``lines(id, piece, row, line)``."""
+    """``shard, payload``: the rows of all keys of ``lines(id, piece, row, line)``."""
     shards = max(MIN_SHARDS, math.ceil(count / 25_000))
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -316,16 +330,23 @@ def _dealt(texts: DataFrame, lines: DataFrame, count: int) -> DataFrame:
                 break
             text, at = _wanted_words(packed, right)
             keys, line, bits = sketches(text, at)
-            rows = np.empty(len(keys), _ROW)
-            rows["key"], rows["bits"], rows["size"] = keys, bits[line], np.diff(at)[line]
-            rows["id"] = right.column("id").to_numpy()[line]
-            target = shard_of(mix(keys), shards)
+            size = np.add.reduceat((text & 0xC0 != 0x80).astype(np.int64), at[:-1]) - 1
+            size = np.minimum(size, 65535).astype("<u2")
+            ids = right.column("id").to_numpy()
+            scrambled = mix(keys)
+            target = shard_of(scrambled, shards)
             order = np.argsort(target, kind="stable")
-            rows, target = rows[order], target[order]
+            target = target[order]
             cut = np.flatnonzero(np.diff(target, prepend=-1))
-            for s, e in zip(cut, np.append(cut[1:], len(rows)), strict=True):
+            for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True):
+                part = order[s:e]
+                of = line[part]
+                # The bytes of ids in turn, as the upper ones are alike.
+                data = ids[of].view(np.uint8).reshape(-1, 8).T.tobytes()
+                data += scrambled[part].astype("<u4").tobytes()
+                data += size[of].tobytes() + bits[of].tobytes()
                 out["shard"].append(int(target[s]))
-                out["payload"].append(zip_.compress(rows[s:e].tobytes()))
+                out["payload"].append(zip_.compress(data))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
 
     return texts.groupBy("piece").cogroup(lines.groupBy("piece")).applyInArrow(
@@ -336,20 +357,26 @@ def _dealt(texts: DataFrame, lines: DataFrame, count: int) -> DataFrame:
 def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
     """Keys, ids, bits and sizes of a shard, where a key has several rows."""
     zip_ = zstandard.ZstdDecompressor()
-    rows = np.concatenate(
-        [np.frombuffer(zip_.decompress(x), _ROW) for x in table.column("payload").to_pylist()]
-    )
-    _, of, n = np.unique(rows["key"], return_inverse=True, return_counts=True)
-    rows = rows[n[of] > 1]
-    return tuple(np.ascontiguousarray(rows[c]) for c in ("key", "id", "bits", "size"))
-
-
-def _led(dealt: DataFrame) -> DataFrame:
+    parts = []
+    for data in table.column("payload").to_pylist():
+        raw = np.frombuffer(zip_.decompress(data), np.uint8)
+        n = len(raw) // _ROW
+        ids = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).reshape(n)
+        keys, size, bits = raw[8 * n : 12 * n], raw[12 * n : 14 * n], raw[14 * n :]
+        bits = bits.copy().view(np.uint64).reshape(n, 2)
+        parts.append((keys.copy().view("<u4"), ids, bits, size.copy().view("<u2").astype(np.int64)))
+    keys, ids, bits, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    _, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+    some = n[of] > 1
+    return keys[some], ids[some], bits[some], size[some]
+
+
+def _led(dealt: DataFrame, similarity: float) -> DataFrame:
     """``shard, a, b``: each line and the leader it follows, in each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, ids, bits, size = _rows(table)
-        _, follow, leader = lead(keys, ids, bits, size)
+        _, follow, leader = lead(keys, ids, bits, size, similarity)
         pair = np.unique(np.stack([ids[leader], ids[follow]], axis=1), axis=0)
         shard = np.full(len(pair), table.column("shard")[0].as_py(), np.int32)
         return pa.table({"shard": shard, "a": pair[:, 0].copy(), "b": pair[:, 1].copy()})
@@ -357,7 +384,7 @@ def _led(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(run, "shard int, a long, b long")
 
 
-def _rest(dealt: DataFrame, groups: DataFrame) -> DataFrame:
+def _rest(dealt: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``(a, b)`` that may be similar and are not connected by ``groups(shard, id, component)``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -370,7 +397,7 @@ def _rest(dealt: DataFrame, groups: DataFrame) -> DataFrame:
             if len(known):
                 at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 group = np.where(known[at] == ids, component[at], ids)
-            for a, b in apart(keys, ids, bits, size, group) if len(keys) else ():
+            for a, b in apart(keys, ids, bits, size, group, similarity) if len(keys) else ():
                 pair = np.sort(np.stack([ids[a], ids[b]], axis=1), axis=1)
                 found.append(np.unique(pair, axis=0))
         pair = np.unique(np.concatenate(found), axis=0)
@@ -432,8 +459,8 @@ def _gone(texts: DataFrame, similarity: float) -> DataFrame:
     # Shorter lines are not similar to any other: one character is too much already.
     some = lines.where((F.col("size") + 1) * (1 - F.lit(similarity)) >= 1 - 1e-9)
     some = some.select("id", "first.piece", "first.row", "first.line")
-    dealt = stored(_dealt(texts, some, some.count()), "line-keys")
-    led = stored(_led(dealt), "led")
+    dealt = bucketed(_dealt(texts, some, some.count()), "shard", "line-keys")
+    led = stored(_led(dealt, similarity), "led")
     pairs = stored(led.select("a", "b").distinct(), "line-pairs")
     links = _verified(texts, some, pairs, similarity)
     groups = stored(components(links), "line-groups")
@@ -441,7 +468,7 @@ def _gone(texts: DataFrame, similarity: float) -> DataFrame:
         led.select("shard", F.col("b").alias("id"))
     )
     known = stored(seen_in.distinct().join(groups, "id").select("shard", "id", "component"), "known")
-    rest = _rest(dealt, known).distinct()
+    rest = _rest(dealt, known, similarity).distinct()
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
     links = links.unionAll(_verified(texts, some, rest, similarity))

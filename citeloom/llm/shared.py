@@ -60,6 +60,15 @@ def bucket_count(spark: SparkSession) -> int:
     return max(MIN_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
+    """Write packed rows in buckets of a column, by which they are grouped without being moved."""
+    spark = df.sparkSession
+    table = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    writer = df.write.option("path", work_dir(spark, label)).option("compression", "uncompressed")
+    writer.bucketBy(bucket_count(spark), by).saveAsTable(table)
+    return spark.table(table)
+
+
 def staged(docs: DataFrame) -> DataFrame:
     """``piece, rows``: all rows in pieces of a few million bytes of text.
 
@@ -77,14 +86,9 @@ def staged(docs: DataFrame) -> DataFrame:
             data = pa.array([sink.getvalue().to_pybytes()], pa.binary())
             yield pa.RecordBatch.from_arrays([data], names=["rows"])
 
-    spark = docs.sparkSession
     packed = docs.mapInArrow(pack, "rows binary")
     packed = packed.withColumn("piece", F.monotonically_increasing_id())
-    table = f"staged_{uuid.uuid4().hex}"
-    writer = packed.write.option("path", work_dir(spark, "staged"))
-    writer = writer.option("compression", "uncompressed")
-    writer.bucketBy(bucket_count(spark), "piece").saveAsTable(table)
-    return spark.table(table)
+    return bucketed(packed, "piece", "staged")
 
 
 def unpacked(data: bytes) -> pa.RecordBatch:

@@ -1,5 +1,6 @@
 """Words, hashes, SimHash, registers, code and network: the parts that need no Spark."""
 
+import random
 import re
 
 import numpy as np
@@ -66,6 +67,51 @@ def test_simhash_is_the_majority_of_each_bit():
         assert (np.packbits(want.astype(np.uint8)) == got[i].copy().view(np.uint8)).all()
 
 
+def line_sketches(lines):
+    data = [x.encode() + b" " for x in lines]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+    return linededup.sketches(np.frombuffer(b"".join(data), np.uint8), at)
+
+
+@pytest.mark.parametrize("size, changed, share", [(20, 2, 0.98), (10, 1, 0.98), (40, 1, 0.99), (4, 0, 0.98)])
+def test_share_of_similar_lines_that_become_candidates(size, changed, share):
+    """Words of five letters, some of them changed, or one letter if none is."""
+    draw = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def word():
+        return "".join(draw.choices(letters, k=5))
+
+    lines, others = [], []
+    for _ in range(500):
+        words = [word() for _ in range(size)]
+        other = list(words)
+        for i in draw.sample(range(size), changed or 1):
+            other[i] = word() if changed else "-" + other[i][1:]
+        lines.append(" ".join(words))
+        others.append(" ".join(other))
+    keys, line, bits = line_sketches(lines + others)
+    held = [set() for _ in range(1000)]
+    for k, i in zip(keys.tolist(), line.tolist(), strict=True):
+        held[i].add(k)
+    chars = np.array([len(x) for x in lines + others])
+    left, right = np.arange(500), np.arange(500, 1000)
+    near = linededup._close(bits, chars, left, right, 0.9)
+    assert np.mean([bool(held[i] & held[i + 500]) and near[i] for i in range(500)]) >= share
+
+
+def test_rows_whose_leader_was_another_are_compared_with_each_other():
+    keys, ids = np.array([5, 5, 5, 6, 6, 7]), np.arange(6)
+    bits, size = np.zeros((6, 2), np.uint64), np.full(6, 100)
+    _, follow, leader = linededup.lead(keys, ids, bits, size)
+    assert set(zip(leader.tolist(), follow.tolist(), strict=True)) == {(0, 1), (0, 2), (3, 4)}
+    # None of the links held: rows 1 and 2 have not been compared yet.
+    found = {(a, b) for x, y in linededup.apart(keys, ids, bits, size, ids) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert {tuple(sorted(p)) for p in found} == {(0, 1), (0, 2), (1, 2), (3, 4)}
+    # Nothing is left in groups that are connected.
+    assert not [1 for x, _ in linededup.apart(keys, ids, bits, size, keys) if len(x)]
+
+
 def test_registers_merge_and_tell_the_overlap():
     draw = np.random.default_rng(2)
     base = draw.integers(0, 2**63, 1500, dtype=np.uint64)
