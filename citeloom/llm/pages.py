@@ -46,6 +46,8 @@ SIDE_NAMES = frozenset(
     "replies reply respond share sharing sidebar signup social sponsor sponsored subscribe "
     "subscription toolbar widget".split()
 )
+#: With these first, a compound tells of something beside or about the element.
+BESIDE = frozenset("category has no tag with without".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -56,7 +58,18 @@ _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CLOSERS = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.I) for x in RAW}
 #: An open element of the first kind is ended by a start tag of the second.
-IMPLIED_END = {"p": None, "li": {"li"}, "td": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
+_PARTS_OF_TABLE = {"tbody", "tfoot", "thead"}
+IMPLIED_END = {
+    "p": None,
+    "li": {"li"},
+    "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"},
+    "td": {"td", "th", "tr"} | _PARTS_OF_TABLE,
+    "th": {"td", "th", "tr"} | _PARTS_OF_TABLE,
+    "tr": {"tr"} | _PARTS_OF_TABLE,
+    **dict.fromkeys(_PARTS_OF_TABLE, _PARTS_OF_TABLE),
+    "option": {"option"},
+}
 
 #: What is learned from: words, link share, words and link share of the block before and
 #: after, zone (1 in an article, -1 in another container, 0 neither), and whether it is text
@@ -186,6 +199,7 @@ def answers(tree: Node, x: np.ndarray) -> np.ndarray:
 def _zone(tag: str, attributes: str) -> int | None:
     """-1 for a container of something else, 1 for one of the article, 0 for hidden, else None."""
     names: set[str] = set()
+    whole: set[str] = set()
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
@@ -194,10 +208,17 @@ def _zone(tag: str, attributes: str) -> int | None:
             if key == "role" and value in SIDE_ROLES:
                 return -1
             if key in ("class", "id"):
-                names.update(_PARTS.findall(value))
+                for word in value.split():
+                    parts = _PARTS.findall(word)
+                    if parts and (len(parts) == 1 or parts[0] not in BESIDE):
+                        names.update(parts)
+                    whole.add(word)
+    if tag in MAIN_TAGS:
+        # A comment may be an article too: then what it stands in decides.
+        return None if whole & SIDE_NAMES else 1
     if tag in SIDE_TAGS or (tag not in ("html", "body") and names & SIDE_NAMES):
         return -1
-    return 1 if tag in MAIN_TAGS else None
+    return None
 
 
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
@@ -208,6 +229,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int, bool]] = []
+    depths: dict[str, list[int]] = {}
     zone, hidden, links = 0, False, 0
     pieces: list[str] = []
     linked: list[str] = []
@@ -233,6 +255,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         nonlocal zone, hidden, links
         while len(stack) > upto:
             tag, zone, hidden = stack.pop()
+            depths[tag].pop()
             links -= tag == "a"
 
     at, n = 0, len(page)
@@ -280,10 +303,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         elif tag in ("br", "wbr") and not hidden:
             pieces.append(" " if tag == "br" else "")
         if ending:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if depths.get(tag):
+                close(depths[tag][-1])
             continue
         attributes = page[name.end() : max(name.end(), at - 1)]
         if tag in EMPTY or attributes.endswith("/"):
@@ -291,10 +312,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         if tag in RAW:
             found = _CLOSERS[tag].search(page, at)
             at = n if not found else found.start()
-        if stack and stack[-1][0] in IMPLIED_END:
+        while stack and stack[-1][0] in IMPLIED_END:
             ends = IMPLIED_END[stack[-1][0]]
-            if tag in ends if ends is not None else tag not in INLINE:
-                close(len(stack) - 1)
+            if not (tag in ends if ends is not None else tag not in INLINE):
+                break
+            close(len(stack) - 1)
+        depths.setdefault(tag, []).append(len(stack))
         stack.append((tag, zone, hidden))
         links += tag == "a"
         here = _zone(tag, attributes)

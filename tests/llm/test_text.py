@@ -210,6 +210,23 @@ def test_article_of_a_page():
         assert pages.main_text(nothing, pages.trained()) in ("", "<")
 
 
+@pytest.mark.parametrize("inside", ["<div>", "<dt>a<dd>b", "<tbody><tr><td><p>x", "<li><p>x"])
+def test_containers_end_whatever_is_left_open_in_them(inside):
+    text = ("word " * 60).strip()
+    page = f"<nav>{inside * 300}</nav><p>{text}</p>"
+    assert pages.main_text(page, pages.trained()) == text
+
+
+@pytest.mark.parametrize(
+    "tag", ["main class='content has-sidebar'", "article class='post category-social'", "div class='content no-sidebar'"]
+)
+def test_side_words_in_names_of_articles(tag):
+    text = ("word " * 60).strip()
+    assert pages.main_text(f"<{tag}><p>{text}</p></{tag.split()[0]}>", pages.trained()) == text
+    beside = f"<main><p>{text}</p></main><div class=comments><article class=comment><p>{text} no</p></article></div>"
+    assert pages.main_text(beside, pages.trained()) == text
+
+
 @pytest.mark.parametrize(
     "page",
     ["<!--" * 250_000, "<a " + "x=1 " * 100_000 + ">y", "<div>" * 100_000, "<a b=\"" * 100_000, "<p>" * 100_000],
