@@ -37,6 +37,8 @@ SAMPLE, SHARD = 20_000, 1_500
 #: A larger shard is compared in tiles of that many vectors.
 LARGEST, TILE = 6_000, 2_000
 OVERLAP, DEGREE, CANDIDATES, ALPHA, BEAM = 4, 12, 48, 1.2, 24
+#: Rings in random order through all vectors of a shard: edges that lead out of tight groups.
+RINGS = 4
 #: How far below the threshold the search goes on through the graph.
 SLACK = 0.06
 #: Queries of the audit, and the least share of their links that must be found.
@@ -105,7 +107,7 @@ def pruned(x: np.ndarray) -> np.ndarray:
     """
     n = len(x)
     k = min(CANDIDATES, n - 1)
-    out = np.full((n, DEGREE), -1, np.int32)
+    out = np.full((n, DEGREE + RINGS), -1, np.int32)
     if k < 1:
         return out
     for i in range(0, n, 512):
@@ -127,6 +129,10 @@ def pruned(x: np.ndarray) -> np.ndarray:
             to_pick = np.sqrt(np.maximum(2 - 2 * np.einsum("ikd,id->ik", vectors, x[pick]), 0))
             left &= ALPHA * to_pick > gap
             left[np.arange(len(own)), first] = False
+    draw = np.random.default_rng(n)
+    for r in range(DEGREE, DEGREE + RINGS):
+        ring = draw.permutation(n)
+        out[ring, r] = np.roll(ring, 1)
     return out
 
 
@@ -134,7 +140,8 @@ def reach(x: np.ndarray, edges: np.ndarray, least: float, beam: int) -> np.ndarr
     """All pairs (query, vector) found at ``least`` or above, every vector being a query.
 
     A greedy search with a beam starts at the medoid; once its beam is used up,
-    the search expands through all vectors found in range until none is new.
+    the search expands from the query itself, too, through all vectors found in
+    range until none is new.
     """
     n = len(x)
     medoid = int((x @ x.mean(0)).argmax())
@@ -187,6 +194,7 @@ def reach(x: np.ndarray, edges: np.ndarray, least: float, beam: int) -> np.ndarr
         top = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
         for table, more in ((near, new_near), (ids, new_ids), (done, np.isinf(new_near))):
             table[rows] = np.take_along_axis(np.concatenate([table[rows], more], 1), top, 1)
+    hits.append(np.arange(n) * (n + 1))
     front = np.unique(np.concatenate(hits))
     found = [front]
     while len(front):
@@ -248,8 +256,13 @@ def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
     return table.column("id").to_numpy(), table.column("copies").to_numpy(), homes, units
 
 
-def _linked(heads: DataFrame, count: int, overlap: int, beam: int) -> DataFrame:
-    """``id, n, low`` rows: counts to be added up, and links to smaller ids."""
+def _linked(
+    heads: DataFrame, count: int, overlap: int, beam: int, exact: bool = False
+) -> DataFrame:
+    """``id, n, low`` rows: counts to be added up, and links to smaller ids.
+
+    With ``exact``, all shards are compared tile by tile.
+    """
     groups = max(1, math.ceil(count * overlap / SHARD))
     groups = min(groups, SAMPLE // 8)
     share = min(1.0, 1.5 * SAMPLE / max(count, 1))
@@ -280,6 +293,8 @@ def _linked(heads: DataFrame, count: int, overlap: int, beam: int) -> DataFrame:
     )
     spread = placed.withColumn("shard", F.explode("homes"))
     sizes = stored(spread.groupBy("shard").agg(F.count("*").alias("rows")), "sizes")
+    if exact:
+        return _tiled(spread, sizes)
     large = [r["shard"] for r in sizes.where(F.col("rows") > LARGEST).collect()]
     usual = spread.where(~F.col("shard").isin(large)) if large else spread
 
@@ -418,6 +433,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
             if audited(heads, found) >= RECALL:
                 break
             overlap, beam = 2 * overlap, 2 * beam
+        else:
+            found = stored(_linked(heads, count, overlap, beam, exact=True), "found")
         parts = found if parts is None else parts.unionAll(found)
     ids = vectors.select(F.col("vec_id").cast("long")).where("vec_id IS NOT NULL")
     if parts is None:

@@ -246,6 +246,17 @@ def test_graph_search_finds_what_brute_force_finds():
     assert len(want & set(pairs.tolist())) >= 0.98 * len(want)
 
 
+def test_graph_search_leaves_tight_groups():
+    draw = np.random.default_rng(7)
+    middle = draw.normal(size=(5, 32))
+    x = np.repeat(middle, 80, axis=0) + 0.02 * draw.normal(size=(400, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pairs = embeddings.reach(x, embeddings.pruned(x), 0.85, 24)
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    want = set((a * len(x) + b).tolist())
+    assert len(want & set(pairs.tolist())) >= 0.99 * len(want)
+
+
 def test_licence_lines_and_others():
     model = licenses.train(["the river runs through a town of stone houses"] * 50)
     lines = {
