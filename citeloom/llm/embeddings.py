@@ -41,8 +41,9 @@ OVERLAP, DEGREE, CANDIDATES, ALPHA, BEAM = 4, 12, 48, 1.2, 24
 RINGS = 4
 #: How far below the threshold the search goes on through the graph.
 SLACK = 0.06
-#: Queries of the audit, and the least share of their links that must be found.
-AUDIT, RECALL = 512, 0.97
+#: Queries of the audit, the least mean share of their links that must be found, and
+#: how many links a query has at most to be judged with its like as well.
+AUDIT, RECALL, FEW = 512, 0.97, 8
 _BLOCK = 200_000
 
 
@@ -228,8 +229,8 @@ def _counted(
     a: np.ndarray,
     b: np.ndarray,
     shard: int,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each vector that count in this shard, and the smallest id it reaches."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each vector that count here, with and without copies, and the smallest id it reaches."""
     good = np.empty(len(a), bool)
     counts = np.empty(len(a), bool)
     for i in range(0, len(a), _BLOCK):
@@ -239,13 +240,15 @@ def _counted(
         first = np.where(same, homes[p][:, :, None], np.iinfo(np.int64).max).min((1, 2))
         counts[i : i + _BLOCK] = first == shard
     a, b, counts = a[good], b[good], counts[good]
-    n = np.zeros(len(ids), np.int64)
+    n, heads = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
     np.add.at(n, a[counts], copies[b[counts]])
     np.add.at(n, b[counts], copies[a[counts]])
-    return n, ids[_smallest(len(ids), a, b)]
+    np.add.at(heads, a[counts], 1)
+    np.add.at(heads, b[counts], 1)
+    return n, heads, ids[_smallest(len(ids), a, b)]
 
 
-_PART = "id long, n long, low long"
+_PART = "id long, n long, heads long, low long"
 
 
 def _members(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -330,8 +333,8 @@ def _linked(
         a, b = pairs // len(ids), pairs % len(ids)
         pairs = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
         a, b = pairs // len(ids), pairs % len(ids)
-        n, low = _counted(ids, copies, homes, units, a[a < b], b[a < b], shard)
-        return pa.table({"id": ids, "n": n, "low": low})
+        n, different, low = _counted(ids, copies, homes, units, a[a < b], b[a < b], shard)
+        return pa.table({"id": ids, "n": n, "heads": different, "low": low})
 
     found = graph.groupBy("shard").applyInArrow(search, _PART)
     if large:
@@ -361,14 +364,14 @@ def _tiled(spread: DataFrame, sizes: DataFrame) -> DataFrame:
             b_all.append(q[good])
         a, b = np.concatenate(a_all), np.concatenate(b_all)
         shard = table.column("shard")[0].as_py()
-        n, low = _counted(ids, copies, homes, units, a, b, shard)
-        return pa.table({"id": ids, "n": n, "low": low})
+        n, different, low = _counted(ids, copies, homes, units, a, b, shard)
+        return pa.table({"id": ids, "n": n, "heads": different, "low": low})
 
     return rows.groupBy("shard", "i", "j").applyInArrow(compare, _PART)
 
 
 def _true_links(heads: DataFrame, queries: list) -> dict[int, int]:
-    """Links of the queries by brute force: the query set, in blocks, against all vectors."""
+    """Links of the queries to different vectors by brute force: the query set, in blocks, against all vectors."""
     ids = np.array([r["id"] for r in queries])
     x = np.frombuffer(b"".join(bytes(r["unit"]) for r in queries)).reshape(len(ids), -1)
     sent = heads.sparkSession.sparkContext.broadcast((ids, x))
@@ -381,15 +384,18 @@ def _true_links(heads: DataFrame, queries: list) -> dict[int, int]:
                 y = np.frombuffer(b"".join(batch.column("unit").to_pylist()))
                 y = y.reshape(batch.num_rows, -1)
                 near = (x @ y.T >= COSINE) & (ids[:, None] != batch.column("id").to_numpy())
-                total += near @ batch.column("copies").to_numpy()
+                total += near.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "n"])
 
-    found = heads.select("id", "copies", "unit").mapInArrow(count, "id long, n long")
+    found = heads.select("id", "unit").mapInArrow(count, "id long, n long")
     return {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
 
 def audited(heads: DataFrame, found: DataFrame) -> float:
-    """The share of the links of a bounded set of queries that the search has found.
+    """The mean share of a query's links that the search has found, for a bounded set of queries.
+
+    Copies of a vector count once, and the share is the smaller one of all queries
+    that have links and of those that have few.
 
     Queries are the ``AUDIT`` vectors of the smallest hashes among those with an id
     that 100 divides, or among all if these are too few to tell.
@@ -402,9 +408,10 @@ def audited(heads: DataFrame, found: DataFrame) -> float:
         return 1.0
     true = _true_links(heads, queries)
     have = found.where(F.col("id").isin([r["id"] for r in queries]))
-    got = {r["id"]: r["n"] for r in have.groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    every = sum(true.values())
-    return 1.0 if not every else sum(min(got.get(k, 0), n) for k, n in true.items()) / every
+    got = {r["id"]: r["n"] for r in have.groupBy("id").agg(F.sum("heads").alias("n")).collect()}
+    shares = {k: min(got.get(k, 0), n) / n for k, n in true.items() if n}
+    few = [x for k, x in shares.items() if true[k] <= FEW]
+    return min((sum(x) / len(x) for x in (list(shares.values()), few) if x), default=1.0)
 
 
 def near_vectors(vectors: DataFrame) -> DataFrame:

@@ -180,6 +180,18 @@ def test_near_vectors(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_audit_sees_that_all_single_links_are_lost(spark):
+    from citeloom.llm import embeddings
+
+    eye = np.eye(12)
+    group = [(i, eye[0] + 0.01 * i * eye[1]) for i in range(20)]
+    single = [(100 + i, eye[2 + i // 2] + 0.01 * (i % 2) * eye[1]) for i in range(20)]
+    rows = [(i, 50 if i < 20 else 1, (v / np.linalg.norm(v)).tobytes()) for i, v in group + single]
+    heads = spark.createDataFrame(rows, "id long, copies long, unit binary")
+    found = spark.createDataFrame([(i, 950, 19, 0) for i in range(20)], embeddings._PART)
+    assert embeddings.audited(heads, found) < embeddings.RECALL
+
+
 def test_large_shards_are_compared_in_tiles(spark, monkeypatch):
     from citeloom.llm import embeddings
 
