@@ -248,6 +248,24 @@ def _counted(
     return n, heads, ids[_smallest(len(ids), a, b)]
 
 
+def _in_shard(x: np.ndarray, edges: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard that may be linked: what the search finds, and what it has missed.
+
+    A link counts in the first shard its vectors share, so each shard has to know
+    all of its own, whatever other shards find. It compares its vectors once more
+    in blocks, as it does for its edges.
+    """
+    n = len(x)
+    pairs = [reach(x, edges, COSINE - SLACK, beam)]
+    for i in range(0, n, 512):
+        a, b = np.nonzero(x[i : i + 512] @ x.T >= COSINE - 1e-4)
+        pairs.append((a + i) * n + b)
+    a, b = np.divmod(np.concatenate(pairs), n)
+    pairs = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    a, b = pairs // n, pairs % n
+    return a[a < b], b[a < b]
+
+
 _PART = "id long, n long, heads long, low long"
 
 
@@ -329,11 +347,8 @@ def _linked(
             to = np.searchsorted(ids, row)
             to = to[(to < len(ids)) & (ids[np.minimum(to, len(ids) - 1)] == row)]
             edges[i, : len(to)] = to
-        pairs = reach(units.astype(np.float32), edges, COSINE - SLACK, beam)
-        a, b = pairs // len(ids), pairs % len(ids)
-        pairs = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
-        a, b = pairs // len(ids), pairs % len(ids)
-        n, different, low = _counted(ids, copies, homes, units, a[a < b], b[a < b], shard)
+        a, b = _in_shard(units.astype(np.float32), edges, beam)
+        n, different, low = _counted(ids, copies, homes, units, a, b, shard)
         return pa.table({"id": ids, "n": n, "heads": different, "low": low})
 
     found = graph.groupBy("shard").applyInArrow(search, _PART)

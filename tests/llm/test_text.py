@@ -257,6 +257,15 @@ def test_graph_search_leaves_tight_groups():
     assert len(want & set(pairs.tolist())) >= 0.99 * len(want)
 
 
+def test_shards_know_all_their_links_without_the_graph():
+    draw = np.random.default_rng(7)
+    x = np.repeat(draw.normal(size=(5, 32)), 20, axis=0) + 0.02 * draw.normal(size=(100, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    a, b = embeddings._in_shard(x, np.full((100, 1), -1, np.int32), 24)
+    p, q = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    assert set(zip(p.tolist(), q.tolist())) <= set(zip(a.tolist(), b.tolist()))
+
+
 def test_licence_lines_and_others():
     model = licenses.train(["the river runs through a town of stone houses"] * 50)
     lines = {
