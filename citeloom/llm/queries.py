@@ -15,6 +15,7 @@ from citeloom.llm.linededup import dedup_lines
 from citeloom.llm.mixing import mix_sources
 from citeloom.llm.ngrams import score_texts
 from citeloom.llm.pages import extract
+from citeloom.llm.resampling import resample
 from citeloom.llm.setsketch import near_duplicates
 from citeloom.llm.substrings import repeated_substrings
 
@@ -174,6 +175,55 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id,
 FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = least.id
 """
 
+
+def op13_resample(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
+# The CRC of a word is folded over its bytes with a table made by the CRC's own rule.
+SQL_13 = f"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1
+           THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS steps),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
+words AS (SELECT doc_id, unnest(w) AS word FROM d),
+wanted AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY 1),
+spelled AS (
+  SELECT word, hex(encode(word)) AS h
+  FROM (SELECT word FROM words UNION SELECT word FROM wanted)),
+bytes AS (
+  SELECT word, list_transform(range(0, CAST(length(h) AS BIGINT), 2),
+         lambda i: CAST('0x' || substr(h, i + 1, 2) AS BIGINT)) AS x FROM spelled),
+buckets AS (
+  SELECT word, xor(list_reduce(x, lambda c, v:
+           xor(steps[CAST(xor(c, v) & 255 AS BIGINT) + 1], c // 256), CAST(4294967295 AS BIGINT)),
+         4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+corpus AS (SELECT bucket, count(*) AS n FROM words JOIN buckets USING (word) GROUP BY 1),
+target AS (SELECT bucket, sum(n) AS n FROM wanted JOIN buckets USING (word) GROUP BY 1),
+gains AS (
+  SELECT g.bucket, CAST(floor(1000 * ln(
+           CAST((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM corpus) + 10000) AS DOUBLE)
+         / CAST((coalesce(s.n, 0) + 1) * (coalesce((SELECT sum(n) FROM target), 0) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) g
+  LEFT JOIN corpus s ON s.bucket = g.bucket LEFT JOIN target t ON t.bucket = g.bucket),
+weights AS (
+  SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight
+  FROM words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5)
+           / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, rank
+FROM scored s LEFT JOIN (SELECT * FROM placed WHERE rank <= 10 * n // 100) p ON s.doc_id = p.doc_id
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_mix_sources": (op1_mix_sources, SQL_1),
     "op2_language": (op2_language, None),
@@ -185,4 +235,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_dedup_lines": (op8_dedup_lines, None),
     "op9_licenses": (op9_licenses, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
+    "op13_resample": (op13_resample, SQL_13),
 }
