@@ -29,6 +29,8 @@ def _kind(dtype) -> str:
 
 def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
     columns = sorted(frame.columns)
+    # Whole numbers with nulls among them are doubles on the one side, Int64 on the other.
+    frame = frame.astype({c: "float64" for c in columns if str(frame[c].dtype) == "Int64"})
     return frame[columns].sort_values(columns, na_position="last").reset_index(drop=True)
 
 
