@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.llm.decontaminate import decontaminate
+from citeloom.llm.divergence import source_divergence
 from citeloom.llm.embeddings import near_vectors
 from citeloom.llm.language import identify
 from citeloom.llm.licenses import scan
@@ -176,6 +177,47 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least ON d.doc_id = least.id
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(_table(spark, sf, "documents"))
+
+
+SQL_11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w
+  FROM documents),
+words AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+cells AS (
+  SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS total FROM kept GROUP BY ALL),
+grps AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         CAST(1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS HUGEINT) AS p,
+         CAST(1 + 1000000000 * (k.n + 1) // (l.total + l.v) AS HUGEINT) AS q
+  FROM grps g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // b.p) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+  FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def op13_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -235,5 +277,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_dedup_lines": (op8_dedup_lines, None),
     "op9_licenses": (op9_licenses, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
+    "op11_source_divergence": (op11_source_divergence, SQL_11),
     "op13_resample": (op13_resample, SQL_13),
 }
