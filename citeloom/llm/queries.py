@@ -19,6 +19,7 @@ from citeloom.llm.pages import extract
 from citeloom.llm.resampling import resample
 from citeloom.llm.setsketch import near_duplicates
 from citeloom.llm.substrings import repeated_substrings
+from citeloom.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -218,6 +219,10 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
 
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op13_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resample(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -278,5 +283,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_licenses": (op9_licenses, None),
     "op10_near_duplicates": (op10_near_duplicates, SQL_10),
     "op11_source_divergence": (op11_source_divergence, SQL_11),
+    "op12_toxicity": (op12_toxicity, None),
     "op13_resample": (op13_resample, SQL_13),
 }
