@@ -1,20 +1,22 @@
 """Event-driven steps as streaming queries.
 
-None of them keeps state: the checkpoint makes sure each file is seen once.
-Batches that write go to a folder of their own that is overwritten, so a batch
-that is run again after a failure leaves the same result.
+The checkpoint makes sure each file is seen once. Only configs need state: which
+destinations are taken. Batches that write go to a folder of their own that is
+overwritten, so a batch that is run again after a failure leaves the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from citeloom.functions.paths import config_format
-from citeloom.operators.configs import checked_configs, config_stages, split_checked
+from citeloom.operators.configs import against_existing, config_stages, placed_configs, split_checked
 from citeloom.operators.events import (
     created_paths,
     received_stage,
@@ -94,6 +96,37 @@ def _batch_sink(
     )
 
 
+def claimed_stream(placed: DataFrame) -> DataFrame:
+    """Of the configs for one destination, let the first run and refuse the others.
+
+    The state holds the path that took a destination, in this batch or any before,
+    also across restarts; within a batch, configs come in the order of their paths.
+    """
+    # A row without a destination has a key of its own and takes nothing.
+    keyed = placed.withColumn("_key", F.coalesce("destination", "path"))
+    columns = placed.columns
+
+    # Defined here so that it travels to the executors by value.
+    def claim(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        taken = state.exists
+        rows = pd.concat(list(frames)).sort_values("path", kind="stable")
+        reasons = []
+        for reason, destination in zip(rows["reason"], rows["destination"], strict=True):
+            reason = None if pd.isna(reason) else reason
+            if taken and reason in (None, "empty_query"):
+                reason = "destination_exists"
+            elif reason is None and not pd.isna(destination):
+                taken = True
+            reasons.append(reason)
+        if taken and not state.exists:
+            state.update((rows["path"].iloc[reasons.index(None)],))
+        yield rows.assign(reason=pd.Series(reasons, index=rows.index, dtype=object))[columns]
+
+    return keyed.groupBy("_key").applyInPandasWithState(
+        claim, placed.schema, "holder string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def config_stream(
     texts: DataFrame,
     existing: Callable[[], DataFrame],
@@ -105,13 +138,15 @@ def config_stream(
     """Turn new config files into requests and rejects.
 
     ``texts`` streams ``(path, value)``; ``existing`` lists the metadata files
-    at the time of each batch. Results go to ``out/requests``, ``out/rejects``
-    and, as messages to the users, ``out/status``.
+    at the time of each batch. A destination that a request was made for is taken
+    from then on, before its file is there. Results go to ``out/requests``,
+    ``out/rejects`` and, as messages to the users, ``out/status``.
     """
+    found = routed(texts, root).where("route = 'config'").drop("project", "route")
+    placed = placed_configs(parse_configs(found), root)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = routed(batch, root).where("route = 'config'").drop("project", "route")
-        checked = checked_configs(parse_configs(found), existing(), root).persist()
+        checked = against_existing(batch, existing()).persist()
         try:
             requests, rejects = split_checked(checked)
             status = status_rows(config_stages(checked), F.current_timestamp())
@@ -120,7 +155,7 @@ def config_stream(
         finally:
             checked.unpersist()
 
-    return _batch_sink(texts, handle, checkpoint, trigger)
+    return _batch_sink(claimed_stream(placed), handle, checkpoint, trigger)
 
 
 def config_folder_stream(

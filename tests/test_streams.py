@@ -157,3 +157,47 @@ def test_a_large_pdf_beside_a_config_is_not_read(spark, tmp_path):
     assert rows(requests, "query_str", "batch") == [("x", 0), ("y", 1)] or rows(
         requests, "query_str", "batch"
     ) == [("x", 1), ("y", 0)]
+
+
+def _config_rows(spark, tmp_path, root, existing=()):
+    none = spark.createDataFrame([(f"file:{root}/{x}",) for x in existing], "path string")
+    jobs.config_folder_stream(
+        spark, str(root), lambda: none, f"file:{root}", str(tmp_path / "out"), str(tmp_path / "c")
+    ).awaitTermination()
+    name = F.substring_index("path", "/", -1)
+    return (
+        rows(spark.read.parquet(f"{tmp_path}/out/requests"), name),
+        rows(spark.read.parquet(f"{tmp_path}/out/rejects"), name, "reason"),
+    )
+
+
+def test_one_destination_one_request(spark, tmp_path):
+    """In one batch, in a later one, and after a restart."""
+    root = tmp_path / "root"
+    folder = root / "p" / "config"
+    folder.mkdir(parents=True)
+    (folder / "q.json").write_text('{"query_str": "x"}')
+    (folder / "q.yaml").write_text("query_str: y\n")
+    (folder / "r.yaml").write_text("query_str: z\n")
+    (folder / "e.json").write_text('{"query_str": ""}')
+    assert _config_rows(spark, tmp_path, root) == (
+        [("q.json",), ("r.yaml",)],
+        [("e.json", "empty_query"), ("q.yaml", "destination_exists")],
+    )
+    # Each call starts the stream anew from its checkpoint; no metadata file is there yet.
+    (folder / "r.json").write_text('{"query_str": "z"}')
+    (folder / "q.bib").write_text("@article{a, pmid = {1}}")
+    # An empty query takes nothing, so another config may have its destination.
+    (folder / "e.yaml").write_text("query_str: now\n")
+    assert _config_rows(spark, tmp_path, root) == (
+        [("e.yaml",), ("q.json",), ("r.yaml",)],
+        [
+            ("e.json", "empty_query"),
+            ("q.bib", "destination_exists"),
+            ("q.yaml", "destination_exists"),
+            ("r.json", "destination_exists"),
+        ],
+    )
+    (folder / "x.txt").write_text("?")
+    (folder / "old.json").write_text('{"query_str": "x"}')
+    assert ("old.json", "destination_exists") in _config_rows(spark, tmp_path, root, ["p/metadata/old.json"])[1]
