@@ -37,6 +37,8 @@ _OTHER = 255
 SYMBOL = np.full(256, _OTHER, np.uint8)
 SYMBOL[97:123] = np.arange(1, 27)
 SYMBOL[128:192] = 27 + np.arange(64) % 16
+#: Labelled texts that are looked at together.
+_TEXTS = 200
 _MIX = mix(np.arange(1, WINDOW + 3, dtype=np.uint64))
 
 
@@ -67,12 +69,12 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     of = np.repeat(np.arange(len(size)), windows)
     skip = (np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)) * half
     start, long = first[of] + skip, np.minimum(size[of] - skip, WINDOW)
-    place = np.arange(WINDOW)
     out = np.full((len(of), WINDOW + 2), _OTHER, np.uint8)
-    out[:, 0] = _RIM
-    inner = symbols[np.minimum(start[:, None] + place, len(symbols) - 1)]
-    out[:, 1:-1] = np.where(place < long[:, None], inner, np.where(place == long[:, None], _RIM, _OTHER))
-    out[long == WINDOW, -1] = _RIM
+    out[:, 0] = out[np.arange(len(of)), long + 1] = _RIM
+    rows = np.arange(len(of))
+    for place in range(WINDOW):
+        rows = rows[long[rows] > place]
+        out[rows, place + 1] = symbols[start[rows] + place]
     return out, text[of]
 
 
@@ -207,13 +209,15 @@ def _first_guess(words: np.ndarray, of: np.ndarray, text: np.ndarray, toxic: np.
     code = (x[:, :-2] * _LETTERS + x[:, 1:-1]) * _LETTERS + x[:, 2:]
     none = _LETTERS**3
     code = np.where(words[:, 2:] == _OTHER, none, code)
-    pairs = np.unique(text * len(words) + of)
-    text, of = pairs // len(words), pairs % len(words)
-    at = code[of]
-    some = at != none
-    pairs = np.unique(np.repeat(text, some.sum(1)) * none + at[some])
-    label = toxic[pairs // none]
-    seen = [np.bincount(pairs[label == x] % none, minlength=none + 1) for x in (0, 1)]
+    seen = np.zeros((2, none + 1), np.int64)
+    for first in range(0, len(toxic), _TEXTS):
+        mine = (text >= first) & (text < first + _TEXTS)
+        at = code[of[mine]]
+        some = at != none
+        pairs = np.unique(np.repeat(text[mine], some.sum(1)) * none + at[some])
+        label = toxic[pairs // none]
+        for x in (0, 1):
+            seen[x] += np.bincount(pairs[label == x] % none, minlength=none + 1)
     expected = (seen[0] + seen[1]) * toxic.mean()
     more = (seen[1] - expected) / np.sqrt(expected + 1)
     return more[code].max(1)
@@ -221,9 +225,7 @@ def _first_guess(words: np.ndarray, of: np.ndarray, text: np.ndarray, toxic: np.
 
 def _telling(of: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each word's share of the toxic texts is thrice that of the others, and how many others have it."""
-    pairs = np.unique(of * len(toxic) + text)
-    label = toxic[pairs % len(toxic)]
-    seen = [np.bincount(pairs[label == x] // len(toxic), minlength=of.max() + 1) for x in (0, 1)]
+    seen = [np.bincount(of[toxic[text] == x], minlength=of.max() + 1) for x in (0, 1)]
     return seen[1] * (~toxic).sum() > 3 * seen[0] * toxic.sum(), seen[0]
 
 
@@ -253,10 +255,23 @@ def _worst(margin: np.ndarray, of: np.ndarray, text: np.ndarray, texts: int) ->
     return out
 
 
+def _gathered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of all texts, and the word and text of each that occurs, text by text once."""
+    words, of, text = [], [], []
+    for first in range(0, len(texts), _TEXTS):
+        rows, owner = words_of(texts.slice(first, _TEXTS))
+        some, number = different(rows)
+        pairs = np.unique(owner * max(len(some), 1) + number)
+        of.append(pairs % max(len(some), 1) + sum(map(len, words)))
+        text.append(pairs // max(len(some), 1) + first)
+        words.append(some)
+    words, same = different(np.concatenate(words))
+    return words, same[np.concatenate(of)], np.concatenate(text)
+
+
 def train(texts: pa.Array, toxic: np.ndarray) -> Machine | None:
     """Train on texts and their labels; None unless both labels have words."""
-    rows, text = words_of(texts)
-    words, of = different(rows)
+    words, of, text = _gathered(texts)
     if not toxic[text].any() or toxic[text].all():
         return None
     margin = _first_guess(words, of, text, toxic)
