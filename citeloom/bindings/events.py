@@ -249,6 +249,28 @@ def q_config_stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return _config_stream(spark, sf, "rejects")
 
 
+def q_config_claims_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Configs for the same destinations in two batches, the stream stopped in between."""
+    base = shared_dir(spark, "claims")
+    configs = t.source_configs(spark, sf).withColumn("path", F.concat(F.lit(f"{t.ROOT}/"), "path"))
+    early = F.col("path").rlike(r"\.(yaml|txt)\z")
+    for part in (configs.where(early), configs.where(~early)):
+        part.write.mode("append").parquet(f"{base}/in")
+        texts = spark.readStream.schema("path string, value string").parquet(f"{base}/in")
+        none = spark.createDataFrame([], "path string")
+        jobs.config_stream(texts, lambda: none, t.ROOT, base, f"{base}/checkpoint").awaitTermination()
+    requests, rejects = (spark.read.parquet(f"{base}/{x}") for x in ("requests", "rejects"))
+    reason = F.lit(None).cast("string").alias("reason")
+    return requests.select("path", reason).unionByName(rejects.select("path", "reason"))
+
+
+_CLAIMS = f"""WITH {t.SOURCE_CONFIGS}
+SELECT '{t.ROOT}/' || path AS path,
+       CASE WHEN suffix IN ('.yml', '.txt') THEN 'config_bad_format' WHEN NOT readable THEN 'config_unreadable'
+            WHEN suffix <> '.yaml' THEN 'destination_exists' END AS reason
+FROM source_configs"""
+
+
 def _project_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Every purchase has a PDF, those of a low value their HTML too.
 
@@ -295,5 +317,6 @@ QUERIES = {
     "status_stream": (q_status_stream, _STATUS),
     "config_stream": (q_config_stream, REQUESTS_SQL),
     "config_stream_rejects": (q_config_stream_rejects, REJECTS_SQL),
+    "config_claims_stream": (q_config_claims_stream, _CLAIMS),
     "conversion_stream": (q_conversion_stream, _CONVERSIONS),
 }

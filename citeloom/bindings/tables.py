@@ -284,6 +284,52 @@ def metadata_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def source_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source a config in each format, all but the last two for one destination."""
+    lines = table(spark, sf, "documents").groupBy("source").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    )
+    json = F.to_json(F.struct(F.concat(F.lit("it's "), "high").alias("query_str"), F.col("source").alias("author"), (F.col("n") % 2 == 0).alias("download_pdf")))
+    json = F.when(F.col("low") % 7 == 0, F.concat(json, F.lit("}"))).otherwise(F.replace(json, F.lit(","), F.lit(",\n  ")))
+    yaml = F.concat(F.lit("# by hand\nauthor: 'O''Neil'\nquery_str: >\n  more than\n  "), "n", F.lit("\ndownload_pdf: Yes # all\n"))
+    bib = F.concat(F.lit("@article{a, title = {{One}, two}, pmid = {"), "low", F.lit('}}\n@misc{b,\n  url = "https://pubmed.example.org/'), "high", F.lit('"}'))
+    texts = [(".json", json), (".yaml", yaml), (".bib", bib), (".yml", yaml), (".txt", F.lit("none"))]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("suffix"), v.alias("value")) for s, v in texts]))
+    path = F.concat("source", F.lit("/config/q"), "low", "c.suffix")
+    return lines.select("*", each.alias("c")).select(path.alias("path"), "c.value")
+
+
+SOURCE_CONFIGS = """
+lines AS (SELECT source, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM documents GROUP BY source),
+source_configs AS (
+  SELECT source || '/config/q' || low || suffix AS path, source AS project,
+         source || '/metadata/q' || low || '.json' AS destination, suffix,
+         suffix IN ('.yaml', '.bib') OR (suffix = '.json' AND low % 7 <> 0) AS readable,
+         CASE WHEN NOT readable THEN NULL WHEN suffix = '.json' THEN 'it''s ' || high
+              WHEN suffix = '.yaml' THEN 'more than ' || n ELSE low || ' OR ' || high END AS query_str,
+         CASE WHEN NOT readable THEN NULL WHEN suffix = '.json' THEN source
+              WHEN suffix = '.yaml' THEN 'O''Neil' END AS author,
+         CASE WHEN NOT readable THEN NULL WHEN suffix = '.json' THEN n % 2 = 0 ELSE suffix = '.yaml' END AS download_pdf
+  FROM (SELECT *, unnest(['.json', '.yaml', '.bib', '.yml', '.txt']) AS suffix FROM lines))"""
+
+
+def named_files(files: DataFrame, folder: str) -> None:
+    """Write each ``value`` into a file of the name ``path`` below a folder.
+
+    The tasks write; then each file is given its name, one after another, so this
+    is for a few hundred files.
+    """
+    jvm, sc = files.sparkSession._jvm, files.sparkSession.sparkContext
+    files.select("value", F.hex(F.encode("path", "UTF-8")).alias("name")).write.partitionBy("name").text(f"{folder}/_new")
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(sc._jsc.hadoopConfiguration())
+    for part in fs.globStatus(place(f"{folder}/_new/name=*/part-*")):
+        name = bytes.fromhex(part.getPath().getParent().getName().removeprefix("name=")).decode()
+        fs.mkdirs(place(f"{folder}/{name}").getParent())
+        fs.rename(part.getPath(), place(f"{folder}/{name}"))
+    fs.delete(place(f"{folder}/_new"), True)
+
+
 CONFIGS = f"""
 parsed AS (
   SELECT source AS project, doc_id,

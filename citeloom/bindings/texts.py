@@ -19,7 +19,7 @@ from citeloom.operators.bibliography import build_query, split_entries
 from citeloom.operators.configs import checked_configs, config_stages, validate_configs
 from citeloom.operators.paging import limit_results, result_rows
 from citeloom.sources.bibliography import read_bib_entries
-from citeloom.sources.configs import parse_configs
+from citeloom.sources.configs import parse_configs, read_query_configs
 from citeloom.storage import shared_dir
 
 
@@ -166,6 +166,42 @@ SELECT project, path, reason, CAST(generate_subscripts(stages, 1) - 1 AS INTEGER
        unnest(stages) AS stage FROM staged"""
 
 
+def _written_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Configs written as files in all formats and read back, their paths from the project on."""
+    folder = shared_dir(spark, "configs")
+    t.named_files(t.source_configs(spark, sf), folder)
+    configs = read_query_configs(spark, folder)
+    return configs.withColumn("path", F.regexp_extract("path", r"([^/]+/config/[^/]+)\z", 1))
+
+
+def q_read_query_configs(spark: SparkSession, sf: str) -> DataFrame:
+    return _written_configs(spark, sf).withColumn("download_pdf", F.col("download_pdf").cast("string"))
+
+
+_READ_CONFIGS = f"""WITH {t.SOURCE_CONFIGS}
+SELECT path, readable, query_str, author, CAST(download_pdf AS VARCHAR) AS download_pdf
+FROM source_configs WHERE suffix <> '.txt'"""
+
+
+def q_claimed_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """Several configs want one destination: the first that can run gets it."""
+    configs = _written_configs(spark, sf).withColumn("path", F.concat(F.lit(f"{t.ROOT}/"), "path"))
+    none = spark.createDataFrame([], "path string")
+    return checked_configs(configs, none, t.ROOT).select("path", "destination", "reason")
+
+
+_CLAIMED = f"""WITH {t.SOURCE_CONFIGS},
+alone AS (
+  SELECT *, CASE WHEN suffix IN ('.yml', '.txt') THEN 'config_bad_format'
+                 WHEN NOT readable THEN 'config_unreadable' END AS reason
+  FROM source_configs WHERE suffix <> '.txt')
+SELECT '{t.ROOT}/' || path AS path,
+       CASE WHEN suffix IN ('.json', '.yaml', '.bib') THEN '{t.ROOT}/' || destination END AS destination,
+       CASE WHEN reason IS NULL AND path > min(path) FILTER (reason IS NULL) OVER (PARTITION BY destination)
+            THEN 'destination_exists' ELSE reason END AS reason
+FROM alone"""
+
+
 def q_bib_entries(spark: SparkSession, sf: str) -> DataFrame:
     return split_entries(t.bib_chunks(spark, sf))
 
@@ -353,6 +389,8 @@ QUERIES = {
     "valid_configs": (q_valid_configs, REQUESTS_SQL),
     "rejected_configs": (q_rejected_configs, REJECTS_SQL),
     "config_stages": (q_config_stages, STAGES_SQL),
+    "read_query_configs": (q_read_query_configs, _READ_CONFIGS),
+    "claimed_configs": (q_claimed_configs, _CLAIMED),
     "bib_entries": (q_bib_entries, _ENTRIES),
     "read_bib_files": (q_read_bib_files, _BIB_FILES),
     "build_query": (q_build_query, _BUILD),

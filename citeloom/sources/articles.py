@@ -15,6 +15,8 @@ from citeloom.schemas import ARTICLE, ARTICLE_IN_FILE, HISTORY
 from citeloom.storage import materialized
 
 
+# White space of JSON texts.
+_BLANK = " \t\r\n"
 # What parts the records of a JSON array, by the layout of the file.
 _SEPARATORS = {"lines": "\n", "indented": "\n  {"}
 
@@ -35,9 +37,15 @@ def _file_texts(
 
 
 def _array() -> Column:
-    """Elements of the file's JSON array; null unless the text is a valid array."""
-    is_list = F.startswith(F.ltrim("value"), F.lit("["))
-    return F.when(is_list, F.from_json("value", T.ArrayType(ARTICLE_IN_FILE)))
+    """Elements of the file's JSON array; null unless the text is a valid array and nothing else.
+
+    A parser stops behind the first value. So the text is read with a second array
+    behind it, and there have to be just these two.
+    """
+    is_list = F.startswith(F.ltrim("value", F.lit(_BLANK)), F.lit("["))
+    both = F.concat(F.lit("["), "value", F.lit(",[]]"))
+    parsed = F.when(is_list, F.from_json(both, T.ArrayType(T.ArrayType(ARTICLE_IN_FILE))))
+    return F.get(F.filter(F.array(parsed), lambda x: F.size(x) == 2), 0)[0]
 
 
 def _parts(texts: DataFrame, layout: str) -> DataFrame:
@@ -99,7 +107,7 @@ def rejected_article_files(
     if texts is None:
         return spark.createDataFrame([], "file_name string, reason string")
     if layout == "any":
-        reason = F.when(~F.startswith(F.ltrim("value"), F.lit("[")), "not a list").when(
+        reason = F.when(~F.startswith(F.ltrim("value", F.lit(_BLANK)), F.lit("[")), "not a list").when(
             _array().isNull(), "malformed"
         )
         return texts.select("file_name", reason.alias("reason")).where("reason is not null")

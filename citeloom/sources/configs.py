@@ -64,11 +64,13 @@ def _yaml_config(text: Column) -> Column:
 
 
 def _json_config(text: Column) -> Column:
-    """Fields of a JSON object; null when the text is broken or no object."""
+    """Fields of a JSON object; null when the text is broken, no object, or goes on behind it."""
     parsed = F.from_json(text, _JSON_CONFIG, {"columnNameOfCorruptRecord": "_broken"})
     fields = [parsed[n].alias(n) for n in QUERY_CONFIG.fieldNames()]
-    is_object = F.startswith(F.ltrim(text), F.lit("{"))
-    return F.when(is_object & parsed["_broken"].isNull(), F.struct(*fields))
+    is_object = F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{"))
+    # Read with a second object behind it, as a parser stops behind the first value.
+    alone = F.size(F.from_json(F.concat(F.lit("["), text, F.lit(",{}]")), "array<string>")) == 2
+    return F.when(is_object & parsed["_broken"].isNull() & alone, F.struct(*fields))
 
 
 def _bib_config(text: Column) -> Column:

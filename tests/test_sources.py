@@ -281,3 +281,16 @@ def test_account_files(spark, tmp_path):
 def test_written_tables_read_back(spark, tmp_path, format):
     write_articles(spark.range(3), str(tmp_path / "t"), format)
     assert spark.read.format(format).load(str(tmp_path / "t")).count() == 3
+
+
+def test_text_behind_an_array_or_object_is_rejected(spark, tmp_path):
+    good, more = '[{"pmid": "1"}]', [" trailing", "]", "}", ",[]", ", [2]", "[", "{"]
+    (tmp_path / "good.json").write_text(f"\n {good} \n")
+    for i, text in enumerate(more):
+        (tmp_path / f"bad{i}.json").write_text(good + text)
+    assert rows(read_article_files(spark, str(tmp_path)), "file_name", "pmid") == [("good.json", 1)]
+    broken = rows(rejected_article_files(spark, str(tmp_path)), "file_name", "reason")
+    assert broken == [(f"bad{i}.json", "malformed") for i in range(len(more))]
+    texts = [("/r/p/config/a.json", '{"query_str": "x"}' + x) for x in ("", " ", "}", " y", ",{}", "]")]
+    configs = parse_configs(spark.createDataFrame(texts, "path string, value string"))
+    assert [r["readable"] for r in configs.collect()] == [True, True, False, False, False, False]
