@@ -26,7 +26,8 @@ from citeloom.operators.history import run_summary
 from citeloom.operators.hotkeys import split_join
 from citeloom.operators.paging import concat_pages, page_plan
 from citeloom.operators.running import running_total
-from citeloom.plans.metadata import metadata_run
+from citeloom.plans.metadata import MetadataRun, commit_metadata_run, metadata_run
+from citeloom.schemas import HISTORY
 from citeloom.sources.articles import (
     append_history,
     duplicates_path,
@@ -38,6 +39,7 @@ from citeloom.sources.articles import (
     write_duplicates,
 )
 from citeloom.sources.files import file_inventory, new_files
+from citeloom.sources.runs import read_committed_articles
 from citeloom.storage import shared_dir
 from citeloom.streaming.jobs import append_sink
 
@@ -358,6 +360,23 @@ def q_second_run(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.unionAll(fresh)
 
 
+def q_committed_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from runs that are committed as a whole; one that broke off is not seen."""
+    base = shared_dir(spark, "committed")
+    articles = _articles(spark, sf)
+    history = spark.createDataFrame([], HISTORY)
+    first = MetadataRun(
+        articles.where("pmid % 2 = 0"), articles.limit(0), articles.where("pmid % 2 = 1 AND pmid % 7 = 0"), history
+    )
+    commit_metadata_run(first, base, "p/metadata/first.json", "r1")
+    articles.write.parquet(f"{base}/articles/run=r2")
+    earlier = read_committed_articles(spark, base)
+    incoming = articles.select("pmid")
+    repeats = duplicated_articles(incoming, earlier).select("pmid", "file_name")
+    fresh = new_pmids(incoming, earlier).select("pmid", F.lit("").alias("file_name"))
+    return repeats.unionAll(fresh)
+
+
 _SECOND = f"""WITH {t.ARTICLES}
 SELECT pmid, CASE WHEN pmid % 2 = 0 AND pmid <> 0 THEN 'first.json'
                   WHEN pmid % 7 = 0 AND pmid <> 0 THEN 'first_duplicated' ELSE '' END AS file_name
@@ -499,6 +518,7 @@ QUERIES = {
     "write_articles": (q_write_articles, _PROJECT),
     "write_csv": (q_write_csv, _CSV),
     "write_documents": (q_write_documents, _DOCUMENTS),
+    "committed_runs": (q_committed_runs, _SECOND),
     "write_duplicates": (q_write_duplicates, _DUPLICATES),
     "file_inventory": (q_file_inventory, _INVENTORY),
     "new_files": (q_new_files, _INVENTORY),

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from citeloom.operators.dedup import duplicated_articles, new_pmids
 from citeloom.operators.enrich import project_articles, rejected_articles, with_enrichment
 from citeloom.operators.history import run_summary
+from citeloom.schemas import HISTORY
 from citeloom.sources.articles import append_history, write_articles, write_duplicates
+from citeloom.sources.runs import ARTICLES, DUPLICATES, HISTORIES, commit_run
 from citeloom.storage import materialized
 
 
@@ -62,10 +64,25 @@ def metadata_run(
     return MetadataRun(articles, rejects, duplicated_articles(incoming, earlier), history)
 
 
+def commit_metadata_run(run: MetadataRun, base: str, destination: str, run_id: str) -> bool:
+    """Write records, repeats and the history row as one: all are visible, or none.
+
+    A run that broke off is repeated under its id; one that is complete is left as
+    it is, and False. ``read_committed_articles`` and ``read_history`` read them.
+    """
+    outputs = {
+        ARTICLES: run.articles,
+        DUPLICATES: run.duplicates,
+        HISTORIES: run.history.select(*HISTORY.fieldNames()),
+    }
+    return commit_run(run.articles.sparkSession, base, run_id, destination, outputs)
+
+
 def write_metadata_run(run: MetadataRun, destination: str, history_path: str) -> None:
-    """Write records, then repeats if any, then the history row.
+    """Write records, then repeats if any, then the history row, as plain tables.
 
-    An existing destination is refused, as a repeated run would hide it.
+    An existing destination is refused, as a repeated run would hide it. The three
+    are not one commit; ``commit_metadata_run`` is.
     """
     write_articles(run.articles, destination, mode="error")
     write_duplicates(run.duplicates, destination)

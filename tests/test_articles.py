@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from citeloom.operators.enrich import enrich_journal, project_articles, rejected_articles
@@ -6,9 +7,10 @@ from citeloom.operators.fulltext import fetch_plan, pending_conversions, update_
 from citeloom.operators.history import run_summary
 from citeloom.operators.paging import limit_results, page_plan
 from citeloom.plans.fulltext import fulltext_run
-from citeloom.plans.metadata import metadata_run, write_metadata_run
+from citeloom.plans.metadata import commit_metadata_run, metadata_run, write_metadata_run
 from citeloom.schemas import ARTICLE, RAW_ARTICLE
 from citeloom.sources.articles import duplicates_path
+from citeloom.sources.runs import read_committed_articles, read_history
 from tests.helpers import plan_text, rows
 
 
@@ -146,3 +148,49 @@ def test_metadata_run_writes_everything(spark, raw, tmp_path):
     assert rows(run.rejects, "pmid") == [("5",)]
     with pytest.raises(Exception, match="already exists"):
         write_metadata_run(run, out, f"{tmp_path}/history")
+
+
+@pytest.mark.parametrize("broken", ["articles", "duplicates", "history", "manifest", None])
+def test_a_broken_run_leaves_nothing_and_is_repeated(spark, raw, tmp_path, monkeypatch, broken):
+    base, incoming = f"{tmp_path}/runs", spark.createDataFrame([("1",), ("2",), ("3",)], "pmid string")
+    earlier = spark.createDataFrame([], f"file_name string, {ARTICLE.toDDL()}")
+    one = metadata_run(incoming, raw, earlier, "2024-01-01", "one.json", "q", "Me")
+    assert commit_metadata_run(one, base, "p/metadata/one.json", "r1")
+    first = rows(read_committed_articles(spark, base), "file_name", "pmid")
+    run = metadata_run(incoming, raw, read_committed_articles(spark, base), "2024-01-02", "two.json", "q", "Me")
+
+    # The writer stops behind (for None: before) the output that is named.
+    written = DataFrameWriter.parquet, DataFrameWriter.json
+
+    def stopping(write, last):
+        def put(self, path, *args, **kwargs):
+            if broken is None:
+                raise OSError("stopped")
+            write(self, path, *args, **kwargs)
+            if f"/{broken}/" in path:
+                raise OSError("stopped")
+
+        return put
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", stopping(written[0], broken))
+    monkeypatch.setattr(DataFrameWriter, "json", stopping(written[1], broken))
+    with pytest.raises(OSError, match="stopped"):
+        commit_metadata_run(run, base, "p/metadata/two.json", "r2")
+    monkeypatch.undo()
+    if broken != "manifest":
+        assert rows(read_committed_articles(spark, base), "file_name", "pmid") == first
+        assert rows(read_history(spark, base), "filename") == [("one.json",)]
+    assert commit_metadata_run(run, base, "p/metadata/two.json", "r2") == (broken != "manifest")
+    assert not commit_metadata_run(run, base, "p/metadata/two.json", "r2")
+    got = rows(read_committed_articles(spark, base), "file_name", "pmid")
+    assert got == sorted([*first, *[("two_duplicated", r[1]) for r in first]])
+    assert rows(read_history(spark, base), "filename", "duplicated_articles") == [("one.json", 0), ("two.json", 3)]
+    with pytest.raises(FileExistsError, match="already exists"):
+        commit_metadata_run(run, base, "p/metadata/two.json", "r3")
+    with pytest.raises(ValueError, match="folder"):
+        commit_metadata_run(run, base, "p/metadata/x.json", "a/b")
+
+
+def test_runs_that_are_not_there(spark, tmp_path):
+    assert read_committed_articles(spark, f"{tmp_path}/none").isEmpty()
+    assert read_history(spark, f"{tmp_path}/none").isEmpty()
