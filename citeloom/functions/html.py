@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What is not closed goes on to the end of the page, so it is passed over once.
-_HIDDEN = r"(?is)<!--(?:.*?-->|.*\z)|<(script|style)\b(?:.*?</\1\s*>|.*\z)"
+_HIDDEN = r"(?is)<(?:!--(?:.*?-->|.*\z)|(script|style)\b(?:.*?</\1\s*>|.*\z))"
 # One attribute: its name and, after an equals sign, its value. Matches follow each
 # other, so a quoted value is never taken for attributes.
 _ATTRIBUTE = r"""\s([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+"""
@@ -59,45 +59,81 @@ def _group(text: Column, pattern: str) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(1))
 
 
+def _attributes(tag: Column) -> Column:
+    """Names in lower case and raw values of a start tag's attributes, in order."""
+    return F.struct(
+        F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower).alias("names"),
+        F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)).alias("values"),
+    )
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """Value of the first attribute of a name; null when it is not there.
+
+    A name without a value has an empty one here; an empty value still has its quotes.
+    """
+    place = F.array_position(attributes["names"], name)
+    raw = F.when(place > 0, F.try_element_at(attributes["values"], place.cast("int")))
+    return _let(raw, lambda r: F.when(r != "", decode_entities(F.regexp_replace(r, r"""(?s)\A(["'])(.*)\1\z""", "$2"))))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute in a start tag; null when it is not there."""
-    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
-    place = F.array_position(names, name)
-    # A name without a value has an empty one here; an empty value still has its quotes.
-    raw = F.nullif(F.when(place > 0, F.try_element_at(values, place.cast("int"))), F.lit(""))
-    return decode_entities(F.regexp_replace(raw, r"""(?s)\A(["'])(.*)\1\z""", "$2"))
+    return _let(_attributes(tag), lambda a: _value(a, name))
 
 
-def _has_class(tag: Column, token: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(attribute(tag, "class"), F.lit("")), r"\s+"), token)
+def _has_class(attributes: Column, token: str) -> Column:
+    return F.array_contains(F.split(F.coalesce(_value(attributes, "class"), F.lit("")), r"\s+"), token)
 
 
 def _tags(html: Column) -> Column:
     """The text up to its last closing bracket, as there is no tag beyond it."""
-    beyond = F.locate(">", F.reverse(html))
-    return F.when(beyond > 0, F.left(html, F.length(html) - beyond + 1)).otherwise("")
+    return F.regexp_extract(html, r"(?s)\A.*>", 0)
+
+
+def start_tags(html: Column, *names: str) -> Column:
+    """The page's start tags of these names, in order: ``place, name, attributes``.
+
+    ``attributes`` holds ``names`` and raw ``values``. The page is read once; keep
+    the column (or bind it in a ``transform``) and take all links from it.
+    """
+    any_name = "(?:" + "|".join(names) + ")"
+    found = F.regexp_extract_all(_tags(visible(html)), F.lit(_open_tag(any_name)), F.lit(0))
+
+    def token(tag: Column, place: Column) -> Column:
+        name = F.lower(F.regexp_extract(tag, r"\A<([^\s/>]+)", 1))
+        return F.struct(place.alias("place"), name.alias("name"), _attributes(tag).alias("attributes"))
+
+    return F.transform(found, token)
 
 
 def _first_tag(html: Column, name: str) -> Column:
-    return F.regexp_extract(_tags(html), _open_tag(name), 0)
+    """Attributes of the first start tag of a name; null if there is none."""
+    tag = F.regexp_extract(_tags(html), _open_tag(name), 0)
+    return _let(tag, lambda t: F.when(t != "", _attributes(t)))
 
 
 def resolve_iframe(html: Column) -> Column:
     """Source of the first inline frame, ``//`` completed with ``http:``."""
-    src = attribute(_first_tag(visible(html), "iframe"), "src")
-    return F.when(html.rlike("(?i)<iframe"), F.regexp_replace(src, r"\A//", "http://"))
+
+    def source(page: Column) -> Column:
+        src = _let(_first_tag(visible(page), "iframe"), lambda a: _value(a, "src"))
+        return F.when(page.rlike("(?i)<iframe"), F.regexp_replace(src, r"\A//", "http://"))
+
+    return _let(html, source)
 
 
 def distinct_links(html: Column, css_class: str) -> Column:
     """Different targets of the anchors that carry a class."""
-    tags = F.regexp_extract_all(_tags(visible(html)), F.lit(_open_tag("a")), F.lit(0))
-    hits = F.filter(tags, lambda t: _has_class(t, css_class))
-    targets = F.transform(hits, lambda t: attribute(t, "href"))
-    return F.when(
-        F.contains(html, F.lit(css_class)),
-        F.array_distinct(F.filter(targets, lambda h: h.isNotNull())),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def targets(page: Column) -> Column:
+        hits = F.filter(start_tags(page, "a"), lambda t: _has_class(t["attributes"], css_class))
+        links = F.transform(hits, lambda t: _value(t["attributes"], "href"))
+        return F.when(F.contains(page, F.lit(css_class)), F.array_distinct(F.array_compact(links))).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return _let(html, targets)
 
 
 # The site and class of PDF links, the classes of search results, the word
@@ -153,9 +189,12 @@ def search_results(html: Column) -> Column:
     either, or without a title, are left out.
     """
     cuts = F.split(visible(html), "(?is)(?=" + _class_tag("div", RESULT_CLASS) + ")")
-    blocks = F.filter(
-        cuts, lambda b: b.rlike(r"(?i)\A<div\b") & _has_class(_first_tag(b, "div"), RESULT_CLASS)
-    )
+
+    def begins(block: Column) -> Column:
+        tag = F.regexp_extract(block, _open_tag("div").replace("<div", r"\A<div", 1), 0)
+        return _let(tag, lambda t: F.when(t != "", _let(_attributes(t), lambda a: _has_class(a, RESULT_CLASS))))
+
+    blocks = F.filter(cuts, begins)
     whole = F.filter(F.transform(blocks, _division), lambda b: ~b.rlike(r"(?i)<table\b"))
 
     def parts(block: Column) -> Column:
@@ -170,7 +209,7 @@ def search_results(html: Column) -> Column:
         holder = F.when(part["pdf"] != "", part["pdf"]).otherwise(part["title"])
         return F.struct(
             decode_entities(F.regexp_replace(part["title"], _ANY_TAG, "")).alias("name"),
-            attribute(_first_tag(holder, "a"), "href").alias("url"),
+            _let(_first_tag(holder, "a"), lambda a: _value(a, "href")).alias("url"),
         )
 
     found = F.transform(F.transform(whole, parts), result)

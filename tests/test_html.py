@@ -11,8 +11,9 @@ from citeloom.functions.html import (
     extract_search_results,
     resolve_iframe,
     search_results,
+    start_tags,
 )
-from tests.helpers import values
+from tests.helpers import plan_text, values
 
 
 def test_attribute_forms(spark):
@@ -105,3 +106,20 @@ def test_broken_pages_take_linear_time(spark, page):
         start = time.monotonic()
         values(spark, [page], use)
         assert time.monotonic() - start < 5
+
+
+def test_start_tags_are_one_column(spark):
+    page = "<p><A href='/1' class=x>a</A><!-- <a href=no> --><iframe SRC=\"//f\"></iframe><abbr><a\nhref=/2>"
+    got = values(spark, [page, "", "no tag"], lambda c: start_tags(c, "a", "iframe"))
+    assert [(t["place"], t["name"], t["attributes"]["names"]) for t in got[0]] == [
+        (0, "a", ["href", "class"]), (1, "iframe", ["src"]), (2, "a", ["href"]),
+    ]
+    assert got[1:] == [[], []]
+
+
+def test_page_is_read_once(spark):
+    """The costly step, taking out comments and scripts, stands once in each plan."""
+    pages = spark.createDataFrame([("<p>",)], "html string")
+    for found in (resolve_iframe(F.col("html")), distinct_links(F.col("html"), "x")):
+        plan = plan_text(pages.select(found.alias("x"))).split("== Physical Plan ==")[-1]
+        assert plan.count("<!--") == 1
