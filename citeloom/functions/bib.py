@@ -2,30 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import pmid_from_url
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value once where an expression needs it repeatedly."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _depths(changes: Column) -> Column:
+    """How many braces are open behind each piece, counted anew from where none is.
+
+    ``changes`` tells how many more a piece opens than it closes. A fold that
+    appends copies its array at each step, so pieces are folded in blocks of about
+    the root of their number, and the blocks then put together.
+    """
+    none = F.array().cast("array<int>")
+
+    def folded(known: Column) -> Column:
+        given, step = known["changes"], known["step"]
+
+        def block(done: Column, begin: Column) -> Column:
+            start = F.struct(done["depth"].alias("depth"), none.alias("all"))
+            inner = F.aggregate(F.slice(given, begin, step), start, _next)
+            return _let(inner, lambda x: F.struct(x["depth"], F.concat(done["all"], x["all"]).alias("all")))
+
+        begins = F.when(F.size(given) > 0, F.sequence(F.lit(1), F.size(given), step)).otherwise(none)
+        start = F.struct(F.lit(0).alias("depth"), none.alias("all"))
+        return F.aggregate(begins, start, block, lambda done: done["all"])
+
+    def sized(given: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(given))).cast("int"), F.lit(1))
+        return _let(F.struct(given.alias("changes"), step.alias("step")), folded)
+
+    return _let(changes, sized)
+
+
+def _next(done: Column, change: Column) -> Column:
+    depth = F.greatest(done["depth"], F.lit(0)) + change
+    return F.struct(depth.alias("depth"), F.array_append(done["all"], depth).alias("all"))
+
+
+def _depth(piece: Column) -> Column:
+    """Braces that a text opens, less those it closes."""
+    opened = F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
+    closed = F.length(piece) - F.length(F.replace(piece, F.lit("}"), F.lit("")))
+    return opened - closed
+
+
 def _own_fields(entry: Column) -> Column:
     """The entry without commas inside its values, so that only its own fields follow one."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
 
-    def step(acc: Column, token: Column) -> Column:
-        inner = acc["depth"] > 1
-        return F.struct(
-            F.when(token == "{", acc["depth"] + 1)
-            .when(token == "}", acc["depth"] - 1)
-            .otherwise(acc["depth"])
-            .alias("depth"),
-            F.concat(
-                acc["text"], F.when(inner, F.replace(token, F.lit(","), F.lit(" "))).otherwise(token)
-            ).alias("text"),
-        )
+    def flat(tokens: Column) -> Column:
+        def marked(depths: Column) -> Column:
+            # A brace token changes the depth behind it, so it has the depth of what it ends or begins.
+            return F.array_join(
+                F.transform(
+                    tokens,
+                    lambda x, i: F.when(F.get(depths, i) > 1, F.replace(x, F.lit(","), F.lit(" "))).otherwise(x),
+                ),
+                "",
+            )
 
-    tokens = F.split(entry, r"(?<=[{}])|(?=[{}])")
-    return F.aggregate(tokens, start, step, lambda acc: acc["text"])
+        return _let(_depths(F.transform(tokens, _depth)), marked)
+
+    return _let(F.split(entry, r"(?<=[{}])|(?=[{}])"), flat)
 
 
 def bib_field(entry: Column, name: str) -> Column:
@@ -41,41 +87,34 @@ _ENTRY_START = r"(?m)^[ \t]*@(?=\w+\s*[{(])"
 _NO_WORK = r"(?i)\A(comment|string|preamble)\b"
 
 
-def _depth(piece: Column) -> Column:
-    """Braces that a text opens, less those it closes."""
-    opened = F.length(piece) - F.length(F.replace(piece, F.lit("{"), F.lit("")))
-    closed = F.length(piece) - F.length(F.replace(piece, F.lit("}"), F.lit("")))
-    return opened - closed
-
-
 def bib_entries(text: Column) -> Column:
     """Entries of a bibliography in order, without their ``@``.
 
     A line that looks like a start inside the braces of an entry belongs to that
     entry. If a file's braces do not match, every such line starts an entry.
     """
-    pieces = F.slice(F.split(text, _ENTRY_START), 2, 1 << 30)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("depth"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        inner = acc["depth"] > 0
-        return F.struct(
-            F.when(inner | (acc["open"] == ""), acc["done"])
-            .otherwise(F.array_append(acc["done"], acc["open"]))
-            .alias("done"),
-            F.when(inner, F.concat(acc["open"], F.lit("@"), piece)).otherwise(piece).alias("open"),
-            (F.when(inner, acc["depth"]).otherwise(0) + _depth(piece)).alias("depth"),
-        )
-
-    def close(acc: Column) -> Column:
-        whole = F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-        return F.when(acc["depth"] == 0, whole)
-
-    # Where each piece closes what it opens, there is nothing to put together.
-    merged = F.when(F.forall(pieces, lambda p: _depth(p) == 0), pieces).otherwise(
-        F.coalesce(F.aggregate(pieces, start, step, close), pieces)
-    )
-    return F.filter(merged, lambda e: ~e.rlike(_NO_WORK))
+
+    def entries(pieces: Column) -> Column:
+        def merged(depths: Column) -> Column:
+            last = F.size(pieces)
+            # Where no brace is open before a piece, an entry starts.
+            starts = F.filter(F.sequence(F.lit(1), last), lambda i: (i == 1) | (F.get(depths, i - 2) <= 0))
+
+            def cut(begins: Column) -> Column:
+                def entry(begin: Column, k: Column) -> Column:
+                    end = F.coalesce(F.get(begins, k + 1), last + 1)
+                    return F.array_join(F.slice(pieces, begin, end - begin), "@")
+
+                return F.transform(begins, entry)
+
+            return F.when(F.get(depths, last - 1) == 0, _let(starts, cut)).otherwise(pieces)
+
+        changes = F.transform(pieces, _depth)
+        # Where each piece closes what it opens, there is nothing to put together.
+        plain = _let(changes, lambda c: F.when(F.exists(c, lambda d: d != 0), _let(_depths(c), merged)))
+        return F.filter(F.coalesce(plain, pieces), lambda e: ~e.rlike(_NO_WORK))
+
+    return _let(F.slice(F.split(text, _ENTRY_START), 2, 1 << 30), entries)
 
 
 def bib_ids(pmid: Column, url: Column, strict: bool = False) -> Column:

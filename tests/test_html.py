@@ -13,7 +13,7 @@ from citeloom.functions.html import (
     search_results,
     start_tags,
 )
-from tests.helpers import plan_text, values
+from tests.helpers import values
 
 
 def test_attribute_forms(spark):
@@ -118,8 +118,22 @@ def test_start_tags_are_one_column(spark):
 
 
 def test_page_is_read_once(spark):
-    """The costly step, taking out comments and scripts, stands once in each plan."""
+    """The costly step, taking out comments and scripts, stands once in each expression."""
     pages = spark.createDataFrame([("<p>",)], "html string")
-    for found in (resolve_iframe(F.col("html")), distinct_links(F.col("html"), "x")):
-        plan = plan_text(pages.select(found.alias("x"))).split("== Physical Plan ==")[-1]
-        assert plan.count("<!--") == 1
+    for found in (resolve_iframe(F.col("html")), distinct_links(F.col("html"), "x"), search_results(F.col("html"))):
+        plan = pages.select(found.alias("x"))._jdf.queryExecution().analyzed()
+        assert plan.expressions().head().sql().count("!--") == 1
+
+
+def test_broken_pages_take_linear_time(spark):
+    def seconds(size):
+        pages = ["<!-- a" * size, "<a href=" * size, "<iframe " * size, "<script>" * size, "<a class='x" * size]
+        frame = spark.createDataFrame([(p,) for p in pages], "html string").coalesce(1).cache()
+        frame.count()
+        start = time.perf_counter()
+        frame.select(resolve_iframe(F.col("html")), distinct_links(F.col("html"), "x")).collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    # About 1.2 MB a page against 0.3 MB.
+    assert seconds(160_000) < 10 * max(seconds(40_000), 0.2)

@@ -1,9 +1,10 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from citeloom.operators.bibliography import build_query
+from citeloom.operators.bibliography import build_query, split_entries
 from citeloom.operators.configs import validate_configs
 from citeloom.schemas import ARTICLE
 from citeloom.sources.accounts import (
@@ -294,3 +295,36 @@ def test_text_behind_an_array_or_object_is_rejected(spark, tmp_path):
     texts = [("/r/p/config/a.json", '{"query_str": "x"}' + x) for x in ("", " ", "}", " y", ",{}", "]")]
     configs = parse_configs(spark.createDataFrame(texts, "path string, value string"))
     assert [r["readable"] for r in configs.collect()] == [True, True, False, False, False, False]
+
+
+def test_nested_entries_take_no_longer(spark):
+    """Braces are counted in linear time: one nested entry, or one entry of very many fields."""
+
+    def seconds(text):
+        files = spark.createDataFrame([("f", text)], "file_name string, value string").cache()
+        files.count()
+        start = time.perf_counter()
+        found = split_entries(files).agg(F.count("*"), F.sum("pmid")).first()
+        return time.perf_counter() - start, tuple(found)
+
+    def entries(nested):
+        note = " note = {\n@b{c}},\n"
+        return "".join(f"@article{{k{i},\n title = {{A {{B}}, c}},\n{note if i == nested else ''} pmid = {{{i}}}\n}}\n" for i in range(20_000))
+
+    seconds(entries(None))
+    plain, count = seconds(entries(None))
+    nested, again = seconds(entries(10_000))
+    assert count == again == (20_000, 199_990_000)
+    assert nested < 2 * plain + 1
+    fields = "".join(f" f{i} = {{x {{y, pmid = {{1}}}}, w}},\n" for i in range(20_000))
+    wide, found = seconds(f"@article{{k,\n{fields} pmid = {{7}}\n}}\n")
+    assert found == (1, 7) and wide < 20
+
+
+def test_depths_are_counted_anew_after_too_many_ends(spark):
+    text = "@a{x, pmid={1}}}}\n@b{y, pmid={2}}\n@c{z, note={\n@d{in}\n}, pmid={3}}\n@e{w, pmid={4}}"
+    for value, ids in ((text, ["1", "2", "3", "4"]), (text + "\n@f{open, pmid={5}", ["1", "2", None, "3", "4", "5"])):
+        files = spark.createDataFrame([("f", value)], "file_name string, value string")
+        assert [r["pmid"] for r in split_entries(files).orderBy("pos").collect()] == ids
+    files = spark.createDataFrame([("f", "no entry"), ("g", ""), ("h", None)], "file_name string, value string")
+    assert split_entries(files).isEmpty()
