@@ -21,6 +21,7 @@ from citeloom.operators.enrich import (
     rejected_articles,
     with_enrichment,
 )
+from citeloom.operators.firstfiles import Index, build_index, merged_index, new_pmids_by_index, tally_by_index
 from citeloom.operators.fulltext import fetch_plan, pending_conversions, update_fulltext
 from citeloom.operators.history import run_summary
 from citeloom.operators.hotkeys import split_join
@@ -103,6 +104,20 @@ SELECT file_name, coalesce(found.n, 0) AS duplicated_records, coalesce(gone.n, 0
 FROM files LEFT JOIN found USING (file_name) LEFT JOIN gone USING (file_name)"""
 
 
+def _index(spark: SparkSession, sf: str) -> Index:
+    """The index of all earlier records, merged from two runs, the later files first."""
+    earlier = t.earlier_articles(spark, sf)
+    return merged_index(build_index(earlier.where("file_name >= 'N'")), earlier.where("file_name < 'N'"))
+
+
+def q_new_pmids_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    return new_pmids_by_index(t.incoming_ids(spark, sf), _index(spark, sf))
+
+
+def q_tally_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    return tally_by_index(t.incoming_ids(spark, sf), _index(spark, sf), t.earlier_articles(spark, sf))
+
+
 def q_valid_pmids(spark: SparkSession, sf: str) -> DataFrame:
     return valid_pmids(t.earlier_articles(spark, sf))
 
@@ -494,6 +509,8 @@ QUERIES = {
     "running_total": (q_running_total, _RUNNING),
     "new_pmids": (q_new_pmids, _NEW),
     "duplicated_articles": (q_duplicated_articles, _DUPLICATES),
+    "new_pmids_by_index": (q_new_pmids_by_index, _NEW),
+    "tally_by_index": (q_tally_by_index, _TALLY),
     "dedup_tally": (q_dedup_tally, _TALLY),
     "valid_pmids": (q_valid_pmids, _VALID),
     "unique_key_lookup": (q_unique_key_lookup, _UNIQUE),

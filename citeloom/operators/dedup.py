@@ -75,23 +75,23 @@ def dedup_tally(incoming: DataFrame, earlier: DataFrame) -> DataFrame:
     incoming_keyed, held = with_key(incoming, valid_pmids(earlier))
     asked = incoming_keyed.groupBy(_KEY).agg(F.count(F.lit(1)).alias("_asked"))
     held = held.join(asked, _KEY, "left_semi")
-    hits = (
-        first_file(held)
-        .join(asked, _KEY)
-        .groupBy("file_name")
-        .agg(F.sum("_records").alias("_records"), F.sum("_asked").alias("_asked"))
-    )
-    files = earlier.select("file_name").distinct()
-    per_file = files.join(hits, "file_name", "left").select(
+    return tally(incoming, first_file(held).join(asked, _KEY), earlier)
+
+
+def tally(incoming: DataFrame, hits: DataFrame, files: DataFrame) -> DataFrame:
+    """The tally of incoming ids from the first files ``hits(file_name, _records, _asked)`` of them."""
+    hits = hits.groupBy("file_name").agg(F.sum("_records").alias("_records"), F.sum("_asked").alias("_asked"))
+    named = files.select("file_name").distinct()
+    per_file = named.join(hits, "file_name", "left").select(
         "file_name",
         F.coalesce("_records", F.lit(0)).alias("duplicated_records"),
         F.coalesce("_asked", F.lit(0)).alias("removed_ids"),
     )
     total = incoming.agg(F.count(F.lit(1)).alias("total"))
     # One row per file; the running total starts from it more than once.
-    tally = materialized(per_file, "tally")
+    per_file = materialized(per_file, "tally")
     return (
-        running_total(tally, "file_name", "removed_ids", "_gone")
+        running_total(per_file, "file_name", "removed_ids", "_gone")
         .withColumn("ids_left", total.scalar() - F.col("_gone"))
         .drop("_gone")
     )

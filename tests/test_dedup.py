@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from citeloom.operators.dedup import (
     dedup_tally,
@@ -9,6 +10,7 @@ from citeloom.operators.dedup import (
     unique_key_lookup,
     valid_pmids,
 )
+from citeloom.operators.firstfiles import build_index, load_index, merged_index, new_pmids_by_index, tally_by_index
 from tests.helpers import plan_text, rows
 
 
@@ -75,3 +77,28 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "ReadSchema: struct<l_orderkey:bigint>" in plan
     assert "Not(EqualTo(l_orderkey,0))" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_index_of_first_files(spark):
+    """Built from runs in any order it equals the records; the index is read where it lies."""
+    files = {"b": [1, 1, 2, 0], "a": [2, 3], "c": [1, 4, 4, None], "d": [5, 3, 3]}
+    records = [(f, p) for f, ids in files.items() for p in ids]
+    earlier = spark.createDataFrame(records, "file_name string, pmid bigint")
+    incoming = spark.createDataFrame([(x,) for x in (1, 2, 2, 4, 9, 3, 0, None)], "pmid bigint")
+    # Broadcasting is off, so that a plan says what would be shuffled.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = build_index(earlier.where("file_name IN ('c', 'b')"))
+        for name in ("d", "a"):
+            index = merged_index(load_index(spark, index.table), earlier.where(F.col("file_name") == name))
+        assert rows(index.rows) == [("1", "b", 2), ("2", "a", 1), ("3", "a", 1), ("4", "c", 2), ("5", "d", 1)]
+        again = merged_index(index, earlier)
+        assert rows(again.rows) == rows(index.rows)
+        some = F.coalesce("pmid", F.lit(-1))
+        assert rows(new_pmids_by_index(incoming, index), some) == rows(new_pmids(incoming, earlier), some)
+        assert rows(tally_by_index(incoming, index, earlier)) == rows(dedup_tally(incoming, earlier))
+        for found in (new_pmids_by_index(incoming, index), index.rows.join(incoming.select(F.col("pmid").cast("string").alias("_pmid_key")), "_pmid_key")):
+            assert plan_text(found).count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
