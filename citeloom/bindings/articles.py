@@ -414,6 +414,11 @@ def q_read_article_lines(spark: SparkSession, sf: str) -> DataFrame:
     return read_article_files(spark, path, "lines", "part-*").drop("file_name")
 
 
+def q_read_article_splits(spark: SparkSession, sf: str) -> DataFrame:
+    path = _written_articles(spark, sf)
+    return read_article_files(spark, path, "split", "part-*").drop("file_name")
+
+
 def q_write_articles(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark, "table")
     write_articles(_articles(spark, sf), path)
@@ -532,6 +537,7 @@ QUERIES = {
     "metadata_run": (q_metadata_run, _RUN),
     "read_article_files": (q_read_article_files, _PROJECT),
     "read_article_lines": (q_read_article_lines, _PROJECT),
+    "read_article_splits": (q_read_article_splits, _PROJECT),
     "write_articles": (q_write_articles, _PROJECT),
     "write_csv": (q_write_csv, _CSV),
     "write_documents": (q_write_documents, _DOCUMENTS),

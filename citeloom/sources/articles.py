@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citeloom.schemas import ARTICLE, ARTICLE_IN_FILE, HISTORY
+from citeloom.sources.arrays import read_array_files
 from citeloom.storage import materialized
 
 
@@ -77,6 +78,27 @@ def _typed(articles: DataFrame) -> DataFrame:
     )
 
 
+def _name(file: Column) -> Column:
+    return F.url_decode(F.substring_index(file, "/", -1)).alias("file_name")
+
+
+def _array_records(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
+    try:
+        return materialized(read_array_files(spark, path, ARTICLE_IN_FILE, pattern), "records")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _split_articles(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    found = _array_records(spark, path, pattern)
+    if found is None:
+        return spark.createDataFrame([], T.StructType([*ARTICLE.fields]).add("file_name", "string"))
+    kept = found.where("parsed IS NOT NULL").join(found.where("NOT good").select("file").distinct(), "file", "left_anti")
+    return _typed(kept.select(F.col("parsed").alias("a"), _name(F.col("file"))))
+
+
 def read_article_files(
     spark: SparkSession, path: str, layout: str = "any", pattern: str = "*.json"
 ) -> DataFrame:
@@ -88,8 +110,11 @@ def read_article_files(
     keep to a layout: ``lines`` has one record per line, as ``write_articles``
     makes them; ``indented`` has records that start two blanks in, as most JSON
     printers make them. There, a malformed piece (usually one record) is skipped
-    by itself; a compact array is read as one piece.
+    by itself; a compact array is read as one piece. ``split`` shares arrays of any
+    layout among tasks and, like ``any``, skips a file that is malformed anywhere.
     """
+    if layout == "split":
+        return _split_articles(spark, path, pattern)
     texts = _file_texts(spark, path, pattern, layout)
     if texts is None:
         schema = T.StructType([*ARTICLE.fields]).add("file_name", "string")
@@ -102,7 +127,12 @@ def read_article_files(
 def rejected_article_files(
     spark: SparkSession, path: str, layout: str = "any", pattern: str = "*.json"
 ) -> DataFrame:
-    """Files (or, in split layouts, records) that are skipped, with the reason."""
+    """Files (or, in ``lines`` and ``indented``, records) that are skipped, with the reason."""
+    if layout == "split":
+        found = _array_records(spark, path, pattern)
+        if found is None:
+            return spark.createDataFrame([], "file_name string, reason string")
+        return found.where("NOT good").select(_name(F.col("file")), F.lit("malformed").alias("reason")).distinct()
     texts = _file_texts(spark, path, pattern, layout)
     if texts is None:
         return spark.createDataFrame([], "file_name string, reason string")

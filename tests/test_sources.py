@@ -328,3 +328,46 @@ def test_depths_are_counted_anew_after_too_many_ends(spark):
         assert [r["pmid"] for r in split_entries(files).orderBy("pos").collect()] == ids
     files = spark.createDataFrame([("f", "no entry"), ("g", ""), ("h", None)], "file_name string, value string")
     assert split_entries(files).isEmpty()
+
+
+def test_arrays_of_any_layout_are_read_in_splits(spark, tmp_path):
+    """The same records from every layout, however small the splits are."""
+    odd = ['a "quoted" } text', "brace { and ] [", "back\\\\slash \\", 'end\\"}', "line\n}\n, {", "é ü 漢", ""]
+    records = [{"pmid": str(i + 1), "title": odd[i % len(odd)], "abstract": "x" * (i % 90)} for i in range(300)]
+    nested = [dict(r, extra={"a": [{"b": "}"}]}) for r in records]
+    files = {
+        "compact.json": json.dumps(records, separators=(",", ":")),
+        "indented.json": json.dumps(records, indent=2, ensure_ascii=False),
+        "lines.json": "[" + "\n,".join(json.dumps(r) for r in records) + "]\n",
+        "nested.json": "\n " + json.dumps(nested, indent=1),
+        "empty.json": " [ ]\n",
+    }
+    broken = {
+        "behind.json": json.dumps(records) + " x",
+        "two.json": json.dumps(records) + json.dumps(records),
+        "open.json": json.dumps(records)[:-1],
+        "cut.json": json.dumps(records)[:-9],
+        "comma.json": json.dumps(records).replace("}, {", "} {", 1),
+        "object.json": json.dumps(records[0]),
+        "number.json": "[1, " + json.dumps(records[0]) + "]",
+        "inner.json": json.dumps(records).replace('"pmid": "7"', '"pmid": 7"'),
+        "none.json": "nothing",
+    }
+    for name, text in {**files, **broken}.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", size)
+        try:
+            got = read_article_files(spark, str(tmp_path), "split")
+            for name in files:
+                want = [] if name == "empty.json" else sorted((int(r["pmid"]), r["title"], r["abstract"]) for r in records)
+                assert rows(got.where(F.col("file_name") == name), "pmid", "title", "abstract") == want, name
+            assert rows(got.where(~F.col("file_name").isin(list(files)))) == []
+            rejected = rows(rejected_article_files(spark, str(tmp_path), "split"))
+            assert rejected == sorted((name, "malformed") for name in broken)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert read_article_files(spark, f"{tmp_path}/none", "split").columns == got.columns
