@@ -54,6 +54,7 @@ def _unpack_steps(data: bytes, kind: type) -> np.ndarray:
 class Segment:
     """Documents of one index row: word positions run on from text to text."""
 
+    number: int
     doc_ids: np.ndarray
     first: np.ndarray
     terms: np.ndarray
@@ -100,13 +101,15 @@ def build_index(docs: DataFrame) -> DataFrame:
             )
 
     slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return stored(slim.where("doc_id IS NOT NULL").mapInArrow(build, INDEX_SCHEMA), "index")
+    segments = slim.where("doc_id IS NOT NULL").mapInArrow(build, INDEX_SCHEMA)
+    return stored(segments.withColumn("segment", F.monotonically_increasing_id()), "index")
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for batch in batches:
         for row in batch.to_pylist():
             yield Segment(
+                row["segment"],
                 _unpack(row["doc_ids"], np.int64),
                 _unpack(row["first"], np.int32),
                 _unpack_steps(row["terms"], np.uint64),
@@ -159,8 +162,10 @@ def _windows(items: list[tuple[str, np.ndarray]], size: int) -> list[tuple[np.nd
     return [(w, sorted(ids)) for w, ids in out.values()]
 
 
+#: A row's segment and its place there tell it from others of the same id.
 MATCH_SCHEMA = (
-    "doc_id long, n_words long, spans array<struct<begin: int, end: int>>, items array<string>"
+    "segment long, place int, doc_id long, n_words long, "
+    "spans array<struct<begin: int, end: int>>, items array<string>"
 )
 
 
@@ -168,18 +173,20 @@ def _search_block(index: DataFrame, items: list, window: int, proximity: int | N
     windows = _windows(items, window)
     every = np.unique(np.concatenate([np.empty(0, np.uint64), *[w for w, _ in windows]]))
     places = [(w, np.searchsorted(every, w), ids) for w, ids in windows]
-    sent = index.sparkSession.sparkContext.broadcast((every, places))
+    flat = np.concatenate([np.empty(0, np.int64), *[place for _, place, _ in places]])
+    cuts = np.cumsum([0, *[len(place) for _, place, _ in places]])[:-1]
+    sent = index.sparkSession.sparkContext.broadcast((every, places, flat, cuts))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for segment in _segments(batches):
             edge = np.zeros(int(segment.first[-1]) + 1, np.int32)
             found: dict[int, set[str]] = {}
-            terms, places = sent.value
+            terms, places, flat, cuts = sent.value
             counts = segment.counts(terms)
-            for phrase, place, ids in places:
-                # Most phrases have a term that the segment lacks.
-                if not counts[place].all():
-                    continue
+            # Most phrases have a term that the segment lacks.
+            rarest = np.minimum.reduceat(counts[flat], cuts) if len(flat) else flat
+            for i in np.flatnonzero(rarest):
+                phrase, place, ids = places[i]
                 if proximity is None:
                     starts = phrase_starts(segment, phrase, counts[place])
                     width = len(phrase)
@@ -203,12 +210,14 @@ def _search_block(index: DataFrame, items: list, window: int, proximity: int | N
                 ]
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.full(len(spans), segment.number)),
+                    pa.array(np.arange(len(spans), dtype=np.int32)),
                     pa.array(segment.doc_ids),
                     pa.array(np.diff(segment.first).astype(np.int64)),
                     pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
                     pa.array([sorted(found.get(d, ())) for d in range(len(spans))], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "spans", "items"],
+                names=["segment", "place", "doc_id", "n_words", "spans", "items"],
             )
 
     return index.mapInArrow(look, MATCH_SCHEMA)
@@ -238,10 +247,11 @@ def search(
         held += len(words)
     last = _search_block(index, block, window, proximity)
     if not parts:
-        return last
+        return last.drop("segment", "place")
     for part in parts:
         last = last.unionByName(part)
-    merged = last.groupBy("doc_id").agg(
+    merged = last.groupBy("segment", "place").agg(
+        F.first("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

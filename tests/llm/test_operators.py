@@ -288,6 +288,20 @@ def test_benchmark_in_several_blocks(spark, words, monkeypatch):
     assert whole["n_hit"] == cut["n_hit"] == 40 and whole["items"] == cut["items"]
 
 
+def test_rows_of_one_id_stay_apart_in_any_number_of_blocks(spark, words, monkeypatch):
+    rows = [(1, " ".join(words[:30])), (1, " ".join(words[:15])), (1, "no hit"), (2, " ".join(words[:30])), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words[5 * i : 5 * i + 15])) for i in range(4)], "item_id long, text string")
+
+    def found():
+        out = deco.decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "items", "contaminated")
+        return sorted(tuple(r) for r in out.collect())
+
+    whole = found()
+    monkeypatch.setattr(deco, "BLOCK_WORDS", 20)
+    assert found() == whole and [r[:3] for r in whole] == [(1, 2, 0), (1, 15, 15), (1, 30, 30), (2, 0, 0), (2, 30, 30)]
+
+
 # --- pages -------------------------------------------------------------------------
 
 
