@@ -196,17 +196,21 @@ def answers(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _zone(tag: str, attributes: str) -> int | None:
-    """-1 for a container of something else, 1 for one of the article, 0 for hidden, else None."""
+def _zone(tag: str, attributes: str) -> tuple[int, bool] | None:
+    """-1 for a container of something else, 1 for one of the article, 0 for hidden, else None.
+
+    With it, whether that is a guess: forms may hold whole pages, and a compound with
+    a side word in it (``header-fixed``, ``share-enabled``) may be about the article.
+    """
     names: set[str] = set()
     whole: set[str] = set()
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or (key == "style" and _HIDDEN.search(value)):
-                return 0
+                return 0, False
             if key == "role" and value in SIDE_ROLES:
-                return -1
+                return -1, False
             if key in ("class", "id"):
                 for word in value.split():
                     parts = _PARTS.findall(word)
@@ -215,12 +219,30 @@ def _zone(tag: str, attributes: str) -> int | None:
                     whole.add(word)
     if tag in MAIN_TAGS:
         # A comment may be an article too: then what it stands in decides.
-        return None if whole & SIDE_NAMES else 1
-    if tag in SIDE_TAGS or (tag not in ("html", "body") and names & SIDE_NAMES):
-        return -1
+        return None if whole & SIDE_NAMES else (1, False)
+    named = tag not in ("html", "body") and names & SIDE_NAMES
+    if tag in SIDE_TAGS or named:
+        return -1, not whole & SIDE_NAMES and (tag == "form" or tag not in SIDE_TAGS)
     return None
 
 
+def _settled(containers: list[tuple[int, int, bool]], found: list[tuple[str, int, int, int]]) -> list[int]:
+    """The zone of each container ``(outer one, zone, guessed)``.
+
+    One that was guessed to hold something else, but holds two thirds of the words
+    of the page outside of links, is no such container: what it stands in decides.
+    """
+    words = [0] * len(containers)
+    for _, n, inside, container in found:
+        words[container] += n - inside
+    for i in range(len(containers) - 1, 0, -1):
+        words[containers[i][0]] += words[i]
+    zones = [0]
+    for i, (outer, zone, guessed) in enumerate(containers[1:], 1):
+        zones.append(zones[outer] if guessed and 3 * words[i] >= 2 * words[0] > 0 else zone)
+    return zones
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int]]:
     """Text, words, words in links, and zone of each block, in page order.
 
@@ -230,6 +252,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
     out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int, bool]] = []
     depths: dict[str, list[int]] = {}
+    # The container of a zone that stands innermost, by number; 0 is the page.
+    containers = [(0, 0, False)]
     zone, hidden, links = 0, False, 0
     pieces: list[str] = []
     linked: list[str] = []
@@ -321,12 +345,14 @@ def blocks(page: str) -> list[tuple[str, int, int, int]]:
         stack.append((tag, zone, hidden))
         links += tag == "a"
         here = _zone(tag, attributes)
-        if tag in SKIPPED or here == 0:
+        if tag in SKIPPED or (here and here[0] == 0):
             hidden = True
         elif here is not None:
-            zone = here
+            containers.append((zone, *here))
+            zone = len(containers) - 1
     flush()
-    return out
+    zones = _settled(containers, out)
+    return [(text, n, inside, zones[container]) for text, n, inside, container in out]
 
 
 def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
