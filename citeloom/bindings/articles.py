@@ -40,6 +40,7 @@ from citeloom.sources.articles import (
     write_duplicates,
 )
 from citeloom.sources.files import file_inventory, new_files
+from citeloom.sources.inventory import present_files, record_listing
 from citeloom.sources.runs import read_committed_articles
 from citeloom.storage import shared_dir
 from citeloom.streaming.jobs import append_sink
@@ -473,6 +474,20 @@ def q_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return _segment_sizes(file_inventory(spark, _segment_folder(spark, sf), ".txt"))
 
 
+def q_inventory_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The same folder by a log: one segment listed first, then all, a segment gone in between."""
+    folder, log = _segment_folder(spark, sf), shared_dir(spark, "inventory")
+    base = file_inventory(spark, folder, ".txt").agg(F.min("path")).first()[0].split("/c_mktsegment=")[0]
+    part = f"{base}/c_mktsegment=BUILDING"
+    record_listing(spark, log, [part], 1, ".txt")
+    # What the log holds of a folder that is no longer there goes with its next listing.
+    lost = [("gone.txt", f"{base}/lost/gone.txt")]
+    gone = spark.createDataFrame(lost, "name string, path string").selectExpr("path", "name", "7L AS length", "true AS present")
+    gone.write.parquet(f"{log}/listing=2")
+    record_listing(spark, log, [base], 3, ".txt")
+    return _segment_sizes(present_files(spark, log))
+
+
 def q_new_files(spark: SparkSession, sf: str) -> DataFrame:
     """The same folder taken up by the file stream."""
     out = shared_dir(spark, "new-files")
@@ -544,6 +559,7 @@ QUERIES = {
     "committed_runs": (q_committed_runs, _SECOND),
     "write_duplicates": (q_write_duplicates, _DUPLICATES),
     "file_inventory": (q_file_inventory, _INVENTORY),
+    "inventory_log": (q_inventory_log, _INVENTORY),
     "new_files": (q_new_files, _INVENTORY),
     "first_file": (q_first_file, _FIRST_FILE),
 }

@@ -25,7 +25,9 @@ from citeloom.sources.articles import (
 )
 from citeloom.sources.bibliography import read_bib_entries
 from citeloom.sources.configs import parse_configs, read_query_configs
+from citeloom.sources import inventory
 from citeloom.sources.files import file_inventory
+from citeloom.sources.inventory import changed_folders, present_files, record_listing
 from tests.helpers import rows
 
 
@@ -371,3 +373,40 @@ def test_arrays_of_any_layout_are_read_in_splits(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert read_article_files(spark, f"{tmp_path}/none", "split").columns == got.columns
+
+
+def test_inventory_log_lists_changed_folders_only(spark, tmp_path, monkeypatch):
+    root, log = tmp_path / "root", f"{tmp_path}/log"
+
+    def put(name, text="x"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    def present():
+        return rows(present_files(spark, log), "name", "length")
+
+    for name in ("p/pdf/a.pdf", "p/pdf/b.pdf", "q/pdf/c.pdf", "q/html/d.html"):
+        put(name)
+    url = f"file:{root}"
+    assert present() == []
+    assert record_listing(spark, log, [url], 1, ".pdf").count() == 3
+    asked = []
+    listed = inventory.file_inventory
+    monkeypatch.setattr(inventory, "file_inventory", lambda s, path, suffix: asked.append(path) or listed(s, path, suffix))
+    put("p/pdf/b.pdf", "longer")
+    put("p/pdf/e.pdf")
+    (root / "p/pdf/a.pdf").unlink()
+    put("q/pdf/unseen.pdf")
+    events = spark.createDataFrame([(f"{url}/p/pdf/{x}.pdf",) for x in "abe"], "path string")
+    folders = [r["folder"] for r in changed_folders(events).collect()]
+    for _ in range(2):
+        changes = record_listing(spark, log, folders, 2, ".pdf")
+        assert rows(changes, "name", "length", "present") == [("a.pdf", 1, False), ("b.pdf", 6, True), ("e.pdf", 1, True)]
+        assert present() == [("b.pdf", 6), ("c.pdf", 1), ("e.pdf", 1)]
+    assert asked == [f"{url}/p/pdf"] * 2
+    (root / "p/pdf/b.pdf").unlink()
+    (root / "p/pdf/e.pdf").unlink()
+    (root / "p/pdf").rmdir()
+    assert record_listing(spark, log, [f"{url}/p/pdf", url], 3, ".pdf").count() == 3
+    assert present() == [("c.pdf", 1), ("unseen.pdf", 1)]
+    assert rows(present_files(spark, log)) == rows(file_inventory(spark, url, ".pdf"))
