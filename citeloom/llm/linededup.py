@@ -12,7 +12,10 @@ others of the bucket. Of each connected group the first occurrence stays.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from citeloom.llm.components import components
-from citeloom.llm.shared import MIN_SHARDS, bucketed, shard_of, staged, stored, unpacked
+from citeloom.llm.shared import MIN_SHARDS, bucketed, freed, shard_of, staged, stored, unpacked
 from citeloom.llm.words import ALPHANUMERIC, LOWER, hashes, joined, mix, spans
 
 #: Keys of a line, the same at any number of lines.
@@ -40,6 +43,7 @@ _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _EVEN = np.uint64(0x5555555555555555)
 _SYMBOLS = mix(np.arange(300, 556, dtype=np.uint64) * _C[0])
 _TILE = 1 << 20
+_CACHED = 1 << 17
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,55 +60,6 @@ def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return body, np.append(begins[order], len(body)), owner[order]
 
 
-def _signatures(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash of each run of words, as four 64-bit numbers: the majority of each bit.
-
-    Bits are counted 64 at a time: a count is held in planes, one for each binary
-    digit, and the k-th words of all runs are added in one step. On a tie the
-    first word decides.
-    """
-    n = np.diff(first)
-    order = np.argsort(-n, kind="stable")
-    runs = np.searchsorted(-n[order], -np.arange(1, (n.max() if len(n) else 0) + 1), side="right")
-    start = first[:-1][order]
-    planes = [np.zeros((len(n), 4), np.uint64) for _ in range(int(n.max()).bit_length() if len(n) else 0)]
-    lead_bits = None
-    for k, m in enumerate(runs):
-        word = words[start[:m] + k]
-        carry = np.stack([mix(word ^ _C[i]) for i in range(4)], axis=1)
-        if k == 0:
-            lead_bits = carry
-        for plane in planes[: (k + 1).bit_length()]:
-            part = plane[:m]
-            over = part & carry
-            part ^= carry
-            carry = over
-    half = n[order] // 2
-    above = np.zeros((len(n), 4), np.uint64)
-    equal = np.full((len(n), 4), _FULL)
-    for i in reversed(range(len(planes))):
-        digit = np.where(half >> i & 1, _FULL, np.uint64(0))[:, None]
-        above |= equal & planes[i] & ~digit
-        equal &= ~(planes[i] ^ digit)
-    even = np.where(n[order] % 2 == 0, _FULL, np.uint64(0))[:, None]
-    out = np.empty((len(n), 4), np.uint64)
-    out[order] = above | (equal & even & lead_bits) if len(n) else above
-    return out
-
-
-def _different(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different words of each run, in the order of 40 bits of their hashes.
-
-    Frequent words would make all long lines alike if they counted as often as
-    they occur.
-    """
-    run = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-    key = np.sort((run << np.uint64(40)) | (words >> np.uint64(24)))
-    key = key[np.diff(key, prepend=~key[:1]) != 0]
-    begin = np.searchsorted(key, np.arange(len(first), dtype=np.uint64) << np.uint64(40))
-    return mix(key & np.uint64((1 << 40) - 1)), begin
-
-
 def _normal(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words in lower case, each with a space behind it, and where each begins."""
     at = np.concatenate([[0], np.cumsum(end - begin + 1)])
@@ -114,13 +69,23 @@ def _normal(body: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return text, at
 
 
+def _rolled(symbols: np.ndarray, q: int) -> np.ndarray:
+    """The polynomial of the q symbols from each on, put together from those of two halves."""
+    if q == 1:
+        return symbols
+    half = q // 2
+    left = _rolled(symbols, half)
+    right = left if q == 2 * half else _rolled(symbols, q - half)
+    with np.errstate(over="ignore"):
+        out = left * _C[1] ** np.uint64(q - half)
+        out[: len(out) - half] += right[half:]
+    return out
+
+
 def _strings(text: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
     """A hash of the q bytes from each byte on; a line goes on at its begin."""
     symbols = _SYMBOLS[text]
-    wide = np.concatenate([symbols, np.zeros(q, np.uint64)])
-    out = np.zeros(len(text), np.uint64)
-    for j in range(q):
-        out = out * _C[1] + wide[j : j + len(text)]
+    out = _rolled(np.concatenate([symbols, np.zeros(q, np.uint64)]), q)[: len(text)]
     size = np.diff(at)
     last = np.minimum(size, q - 1)
     line = np.repeat(np.arange(len(size)), last)
@@ -155,9 +120,23 @@ def _least(strings: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
 
 
 def sketches(
-    text: np.ndarray, at: np.ndarray
+    text: np.ndarray, at: np.ndarray, compared: bool = True
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of lines, the line of each key, and 128 bits of each line."""
+    """Keys of lines, the line of each key, and, if they are to be compared, 128 bits of each line."""
+    keys, lines, bits = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty((0, 2), np.uint64)]
+    first = 0
+    # Blocks of lines that fit a processor's cache.
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _CACHED, side="right")) - 1)
+        part = _sketches(text[at[first] : at[last]], at[first : last + 1] - at[first], compared)
+        keys.append(part[0])
+        lines.append(part[1] + first)
+        bits.append(part[2])
+        first = last
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(bits)
+
+
+def _sketches(text: np.ndarray, at: np.ndarray, compared: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.diff(at)
     keys, lines = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for (limit, each, q), mine in ((LONG, size >= LONG[0]), (SHORT, size <= SHORT[0])):
@@ -170,6 +149,8 @@ def sketches(
             key = mix(key + least[:, :, i])
         keys.append(key.reshape(-1))
         lines.append(np.repeat(own, KEYS))
+    if not compared:
+        return np.concatenate(keys), np.concatenate(lines), np.empty((0, 2), np.uint64)
     least = _least(_strings(text, at, PART), at, BINS) & np.uint64(3)
     up = np.uint64(2) * np.arange(32, dtype=np.uint64)
     bits = np.stack([(least[:, i : i + 32] << up).sum(1, dtype=np.uint64) for i in (0, 32)], axis=1)
@@ -317,39 +298,89 @@ def _wanted_words(packed: dict, right: pa.Table) -> tuple[np.ndarray, np.ndarray
     return text, np.append(at[np.searchsorted(of[mine], line)], len(text))
 
 
-def _dealt(texts: DataFrame, lines: DataFrame, count: int) -> DataFrame:
-    """``shard, payload``: the rows of all keys of ``lines(id, piece, row, line)``."""
-    shards = max(MIN_SHARDS, math.ceil(count / 25_000))
+def _keyed(packed: dict, wanted: pa.Table, shards: int, compared: bool = True) -> tuple[np.ndarray, ...]:
+    """Scrambled keys of the wanted lines of a piece in the order of their shards, these, lines, bits and sizes."""
+    text, at = _wanted_words(packed, wanted)
+    keys, line, bits = sketches(text, at, compared)
+    size = np.add.reduceat((text & 0xC0 != 0x80).astype(np.int64), at[:-1]) - 1
+    scrambled = mix(keys)
+    target = shard_of(scrambled, shards)
+    order = np.argsort(target, kind="stable")
+    return scrambled[order], target[order], line[order], bits, np.minimum(size, 65535).astype("<u2")
+
+
+def _by_shard(target: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each shard among sorted ones, and from where to where it stands."""
+    cut = np.flatnonzero(np.diff(target, prepend=-1))
+    for start, stop in zip(cut.tolist(), np.append(cut[1:], len(target)).tolist(), strict=True):
+        yield int(target[start]), start, stop
+
+
+def _asked(texts: DataFrame, lines: DataFrame, shards: int) -> DataFrame:
+    """``shard, piece, keys``: the keys of all lines alone, four bytes each."""
+
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"shard": [], "piece": [], "keys": []}
+        right = right.sort_by([("row", "ascending"), ("line", "ascending")])
+        for packed in left.to_pylist():
+            if not len(right):
+                break
+            keys, target, *_ = _keyed(packed, right, shards, compared=False)
+            for shard, start, stop in _by_shard(target):
+                out["shard"].append(shard)
+                out["piece"].append(packed["piece"])
+                out["keys"].append(keys[start:stop].astype("<u4").tobytes())
+        return pa.table(out, pa.schema([("shard", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary())]))
+
+    return texts.groupBy("piece").cogroup(lines.groupBy("piece")).applyInArrow(
+        read, "shard int, piece long, keys binary"
+    )
+
+
+def _shared(asked: DataFrame) -> DataFrame:
+    """``piece, shard, shared``: for each key that a piece sent, a bit whether another line has it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, "<u4") for x in table.column("keys").to_pylist()]
+        _, of, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        cut = np.cumsum([len(x) for x in parts])[:-1]
+        bits = [np.packbits(x).tobytes() for x in np.split(n[of] > 1, cut)]
+        return pa.table({"piece": table.column("piece"), "shard": table.column("shard"), "shared": pa.array(bits, pa.binary())})
+
+    return asked.groupBy("shard").applyInArrow(run, "piece long, shard int, shared binary")
+
+
+def _dealt(texts: DataFrame, lines: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+    """``shard, payload``: the rows of the shared keys of ``lines(id, piece, row, line)``."""
 
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         zip_ = zstandard.ZstdCompressor(level=1)
         out: dict[str, list] = {"shard": [], "payload": []}
+        told = right.filter(pc.is_valid(right.column("shard")))
+        told = dict(zip(told.column("shard").to_pylist(), told.column("shared").to_pylist(), strict=True))
+        right = right.filter(pc.is_valid(right.column("id")))
         right = right.sort_by([("row", "ascending"), ("line", "ascending")])
         for packed in left.to_pylist():
             if not len(right):
                 break
-            text, at = _wanted_words(packed, right)
-            keys, line, bits = sketches(text, at)
-            size = np.add.reduceat((text & 0xC0 != 0x80).astype(np.int64), at[:-1]) - 1
-            size = np.minimum(size, 65535).astype("<u2")
+            keys, target, line, bits, size = _keyed(packed, right, shards)
             ids = right.column("id").to_numpy()
-            scrambled = mix(keys)
-            target = shard_of(scrambled, shards)
-            order = np.argsort(target, kind="stable")
-            target = target[order]
-            cut = np.flatnonzero(np.diff(target, prepend=-1))
-            for s, e in zip(cut, np.append(cut[1:], len(order)), strict=True):
-                part = order[s:e]
+            for shard, start, stop in _by_shard(target):
+                mark = np.unpackbits(np.frombuffer(told[shard], np.uint8), count=stop - start)
+                part = start + np.flatnonzero(mark)
+                if not len(part):
+                    continue
                 of = line[part]
                 # The bytes of ids in turn, as the upper ones are alike.
                 data = ids[of].view(np.uint8).reshape(-1, 8).T.tobytes()
-                data += scrambled[part].astype("<u4").tobytes()
+                data += keys[part].astype("<u4").tobytes()
                 data += size[of].tobytes() + bits[of].tobytes()
-                out["shard"].append(int(target[s]))
+                out["shard"].append(shard)
                 out["payload"].append(zip_.compress(data))
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "payload": pa.array(out["payload"], pa.binary())})
 
-    return texts.groupBy("piece").cogroup(lines.groupBy("piece")).applyInArrow(
+    both = lines.unionByName(shared, allowMissingColumns=True)
+    return texts.groupBy("piece").cogroup(both.groupBy("piece")).applyInArrow(
         read, "shard int, payload binary"
     )
 
@@ -408,6 +439,60 @@ def _rest(dealt: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     )
 
 
+@functools.lru_cache(maxsize=512)
+def _strings_of(text: str) -> np.ndarray:
+    """The strings of three characters of a text, sorted."""
+    x = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.sort((x[:-2] << 42) + (x[1:-1] << 21) + x[2:])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many strings two sorted arrays share, repeated ones as often as both have them."""
+    kinds, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    return int(np.minimum(*(np.bincount(part, minlength=len(kinds)) for part in (at[: len(x)], at[len(x) :]))).sum())
+
+
+def similar(x: str, y: str, most: int) -> bool:
+    """Whether at most so many characters are put in, left out or changed.
+
+    An edit changes three strings of three characters at most, which rules out
+    what is too far apart. The distance of the rest is found column by column, a
+    column being one number with a bit for each character (Myers; Hyyrö).
+    """
+    if abs(len(x) - len(y)) > most:
+        return False
+    if min(len(x), len(y)) > 16:
+        longer = max(len(x), len(y))
+        if _common(_strings_of(x), _strings_of(y)) < longer - 2 - 3 * most:
+            return False
+    # What both begin or end with takes no part.
+    first = len(os.path.commonprefix([x, y]))
+    x, y = x[first:], y[first:]
+    last = len(os.path.commonprefix([x[::-1], y[::-1]]))
+    x, y = x[: len(x) - last], y[: len(y) - last]
+    if not x or not y or max(len(x), len(y)) <= most:
+        return max(len(x), len(y)) <= most
+    if len(x) == len(y) and sum(map(operator.ne, x, y)) <= most:
+        return True
+    places: dict[str, int] = {}
+    for i, c in enumerate(x):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, score, left = full, 0, len(x), len(y)
+    for c in y:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (full & ~(diagonal | up)), up & diagonal
+        score += bool(rise & top) - bool(fall & top)
+        left -= 1
+        if score - left > most:
+            return False
+        rise, fall = rise << 1 | 1, fall << 1
+        same |= down
+        up, down = (fall | ~(same | rise)) & full, rise & same & full
+    return score <= most
+
+
 def _spelled(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id, words`` of the lines in ``wanted(id, piece, row, line)``: their words in lower case."""
 
@@ -440,7 +525,16 @@ def _verified(texts: DataFrame, lines: DataFrame, pairs: DataFrame, similarity:
     checked = checked.withColumn("most", most).where(
         F.abs(F.length("x") - F.length("y")) <= F.col("most")
     )
-    return stored(checked.where("levenshtein(x, y, most) >= 0").select("a", "b"), "line-links")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("x", "y", "most")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([similar(*row) for row in rows], pa.bool_()))
+
+    found = checked.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
+    links = stored(found, "line-links")
+    freed(spelled)
+    return links
 
 
 def _gone(texts: DataFrame, similarity: float) -> DataFrame:
@@ -459,7 +553,13 @@ def _gone(texts: DataFrame, similarity: float) -> DataFrame:
     # Shorter lines are not similar to any other: one character is too much already.
     some = lines.where((F.col("size") + 1) * (1 - F.lit(similarity)) >= 1 - 1e-9)
     some = some.select("id", "first.piece", "first.row", "first.line")
-    dealt = bucketed(_dealt(texts, some, some.count()), "shard", "line-keys")
+    shards = max(MIN_SHARDS, math.ceil(some.count() / 25_000))
+    # Most keys are no other line's. They are told apart first, by the keys alone.
+    asked = bucketed(_asked(texts, some, shards), "shard", "asked")
+    shared = stored(_shared(asked), "shared")
+    freed(asked)
+    dealt = bucketed(_dealt(texts, some, shared, shards), "shard", "line-keys")
+    freed(shared)
     led = stored(_led(dealt, similarity), "led")
     pairs = stored(led.select("a", "b").distinct(), "line-pairs")
     links = _verified(texts, some, pairs, similarity)
@@ -471,6 +571,7 @@ def _gone(texts: DataFrame, similarity: float) -> DataFrame:
     rest = _rest(dealt, known, similarity).distinct()
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    freed(dealt, led, known)
     links = links.unionAll(_verified(texts, some, rest, similarity))
     groups = stored(components(links), "line-groups")
 
@@ -492,7 +593,9 @@ def _gone(texts: DataFrame, similarity: float) -> DataFrame:
     )
     gone = seen.select("piece", "row", "line", "doc_id", "k1", "k2").join(named, ["k1", "k2"])
     gone = gone.where("doc_id <> stay_doc OR line <> stay_line")
-    return gone.select("piece", "row", "line")
+    gone = stored(gone.select("piece", "row", "line"), "gone")
+    freed(seen, lines, named)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -507,7 +610,7 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     taken = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*taken)
     texts = staged(docs)
-    gone = stored(_gone(texts, similarity), "gone")
+    gone = _gone(texts, similarity)
     zero = F.lit(0).cast("long")
     schema = docs.select("*", zero.alias("n_lines"), zero.alias("n_removed")).schema
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -40,6 +41,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_of(folder: str) -> str:
+    """The catalog's name for a bucketed table in a folder."""
+    return folder.rsplit("/", 1)[-1].replace("-", "_")
+
+
+def freed(*frames: DataFrame) -> None:
+    """Delete frames that ``stored`` or ``bucketed`` made, from folder and catalog; nothing may read them any more.
+
+    The shuffle files of steps that are done go, too: Spark deletes them once the
+    driver's garbage is collected, which long jobs with little garbage put off.
+    """
+    for frame in frames:
+        spark = frame.sparkSession
+        folders = {path.rsplit("/", 1)[0] for path in frame.inputFiles()}
+        for folder in folders:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_of(folder)}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    frames[0].sparkSession._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes in a text column, over all rows."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
@@ -63,8 +86,9 @@ def bucket_count(spark: SparkSession) -> int:
 def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
     """Write packed rows in buckets of a column, by which they are grouped without being moved."""
     spark = df.sparkSession
-    table = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
-    writer = df.write.option("path", work_dir(spark, label)).option("compression", "uncompressed")
+    path = work_dir(spark, label)
+    table = _table_of(path)
+    writer = df.write.option("path", path).option("compression", "uncompressed")
     writer.bucketBy(bucket_count(spark), by).saveAsTable(table)
     return spark.table(table)
 

@@ -52,19 +52,33 @@ def test_short_texts_are_one_shingle():
     assert by[0] == by[2] != by[3]
 
 
-def test_simhash_is_the_majority_of_each_bit():
-    draw = np.random.default_rng(1)
-    sizes = [1, 2, 3, 4, 9, 40, 257]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    words = draw.integers(0, 2**63, first[-1], dtype=np.uint64)
-    got = linededup._signatures(words, first)
-    for i in range(len(sizes)):
-        w = words[first[i] : first[i + 1]]
-        wide = np.stack([linededup.mix(w ^ linededup._C[k]) for k in range(4)], 1)
-        bits = np.unpackbits(wide.view(np.uint8), axis=1)
-        twice = 2 * bits.sum(0)
-        want = np.where(twice == len(w), bits[0], twice > len(w))
-        assert (np.packbits(want.astype(np.uint8)) == got[i].copy().view(np.uint8)).all()
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edits_by_brute_force():
+    draw = random.Random(1)
+    for _ in range(1500):
+        a = "".join(draw.choices("abcdé ", k=draw.randint(0, 60)))
+        b = list(a)
+        for _ in range(draw.randint(0, 8)):
+            place = draw.randint(0, max(len(b) - 1, 0))
+            b[place : place + draw.randint(0, 1)] = draw.choice(["", "z", "a", "bc"])
+        b, most = "".join(b), draw.randint(0, 9)
+        assert linededup.similar(a, b, most) == (_edits(a, b) <= most)
+
+
+def test_very_long_lines_are_compared():
+    draw = random.Random(2)
+    a = "".join(draw.choices("abcdefghij ", k=50_000))
+    b = "".join("z" + c if i % 30 == 0 else c for i, c in enumerate(a))
+    assert linededup.similar(a, b, 5_000) and not linededup.similar(a, b, 1_600)
 
 
 def line_sketches(lines):
@@ -282,3 +296,32 @@ def test_licence_lines_and_others():
         best = int(p[:-1].argmax())
         found = p[best] >= licenses.LEAST and model.confirmed(best, words)
         assert (model.families[best] if found else None) == family
+
+
+_PROSE = [" ".join(f"word{i}{k}" for i in range(60)) for k in "abc"]
+
+
+@pytest.mark.parametrize(
+    "container",
+    [
+        "<form id=aspnetForm>{}</form>",
+        "<div class='page header-fixed'>{}</div>",
+        "<div class='post share-enabled'>{}</div>",
+        "<div class='entry-content comment-count-3'>{}</div>",
+        "<form><div id='wrap-header-on'><div class='share-on'>{}</div></div></form>",
+    ],
+)
+def test_a_container_of_most_prose_is_the_page(container):
+    side = '<div class="nav"><a href=x>Home</a> <a href=y>News</a></div>'
+    body = "<h1>A title of it</h1>" + "".join(f"<p>{x}</p>" for x in _PROSE)
+    end = "<div class='comments'><p>" + " ".join(_PROSE)[:200] + "</p></div><footer>All rights</footer>"
+    page = f"<html><body>{container.format(side + body + end)}</body></html>"
+    assert pages.main_text(page, pages.trained()) == "\n".join(["A title of it", *_PROSE])
+
+
+@pytest.mark.parametrize("name", ["sidebar", "side-nav sidebar", "comments", "cookie"])
+def test_a_container_named_for_something_else_stays_out(name):
+    page = f"<body><div class='{name}'><p>{_PROSE[0]}</p><p>{_PROSE[1]}</p></div></body>"
+    assert pages.main_text(page, pages.trained()) == ""
+    beside = f"<body><div class='comment-list'><p>{_PROSE[0]}</p></div><article><p>{_PROSE[1]}</p><p>{_PROSE[2]}</p></article></body>"
+    assert pages.main_text(beside, pages.trained()) == "\n".join(_PROSE[1:])
