@@ -188,8 +188,12 @@ FROM told JOIN texts USING (stage)"""
 
 
 def _table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, be it one file or a folder of files.
+
+    Written as a pattern, as a stream takes a plain path for a folder only.
+    """
     schema = t.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 def _notification_stream(spark: SparkSession, sf: str) -> DataFrame:

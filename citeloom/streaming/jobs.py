@@ -102,25 +102,32 @@ def claimed_stream(placed: DataFrame) -> DataFrame:
     The state holds the path that took a destination, in this batch or any before,
     also across restarts; within a batch, configs come in the order of their paths.
     """
-    # A row without a destination has a key of its own and takes nothing.
-    keyed = placed.withColumn("_key", F.coalesce("destination", "path"))
-    columns = placed.columns
+    # Rows without a destination take nothing; they share a few keys, as each key has its cost.
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.hash("path"), F.lit(1000)))
+    keyed = placed.withColumn("_key", F.coalesce("destination", nowhere))
 
     # Defined here so that it travels to the executors by value.
     def claim(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         taken = state.exists
-        rows = pd.concat(list(frames)).sort_values("path", kind="stable")
-        reasons = []
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        # Most destinations have one config; little is done for it.
+        if len(rows) > 1:
+            rows = rows.sort_values("path", kind="stable")
+        del rows["_key"]
+        reasons, changed = [], False
         for reason, destination in zip(rows["reason"], rows["destination"], strict=True):
             reason = None if pd.isna(reason) else reason
             if taken and reason in (None, "empty_query"):
-                reason = "destination_exists"
+                reason, changed = "destination_exists", True
             elif reason is None and not pd.isna(destination):
                 taken = True
             reasons.append(reason)
         if taken and not state.exists:
             state.update((rows["path"].iloc[reasons.index(None)],))
-        yield rows.assign(reason=pd.Series(reasons, index=rows.index, dtype=object))[columns]
+        if changed:
+            rows["reason"] = pd.Series(reasons, index=rows.index, dtype=object)
+        yield rows
 
     return keyed.groupBy("_key").applyInPandasWithState(
         claim, placed.schema, "holder string", "append", GroupStateTimeout.NoTimeout

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from citeloom.bindings.accounts import _write_snapshot
+from citeloom.bindings.events import q_config_stream, q_config_stream_rejects, q_file_stream
 from citeloom.operators.events import created_paths, routed
 from citeloom.plans.access import snapshot_plan
 from citeloom.streaming import jobs
@@ -201,3 +202,12 @@ def test_one_destination_one_request(spark, tmp_path):
     (folder / "x.txt").write_text("?")
     (folder / "old.json").write_text('{"query_str": "x"}')
     assert ("old.json", "destination_exists") in _config_rows(spark, tmp_path, root, ["p/metadata/old.json"])[1]
+
+
+def test_streams_of_tables_that_are_folders(spark, tmp_path, sf_dir):
+    """A table may be one file or a folder of parts; its stream has the same rows."""
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for query in (q_config_stream, q_config_stream_rejects, q_file_stream):
+        want = rows(query(spark, sf_dir))
+        assert want and rows(query(spark, str(tmp_path))) == want
