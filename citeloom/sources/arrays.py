@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from citeloom.storage import materialized
 
 _PLACE = ["file", "block", "place"]
+#: So many pieces of other kinds than most are told to all tasks by number; beyond, texts are shuffled to them.
+FEW = 1_000_000
 
 
 def _count(text: Column, char: str) -> Column:
@@ -29,7 +31,7 @@ def _opened(outside: Column) -> Column:
     return _count(outside, "{") + _count(outside, "[") - _count(outside, "]") - _count(outside, "}")
 
 
-def _pieces(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+def _pieces(spark: SparkSession, path: str, pattern: str, above: int) -> DataFrame:
     """``file, block, place, value`` and what each piece does, by how it begins.
 
     ``parity`` is 1 if strings are open behind it that were not before, or the other
@@ -37,7 +39,7 @@ def _pieces(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     strings, or inside. The brace behind it counts as its last character.
     """
     reader = spark.read.option("pathGlobFilter", pattern).option("lineSep", "}")
-    pieces = reader.text(path).select(
+    pieces = reader.text(path).where(F.col("_metadata.file_size") > above).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
@@ -63,14 +65,18 @@ def _either(state: Column) -> Column:
 
 
 def _placed(pieces: DataFrame) -> DataFrame:
-    """Each piece with its state: ``quoted`` before it, and ``depth`` before and ``end`` behind it."""
+    """Each piece with its state: ``quoted`` before it, and ``depth`` before and ``end`` behind it.
+
+    Texts take no part: the rows that are sorted hold a few numbers each.
+    """
+    pieces = pieces.drop("value")
     before = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     turned = F.coalesce(F.sum("parity").over(before), F.lit(0)) % 2
     pieces = pieces.withColumn("_turned", turned)
     pieces = pieces.withColumns({"_if_out": _either(F.col("_turned")), "_if_in": _either(1 - F.col("_turned"))})
     for name in ("_if_out", "_if_in"):
         pieces = pieces.withColumn(f"{name}_before", F.coalesce(F.sum(name).over(before), F.lit(0)))
-    pieces = materialized(pieces, "pieces")
+    pieces = materialized(pieces, "sums")
     # One row per block; those of a file are few.
     blocks = pieces.groupBy("file", "block").agg(
         (F.sum("parity") % 2).alias("_parity"), F.sum("_if_out").alias("_all_out"), F.sum("_if_in").alias("_all_in")
@@ -86,7 +92,6 @@ def _placed(pieces: DataFrame) -> DataFrame:
     change = F.when(is_out, F.col("_if_out")).otherwise(F.col("_if_in"))
     return found.select(
         *_PLACE,
-        "value",
         "_last",
         ((F.col("_quoted") + F.col("_turned")) % 2).alias("quoted"),
         depth.alias("depth"),
@@ -95,25 +100,41 @@ def _placed(pieces: DataFrame) -> DataFrame:
     )
 
 
-def read_array_files(spark: SparkSession, path: str, record: T.StructType, pattern: str) -> DataFrame:
+def read_array_files(
+    spark: SparkSession, path: str, record: T.StructType, pattern: str, above: int = 0
+) -> DataFrame:
     """``file, parsed, good`` of each record of the arrays, and one row for the end of each file.
 
+    Only files of more than ``above`` bytes are read.
+
     ``good`` is false where a file is no array of objects from its first to its
     last character; such a file has at least one such row. The row for the end has
     no record.
     """
-    pieces = materialized(_placed(_pieces(spark, path, pattern)), "placed")
+    pieces = materialized(_pieces(spark, path, pattern, above), "pieces")
+    placed = materialized(_placed(pieces), "placed")
+    ends_at = placed.where("_last").groupBy("file").agg(F.max("place").alias("place"))
+    placed = placed.join(ends_at.select("place", F.lit(True).alias("_tail")), "place", "left")
+    starts = (F.col("quoted") == 0) & (F.col("depth") <= 1)
+    whole = starts & (F.col("quoted_end") == 0) & (F.col("end") == 1)
+    # Most pieces are a record behind another one. Only the others are sought out and brought together.
+    usual = whole & (F.col("depth") == 1) & F.col("_tail").isNull()
+    states = materialized(placed.where(~usual), "states")
+    sought = states.select("place")
+    if states.count() <= FEW:
+        sought = F.broadcast(sought)
+    others = pieces.select("place", "value").join(sought, "place", "left_semi")
+    others = materialized(others.join(states, "place"), "others")
+    follow = pieces.join(sought, "place", "left_anti")
     # Behind the last piece there is no brace; nothing but the array's end may be there.
-    tails = pieces.where("_last").groupBy("file").agg(F.max(F.struct("place", "value", "depth", "quoted")).alias("t"))
-    tails = tails.select("file", "t.*")
+    tails = others.where("_tail")
     # A file without an object is one piece.
-    alone = (F.col("depth") == 0) & F.col("value").rlike(r"(?s)\A\s*(?:\[\s*\]\s*)\z")
-    ends = (F.col("depth") == 1) & F.col("value").rlike(r"(?s)\A\s*\]\s*\z")
+    alone = (F.col("depth") == 0) & F.col("value").rlike(r"\A[ \t\r\n]*\[[ \t\r\n]*\][ \t\r\n]*\z")
+    ends = (F.col("depth") == 1) & F.col("value").rlike(r"\A[ \t\r\n]*\][ \t\r\n]*\z")
     tails = tails.withColumn("good", (F.col("quoted") == 0) & (alone | ends))
-    bodies = pieces.join(tails.select("file", "place"), ["file", "place"], "left_anti")
-    starts = (F.col("quoted") == 0) & (F.col("depth") <= 1)
-    whole = starts & (F.col("quoted_end") == 0) & (F.col("end") == 1)
+    bodies = others.where("_tail IS NULL")
     single = bodies.where(whole).select("file", "depth", F.col("value").alias("text"))
+    single = single.unionByName(follow.select("file", F.lit(1).cast("long").alias("depth"), F.col("value").alias("text")))
     # The other pieces of a file, counted by the records they end.
     parts = bodies.where(~whole)
     closed = F.sum(((F.col("quoted_end") == 0) & (F.col("end") == 1)).cast("int"))
@@ -127,7 +148,9 @@ def read_array_files(spark: SparkSession, path: str, record: T.StructType, patte
     )
     found = single.unionByName(several)
     # The first record stands behind the bracket, each other one behind a comma.
-    lead = F.when(F.col("depth") == 0, r"(?s)\A\s*\[\s*(\{.*)\z").otherwise(r"(?s)\A\s*,\s*(\{.*)\z")
+    lead = F.when(F.col("depth") == 0, r"(?s)\A[ \t\r\n]*\[[ \t\r\n]*(\{.*)\z").otherwise(
+        r"(?s)\A[ \t\r\n]*,[ \t\r\n]*(\{.*)\z"
+    )
     text = F.regexp_extract_all("text", lead, F.lit(1))
     text = F.concat(F.try_element_at(text, F.lit(1)), F.lit("}"))
     wrapped = F.concat(F.lit("["), text, F.lit("]"))

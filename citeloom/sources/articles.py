@@ -18,10 +18,16 @@ from citeloom.storage import materialized
 
 # White space of JSON texts.
 _BLANK = " \t\r\n"
+#: Bytes of a file that is still parsed as one text; what is larger is shared among tasks.
+WHOLE_BYTES = 1 << 20
 # What parts the records of a JSON array, by the layout of the file.
 _SEPARATORS = {"lines": "\n", "indented": "\n  {"}
 
 
+def _file_name() -> Column:
+    return F.col("_metadata.file_name").alias("file_name")
+
+
 def _file_texts(
     spark: SparkSession, path: str, pattern: str, layout: str
 ) -> DataFrame | None:
@@ -29,8 +35,7 @@ def _file_texts(
     if layout != "any":
         reader = reader.option("lineSep", _SEPARATORS[layout])
     try:
-        texts = reader.text(path, wholetext=layout == "any")
-        return texts.select("value", F.col("_metadata.file_name").alias("file_name"))
+        return reader.text(path, wholetext=layout == "any")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -58,7 +63,7 @@ def _parts(texts: DataFrame, layout: str) -> DataFrame:
     if layout == "indented":
         cut = (record != "") & ~F.startswith(record, F.lit("{"))
         record = F.when(cut, F.concat(F.lit("{"), record)).otherwise(record)
-    pieces = texts.select(record.alias("record"), "file_name").where("record <> ''")
+    pieces = texts.select(record.alias("record"), _file_name()).where("record <> ''")
     whole = F.concat(F.lit("["), "record", F.lit("]"))
     objects = F.startswith("record", F.lit("{"))
     return pieces.select(
@@ -82,21 +87,48 @@ def _name(file: Column) -> Column:
     return F.url_decode(F.substring_index(file, "/", -1)).alias("file_name")
 
 
-def _array_records(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
+def _array_records(spark: SparkSession, path: str, pattern: str, above: int = 0) -> DataFrame | None:
     try:
-        return materialized(read_array_files(spark, path, ARTICLE_IN_FILE, pattern), "records")
+        return materialized(read_array_files(spark, path, ARTICLE_IN_FILE, pattern, above), "records")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
+def _parsed_articles(kept: DataFrame) -> DataFrame:
+    return _typed(kept.select(F.col("parsed").alias("a"), _name(F.col("file"))))
+
+
 def _split_articles(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     found = _array_records(spark, path, pattern)
     if found is None:
         return spark.createDataFrame([], T.StructType([*ARTICLE.fields]).add("file_name", "string"))
     kept = found.where("parsed IS NOT NULL").join(found.where("NOT good").select("file").distinct(), "file", "left_anti")
-    return _typed(kept.select(F.col("parsed").alias("a"), _name(F.col("file"))))
+    return _parsed_articles(kept)
+
+
+def _shared_or_whole(
+    spark: SparkSession, path: str, pattern: str, texts: DataFrame
+) -> tuple[DataFrame | None, DataFrame]:
+    """Records of large files, read in splits, and the texts of the files to parse whole.
+
+    These are the small ones, and large ones that the splits do not take for arrays of
+    objects: some of them (with nulls among the records, or other quotes) still parse.
+    """
+    small = texts.where(F.col("_metadata.file_size") <= WHOLE_BYTES)
+    large = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    if large.where(F.col("length") > WHOLE_BYTES).select("path").isEmpty():
+        return None, small
+    found = _array_records(spark, path, pattern, above=WHOLE_BYTES)
+    odd = [r["file"] for r in found.where("NOT good").select("file").distinct().collect()]
+    found = found.where("parsed IS NOT NULL")
+    if not odd:
+        return found, small
+    # Left out by name, since a join would bring a file's records to one task.
+    found = found.where(~F.col("file").isin(odd))
+    alone = F.col("_metadata.file_path").isin(odd)
+    return found, texts.where((F.col("_metadata.file_size") <= WHOLE_BYTES) | alone)
 
 
 def read_article_files(
@@ -105,10 +137,11 @@ def read_article_files(
     """Articles of all JSON files in a folder, with their ``file_name``.
 
     A missing folder reads as empty; a file that is malformed or holds no list
-    is skipped. ``layout="any"`` parses each file as one text, which suits the
-    results of single queries. Files of any size are shared among tasks if they
-    keep to a layout: ``lines`` has one record per line, as ``write_articles``
-    makes them; ``indented`` has records that start two blanks in, as most JSON
+    is skipped. ``layout="any"`` parses each file of up to ``WHOLE_BYTES`` as one text,
+    which suits the results of single queries, and reads larger ones as ``split`` does;
+    of these, only what that rejects is parsed as one text. Files of any size are also
+    shared among tasks if they keep to a layout: ``lines`` has one record per line, as
+    ``write_articles`` makes them; ``indented`` has records that start two blanks in, as most JSON
     printers make them. There, a malformed piece (usually one record) is skipped
     by itself; a compact array is read as one piece. ``split`` shares arrays of any
     layout among tasks and, like ``any``, skips a file that is malformed anywhere.
@@ -120,7 +153,9 @@ def read_article_files(
         schema = T.StructType([*ARTICLE.fields]).add("file_name", "string")
         return spark.createDataFrame([], schema)
     if layout == "any":
-        return _typed(texts.select(F.explode(_array()).alias("a"), "file_name").where("a is not null"))
+        found, whole = _shared_or_whole(spark, path, pattern, texts)
+        whole = whole.select(F.explode(_array()).alias("a"), _file_name()).where("a is not null")
+        return _typed(whole) if found is None else _typed(whole).unionByName(_parsed_articles(found))
     return _typed(_parts(texts, layout).select(F.explode("parts").alias("a"), "file_name"))
 
 
@@ -140,7 +175,8 @@ def rejected_article_files(
         reason = F.when(~F.startswith(F.ltrim("value", F.lit(_BLANK)), F.lit("[")), "not a list").when(
             _array().isNull(), "malformed"
         )
-        return texts.select("file_name", reason.alias("reason")).where("reason is not null")
+        _, whole = _shared_or_whole(spark, path, pattern, texts)
+        return whole.select(_file_name(), reason.alias("reason")).where("reason is not null")
     broken = _parts(texts, layout).where("parts IS NULL")
     return broken.select("file_name", F.lit("malformed").alias("reason"))
 

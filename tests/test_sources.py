@@ -375,6 +375,43 @@ def test_arrays_of_any_layout_are_read_in_splits(spark, tmp_path):
     assert read_article_files(spark, f"{tmp_path}/none", "split").columns == got.columns
 
 
+def test_large_files_are_not_parsed_as_one_text(spark, tmp_path):
+    """Large arrays give the records of small ones, by many tasks; odd ones still parse."""
+    many = [{"pmid": str(i), "title": f"{'}' * (i % 9 == 0)} {i}", "abstract": f"{i} " * 400} for i in range(1200)]
+    text = json.dumps(many)
+    files = {
+        "good.json": text,
+        "nulls.json": text.replace("}, {", "}, null, {", 1),
+        "quotes.json": text.replace('"pmid": "7"', "'pmid': '7'"),
+        "cut.json": text[:-9],
+        "feed.json": text + "\f",
+        "object.json": '{"all": ' + text + "}",
+        "small.json": json.dumps(many[:2]),
+        "bad.json": "[1]",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = read_article_files(spark, str(tmp_path))
+        alone = read_article_files(spark, str(tmp_path), pattern="good*")
+        whole = max(r[0] for r in alone.groupBy(F.spark_partition_id()).count().select("count").collect())
+        assert whole < len(many)
+        for name in files:
+            want = {"small.json": many[:2]}.get(name, many if name in ("good.json", "nulls.json", "quotes.json") else [])
+            found = rows(got.where(F.col("file_name") == name), "pmid", "title", "abstract")
+            assert found == sorted((int(r["pmid"]), r["title"], r["abstract"]) for r in want), name
+        assert rows(rejected_article_files(spark, str(tmp_path))) == [
+            ("bad.json", "malformed"),
+            ("cut.json", "malformed"),
+            ("feed.json", "malformed"),
+            ("object.json", "not a list"),
+        ]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_inventory_log_lists_changed_folders_only(spark, tmp_path, monkeypatch):
     root, log = tmp_path / "root", f"{tmp_path}/log"
 
