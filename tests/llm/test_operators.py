@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from citeloom.llm import decontaminate as deco
+from citeloom.llm import linededup
 from citeloom.llm.components import components
 from citeloom.llm.embeddings import near_vectors
 from citeloom.llm.language import clear_documents, identify
@@ -22,6 +24,7 @@ from citeloom.llm.mixing import mix_sources, source_rates
 from citeloom.llm.ngrams import STRENGTH, score_texts
 from citeloom.llm.pages import extract
 from citeloom.llm.setsketch import near_duplicates
+from citeloom.llm.shared import stored
 from citeloom.llm.substrings import repeated_substrings
 from tests.llm.conftest import table
 
@@ -347,6 +350,26 @@ def test_lines_are_compared_by_characters(spark, words):
     assert out[2]["text"] == "one six three" and out[2]["n_removed"] == 3
 
 
+def test_lines_that_share_a_passage_are_no_rows_by_pairs(spark, monkeypatch):
+    """700 lines are alike in two thirds of their text; of each tenth there is a copy with a typo."""
+    draw = random.Random(6)
+    passage = "".join(draw.choices(string.ascii_lowercase + " ", k=120))
+    lines = [passage + "".join(draw.choices(string.ascii_lowercase, k=60)) for _ in range(700)]
+    typos = [x[:170] + "0" + x[171:] for x in lines[::10]]
+    written = {}
+
+    def counted(df, label):
+        out = stored(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    texts = {1: "\n".join(lines), 2: "\n".join(typos)}
+    out = {r["doc_id"]: r for r in dedup_lines(table(spark, texts)).collect()}
+    assert (out[1]["n_removed"], out[2]["n_removed"], out[2]["text"]) == (0, 70, "")
+    assert max(written.values()) <= linededup.KEYS * 770
+
+
 def test_lines_of_odd_tables(odd, none):
     out = dedup_lines(odd)
     assert out.columns == [*[c for c in odd.columns if c != "n_removed"], "n_lines", "n_removed"]

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,32 @@ def test_share_of_similar_lines_that_become_candidates(size, changed, share):
     assert np.mean([bool(held[i] & held[i + 500]) and near[i] for i in range(500)]) >= share
 
 
+def test_long_lines_of_the_same_syllables_are_rarely_candidates():
+    """They share many strings, at other places: candidates must not grow with the square of the lines."""
+    draw = random.Random(4)
+    syllables = ["the ", "tion", "ing ", "er", "an", "re ", "on", "en", "th", "ou", "st ", "ed ", "ha", "in ", "ble ", "at"]
+    lines = ["".join(draw.choices(syllables, k=150)) for _ in range(300)]
+    _, _, bits = line_sketches(lines)
+    left, right = np.triu_indices(300, 1)
+    assert linededup._close(bits, np.full(300, 400), left, right, 0.9).mean() < 0.06
+
+
+def test_keys_of_a_piece_take_little_memory():
+    draw = random.Random(5)
+    text = "\n".join("".join(draw.choices("abcdefgh ", k=50)) for _ in range(20_000))
+    sink = pa.BufferOutputStream()
+    part = pa.record_batch({"text": pa.array([text])})
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_batch(part)
+    wanted = pa.table({"row": np.zeros(20_000, np.int32), "line": np.arange(20_000, dtype=np.int32)})
+    tracemalloc.start()
+    keys, target, line, *_ = linededup._keyed({"rows": sink.getvalue().to_pybytes()}, wanted, 64, compared=False)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(keys) == len(target) == len(line) >= 20_000 * linededup.KEYS
+    assert most < 50 * len(keys)
+
+
 def test_rows_whose_leader_was_another_are_compared_with_each_other():
     keys, ids = np.array([5, 5, 5, 6, 6, 7]), np.arange(6)
     bits, size = np.zeros((6, 2), np.uint64), np.full(6, 100)
