@@ -370,6 +370,33 @@ def test_lines_that_share_a_passage_are_no_rows_by_pairs(spark, monkeypatch):
     assert max(written.values()) <= linededup.KEYS * 770
 
 
+def test_rows_sent_to_tiles_and_shards_grow_with_the_rows(spark, monkeypatch):
+    """A large bucket has a few blocks, and keys shared with lines of other sizes only are not sent again."""
+    draw = random.Random(9)
+    passage = "".join(draw.choices(string.ascii_lowercase + " ", k=120))
+    alike = [passage + "".join(draw.choices(string.ascii_lowercase, k=60)) for _ in range(300)]
+    longer = [passage[20:60] + "".join(draw.choices(string.ascii_lowercase, k=int(200 * 1.5**i))) for i in range(9)]
+    typos = [x[:170] + "0" + x[171:] for x in alike[::10]]
+    blocks, keys = [], []
+
+    def kept(df, label):
+        out = stored(df, label)
+        if label == "left":
+            blocks.extend(r["blocks"] for r in out.collect())
+        if label == "shared":
+            keys.append(sum(bin(b).count("1") for r in out.collect() for b in r["shared"]))
+        return out
+
+    monkeypatch.setattr(linededup, "stored", kept)
+    monkeypatch.setattr(linededup, "BLOCK", 16)
+    out = {r["doc_id"]: r for r in dedup_lines(table(spark, {1: "\n".join(alike), 2: "\n".join(typos)})).collect()}
+    assert (out[1]["n_removed"], out[2]["n_removed"], out[2]["text"]) == (0, 30, "")
+    assert 1 < max(blocks) <= 4
+    keys.clear()
+    assert dedup_lines(table(spark, longer)).agg(F.sum("n_removed")).first()[0] == 0
+    assert keys == [0]
+
+
 def test_lines_of_odd_tables(odd, none):
     out = dedup_lines(odd)
     assert out.columns == [*[c for c in odd.columns if c != "n_removed"], "n_lines", "n_removed"]

@@ -75,6 +75,26 @@ def test_edits_by_brute_force():
         assert linededup.similar(a, b, most) == (_edits(a, b) <= most)
 
 
+def test_pairs_are_told_together_as_one_by_one():
+    """Of all lengths, of few and of many kinds of letters, with few edits and with too many."""
+    draw = random.Random(3)
+    x, y = [], []
+    for _ in range(900):
+        size, letters = draw.choice([0, 3, 30, 90, 400]), draw.choice(["abc", "abcdé 漢😀", "".join(map(chr, range(97, 600)))])
+        a = "".join(draw.choices(letters, k=draw.randint(0, size)))
+        b = list(a)
+        for _ in range(draw.randint(0, 3 + size // 8)):
+            place = draw.randint(0, max(len(b) - 1, 0))
+            b[place : place + draw.randint(0, 2)] = draw.choice(["", "z", "a", "bc"])
+        x.append(a)
+        y.append("".join(b) if draw.random() < 0.9 else "".join(draw.choices(letters, k=size)))
+    most = np.array([draw.randint(0, 4 + len(a) // 8) for a in x])
+    told = [linededup.similar(*pair) for pair in zip(x, y, most.tolist(), strict=True)]
+    assert linededup.similar_pairs(x, y, most).tolist() == told and 200 < sum(told) < 800
+    assert linededup.similar_pairs(x[:3], y[:3], most[:3]).tolist() == told[:3]
+    assert linededup.similar_pairs([], [], np.empty(0, np.int64)).tolist() == []
+
+
 def test_very_long_lines_are_compared():
     draw = random.Random(2)
     a = "".join(draw.choices("abcdefghij ", k=50_000))
@@ -153,6 +173,32 @@ def test_rows_whose_leader_was_another_are_compared_with_each_other():
     assert not [1 for x, _ in linededup.apart(keys, ids, bits, size, keys) if len(x)]
 
 
+def test_lines_of_a_bucket_are_compared_with_those_of_about_their_size(monkeypatch):
+    """All pairs that may be similar are found, few others are looked at."""
+    draw = np.random.default_rng(7)
+    n = 600
+    keys, ids, size = draw.integers(0, 2, n), draw.permutation(n), np.exp(draw.uniform(3, 8, n)).astype(np.int64)
+    bits = draw.integers(0, 2**63, (40, linededup.WIDTH), dtype=np.uint64)[draw.integers(0, 40, n)]
+    group = np.where(draw.random(n) < 0.3, 1000, ids // 2)
+    a, b = np.triu_indices(n, 1)
+    mine = (keys[a] == keys[b]) & (group[a] != group[b])
+    mine[mine] = linededup._close(bits, size, a[mine], b[mine], 0.9)
+    looked = []
+    close = linededup._close
+
+    def counted(bits, size, a, b, similarity):
+        looked.append(len(a))
+        return close(bits, size, a, b, similarity)
+
+    monkeypatch.setattr(linededup, "_close", counted)
+    found = [p for x, y in linededup.apart(keys, ids, bits, size, group) for p in zip(x.tolist(), y.tolist(), strict=True)]
+    assert {tuple(sorted(p)) for p in found} == set(zip(a[mine].tolist(), b[mine].tolist(), strict=True)) != set()
+    assert sum(looked) < 0.1 * n * n / 4
+    looked.clear()
+    _, follow, _ = linededup.lead(linededup._sized(keys, size, 0.9), ids, bits, size)
+    assert len(follow) and sum(looked) < 0.35 * n * n / 4
+
+
 def test_registers_merge_and_tell_the_overlap():
     draw = np.random.default_rng(2)
     base = draw.integers(0, 2**63, 1500, dtype=np.uint64)
